@@ -41,11 +41,12 @@ def scrub(text: Column, custom: Sequence[Pattern] = ()) -> Column:
 
 def find(text: Column, custom: Sequence[Pattern] = ()) -> Column:
     """``array<struct<kind, match>>`` of all hits of all patterns on the raw text."""
-    hits = []
-    for kind, _, regex in all_patterns(custom):
+
+    def hits(kind: str, regex: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(_UNICODE + regex), F.lit(0))
-        hits.append(F.transform(found, lambda m, k=kind: F.struct(F.lit(k).alias("kind"), m.alias("match"))))
-    return F.concat(*hits)
+        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("match")))
+
+    return F.concat(*[hits(kind, regex) for kind, _, regex in all_patterns(custom)])
 
 
 def scrub_counts(df: DataFrame, text: str, custom: Sequence[Pattern] = ()) -> DataFrame:

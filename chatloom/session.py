@@ -31,7 +31,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def build(master: str | None = None, cores: int | None = None, app: str = "chatloom") -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     if cores:
