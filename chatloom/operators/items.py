@@ -210,28 +210,33 @@ def complete(prompts: DataFrame, fn: Complete, system: str = "", retries: int =
     return prompts.mapInPandas(run, schema)
 
 
-def pack_batches(work: DataFrame, shard: str, order: str, chars: str, size: int, max_chars: int, head_chars: int = 0) -> DataFrame:
+def pack_batches(
+    work: DataFrame, shard: str, order: list[str], chars: str, size: int, max_chars: int, head_chars: int = 0
+) -> DataFrame:
     """Exact next-fit batches inside each shard: a batch closes at ``size`` items or ``max_chars``.
 
-    The fold is order-dependent, so it runs per shard; choose shards of bounded
-    size (a hash of the key modulo the number of parallel callers). A single item
-    over the budget is a batch of its own.
+    The fold depends on the order, so it walks the sorted rows of a shard batch
+    by batch, holding one Arrow batch at a time. Shards are the parallel callers:
+    choose them by a hash of a unique row key, which keeps them even whatever the
+    skew of the data. A single item over the budget is a batch of its own.
     """
-    types = dict(work.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in work.columns) + ", batch bigint"
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        batch, n, used, out = 0, 0, head_chars, []
-        for length in frame[chars]:
-            need = int(length) + BATCH_ITEM_OVERHEAD
-            if n and (n >= size or used + need > max_chars):
-                batch, n, used = batch + 1, 0, head_chars
-            out.append(batch)
-            n, used = n + 1, used + need
-        return frame.assign(batch=out)
-
-    return work.groupBy(shard).applyInPandas(fold, schema)
+    schema = ty.StructType([*work.schema.fields, ty.StructField("batch", ty.LongType())])
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, batch, n, used = None, 0, 0, head_chars
+        for frame in frames:
+            out = []
+            for owner, length in zip(frame[shard], frame[chars]):
+                if owner != at:
+                    at, batch, n, used = owner, 0, 0, head_chars
+                need = int(length) + BATCH_ITEM_OVERHEAD
+                if n and (n >= size or used + need > max_chars):
+                    batch, n, used = batch + 1, 0, head_chars
+                out.append(batch)
+                n, used = n + 1, used + need
+            yield frame.assign(batch=out)
+
+    return work.repartition(shard).sortWithinPartitions(shard, *order).mapInPandas(fold, schema)
 
 
 def split_batch(answers: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
