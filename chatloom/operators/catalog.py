@@ -292,3 +292,11 @@ def verdict(counts: DataFrame, files_ok: Column, parsed_full: Column) -> DataFra
     }
     rows = F.array(*[F.struct(F.lit(k).alias("check_id"), v.alias("ok")) for k, v in checks.items()])
     return counts.select(F.explode(rows).alias("r")).select("r.check_id", "r.ok")
+
+
+def chat_meta(cards: DataFrame, conv_id: str) -> DataFrame:
+    """Header of one chat (the key filter reaches the scan)."""
+    return cards.where(F.col("conv_id") == conv_id).select(
+        "conv_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)")).alias("title"),
+        F.coalesce("update_date", "create_date").alias("update_date"), "n_turns", "source_zip",
+    )

@@ -104,3 +104,29 @@ def log_errors(lines: DataFrame, by: str, line_no: str, line: str, tail: int = 8
         .where(F.col("back") <= tail)
         .select(by, line_no, F.substring(F.trim(line), 1, 200).alias(line))
     )
+
+
+def device_board(generation: DataFrame, embedding: DataFrame) -> DataFrame:
+    """Device rows of both benchmark kinds in common columns; runs without telemetry stay null.
+
+    Both sides: label, the summary columns they have, and ``per_item`` (energy per
+    item or per thousand chunks).
+    """
+    cols = {
+        "avg_w": "power_w_avg", "peak_w": "power_w_peak", "peak_temp_c": "temp_c_peak", "avg_util_pct": "util_gpu_pct_avg",
+        "peak_vram_mib": "mem_used_mib_peak", "peak_clock_mhz": "clock_sm_mhz_peak", "energy_wh": "energy_wh",
+    }
+
+    def side(df: DataFrame, kind: str, unit: str) -> DataFrame:
+        seen = F.col("available") if "available" in df.columns else F.lit(True)
+        have = [
+            (F.when(seen, F.col(src).cast("double")) if src in df.columns else F.lit(None).cast("double")).alias(dst)
+            for dst, src in cols.items()
+        ]
+        hot = F.when(seen, F.col("throttled")) if "throttled" in df.columns else F.lit(None).cast("boolean")
+        return df.select(
+            F.lit(kind).alias("workload"), "label", *have, F.col("per_item").cast("double").alias("per_item"),
+            F.lit(unit).alias("per_item_label"), hot.alias("throttled"),
+        )
+
+    return side(generation, "gen", "Wh/item").unionByName(side(embedding, "embed", "Wh/1k"))

@@ -1,0 +1,161 @@
+"""Trees, messages, reduction, names and cards on small hand-made exports."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from chatloom.functions import text as T
+from chatloom.operators import cards, clusters, conversations as C
+
+
+def _node(parent, children=(), role="user", text=None, t=0, **content):
+    body = {"content_type": "text", "parts": [text]} if text is not None else content
+    msg = {"author": {"role": role}, "content": body, "create_time": t} if body else None
+    return {"message": msg, "parent": parent, "children": list(children)}
+
+
+TREES = {
+    "branch": ("c", {"a": _node(None, ["b", "x"], text="q"), "x": _node("a", text="dropped"), "b": _node("a", ["c"], text="r"), "c": _node("b", text="s")}),
+    "no_leaf": (None, {"a": _node(None, ["b", "c"], text="q"), "b": _node("a", text="old", t=5), "c": _node("a", text="same time", t=5)}),
+    "bad_leaf": ("gone", {"a": _node(None, ["b"], text="q"), "b": _node("a", text="end", t=1)}),
+    "cycle": ("a", {"a": _node("b", ["b"], text="1"), "b": _node("a", ["a"], text="2")}),
+    "orphan": ("b", {"b": _node("unknown", text="only")}),
+}
+
+
+@pytest.fixture(scope="module")
+def messages(spark):
+    rows = [
+        (json.dumps({"id": k, "title": f"T {k}", "create_time": 1700000000, "update_time": "x", "current_node": leaf, "mapping": m}),)
+        for k, (leaf, m) in TREES.items()
+    ]
+    return C.messages(C.parse(spark.createDataFrame(rows, "conversation string")))
+
+
+def test_active_branch(messages):
+    got = {}
+    for r in sorted(messages.collect(), key=lambda r: (r.conv_id, r.pos)):
+        got.setdefault(r.conv_id, []).append(r.text)
+    assert got == {
+        "branch": ["q", "r", "s"], "no_leaf": ["q", "same time"], "bad_leaf": ["q", "end"], "cycle": ["2", "1"], "orphan": ["only"],
+    }
+
+
+def test_long_chain_needs_few_rounds(spark):
+    nodes = spark.range(300).select(F.lit("c").alias("conv_id"), F.col("id").alias("node_id"), (F.col("id") - 1).alias("parent"))
+    path = C.active_path(nodes, spark.createDataFrame([("c", 299)], "conv_id string, node_id bigint"))
+    assert path.where("node_id + up <> 299").isEmpty() and path.count() == 300
+
+
+CONTENT = [
+    ({"content_type": "code", "text": " x=1 "}, "x=1"),
+    ({"content_type": "user_editable_context", "user_profile": "p", "user_instructions": "i"}, "p\n\ni"),
+    ({"content_type": "tether_quote", "title": "A", "text": "B", "url": "http://u"}, "[web quote] A — B (http://u)"),
+    ({"content_type": "tether_quote", "url": "http://u"}, "[web quote] http://u"),
+    ({"content_type": "tether_browsing_display", "summary": "S"}, "[browsing] S"),
+    ({"content_type": "execution_output", "text": "out"}, "[execution output] out"),
+    ({"content_type": "thoughts", "thoughts": [{"summary": "s", "content": "c"}, "t"]}, "[reasoning] c\nt"),
+    ({"content_type": "reasoning_recap", "content": "recap"}, "[reasoning] recap"),
+    ({"content_type": "system_error", "name": "n", "text": "boom"}, "[system_error] boom"),
+    ({"content_type": "multimodal_text", "parts": ["a", {"content_type": "image_asset_pointer"}, {"text": "b"}, {"k": 1}]}, "a\n[image_asset_pointer]\nb\n[asset]"),
+    ({"content_type": "text", "parts": []}, ""),
+    ({"content_type": "brand_new", "payload": {"x": 1}}, "[brand_new]"),
+    ({"text": "plain"}, "plain"),
+    ({}, ""),
+]
+
+
+def test_message_text(spark):
+    rows = [(i, json.dumps({"author": {"role": "tool"}, "content": c})) for i, (c, _) in enumerate(CONTENT)]
+    got = {r.i: r.text for r in C.read_messages(spark.createDataFrame(rows, "i int, message string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(CONTENT)}
+
+
+def test_model_and_attachments(spark):
+    m = {"author": {"role": "user"}, "metadata": {"model_slug": " ", "default_model_slug": "m", "attachments": [{"name": " a.pdf "}, {"id": "f1"}, "b", {}, ""]}}
+    row = C.read_messages(spark.createDataFrame([(json.dumps(m),), (json.dumps({**m, "metadata": {"model_slug": "z"}}),)], "message string")).collect()
+    assert row[0].attachments == ["a.pdf", "f1", "b"] and row[1].model == "z" and row[1].attachments == []
+
+
+FENCES = [
+    ("a\n```py\n\nprint(1)\nx\n```\nb", "a\n\n‹code py 3ln :: print(1)›\n\nb"),
+    ("```\nonly\n```", "‹code txt 1ln :: only›"),
+    ("```sh\n```", "‹code sh 0ln :: ›"),
+    ("open ```py\nnever closed", "open ```py\nnever closed"),
+    ("p\n\n\n\nq", "p\n\nq"),
+    ("x" * 1300, "x" * 1200 + " …[truncated]"),
+    ("one ```a\n1\n``` two ```b\n2\n2\n``` three", "one \n‹code a 1ln :: 1›\n two \n‹code b 2ln :: 2›\n three"),
+]
+
+
+def test_reduce_prose(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FENCES)], "i int, t string")
+    got = {r.i: r.o for r in df.select("i", T.reduce_prose(F.col("t")).alias("o")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(FENCES)}
+
+
+NAMES = [
+    ("demo-test-20260622-045835-test-v1_9_0.zip", "demo-test", "1.9.0", True),
+    ("demo-test-v1_9.zip", "demo-test", "1.9", True),
+    ("My_Arena-2026-06-20-final.ZIP", "my-arena", None, True),
+    ("model-123456-classifier.zip", "model-123456-classifier", None, True),
+    ("6b9487ab12cd34ef.zip", "", None, False),
+    ("0.zip", "0", None, False),
+    ("deadbeef.zip", "deadbeef", None, False),
+    ("café app v2.zip", "caf-app", "2", True),
+]
+
+
+def test_archive_names(spark):
+    df = spark.createDataFrame([(n,) for n, *_ in NAMES], "n string")
+    c = F.col("n")
+    got = df.select("n", T.archive_slug(c).alias("s"), T.archive_version(c).alias("v"), T.is_version_archive(c).alias("r")).collect()
+    assert [tuple(r) for r in got] == [tuple(n) for n in NAMES]
+
+
+def test_export_date_and_extension(spark):
+    df = spark.createDataFrame([("export-2026-01-02-03.zip", "src/A.PY"), ("none.zip", "Makefile")], "z string, f string")
+    got = [tuple(r) for r in df.select(T.export_date(F.col("z")), T.extension_class(F.col("f"))).collect()]
+    assert got == [("2026-01-02", "code"), (None, "other")]
+
+
+def _turns(spark, texts, conv="c1"):
+    rows = [(conv, i, "user", "text", t, None, []) for i, t in enumerate(texts)]
+    return C.turns(spark.createDataFrame(rows, "conv_id string, pos bigint, role string, content_type string, text string, model string, attachments array<string>"))
+
+
+def test_archives_files_and_votes(spark):
+    rows = _turns(spark, ["Use Demo-v1.zip then demo-V1.zip and src/a.py, notes.md", "also other-v2.zip and 1.zip, src/a.py"])
+    arch = cards.archives(rows)
+    assert sorted((r.filename, r.slug, r.is_version) for r in arch.collect()) == [
+        ("1.zip", "1", False), ("Demo-v1.zip", "demo", True), ("other-v2.zip", "other", True),
+    ]
+    assert sorted((r.filename, r.ext_class) for r in cards.files(rows).collect()) == [("notes.md", "doc"), ("src/a.py", "code")]
+    heads = spark.createDataFrame([("c1", "Demo!"), ("c2", "?")], "conv_id string, title string")
+    votes = cards.slug_votes(arch, heads)
+    assert {(r.slug, r.votes) for r in votes.collect()} == {("demo", 4), ("other", 3)}
+    assert {(r.conv_id, r.slug) for r in cards.primary_slug(heads, votes).collect()} == {("c1", "demo"), ("c2", "unclustered-c2")}
+
+
+def test_cards_are_complete(spark):
+    rows = _turns(spark, ["see demo-v1.zip", "```py\nx\n```"])
+    heads = spark.createDataFrame([("c1", "Fix the demo"), ("c9", "Empty")], "conv_id string, title string")
+    got = {r.conv_id: r for r in cards.cards(heads, rows, cards.archives(rows), cards.files(rows)).collect()}
+    assert got["c1"].n_turns == 2 and got["c1"].has_code and got["c1"].n_version_zips == 1
+    assert got["c9"].n_turns == 0 and not got["c9"].has_code and got["c9"].title_keywords == ["empty"]
+
+
+def test_merge_rules(spark):
+    primary = spark.createDataFrame([(f"g{i:02d}", "generic") for i in range(13)] + [(f"b{i:02d}", "backed") for i in range(14)] + [("p1", "pair"), ("p2", "pair")], "conv_id string, slug string")
+    arch = spark.createDataFrame([("b00", "backed", True), ("p2", "x", True), ("g00", "x", True), ("g01", "y", False)], "conv_id string, slug string, is_version boolean")
+    labels = {r.conv_id: r.cluster_id for r in clusters.members(primary.select("conv_id"), clusters.components(clusters.edges(primary, arch))).collect()}
+    assert len({labels[f"b{i:02d}"] for i in range(14)}) == 1
+    assert len({labels[f"g{i:02d}"] for i in range(1, 13)}) == 12  # too generic to merge
+    assert labels["p1"] == labels["p2"] == labels["g00"] == "g00"
+
+
+def test_latest_version_orders_numbers(spark):
+    z = spark.createDataFrame([("c", "a.zip", "1.9", True), ("c", "b.zip", "1.10", True), ("c", "z.zip", "7", False)], "cluster_id string, filename string, version string, is_version boolean")
+    assert clusters.latest_version(z).collect()[0].version == "1.10"
+    assert clusters.latest_version(z, numeric=False).collect()[0].version == "1.9"
