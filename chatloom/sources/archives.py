@@ -107,7 +107,8 @@ def _elements(stream: io.TextIOBase, chunk: int = 1 << 20) -> Iterator[str]:
 
     def fill() -> None:
         nonlocal buffer, at, done
-        more = stream.read(chunk)
+        # Reading as much again as is already held keeps one huge element linear.
+        more = stream.read(max(chunk, len(buffer) - at))
         done = not more
         buffer, at = buffer[at:] + more, 0
 
@@ -135,7 +136,7 @@ def _elements(stream: io.TextIOBase, chunk: int = 1 << 20) -> Iterator[str]:
             fill()
 
     fill()
-    opener = skip(" \t\r\n﻿")
+    opener = skip(" \t\r\n\ufeff")
     if opener not in ("[", "{"):
         raise ValueError("neither an array nor an object")
     at += 1
