@@ -8,9 +8,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as ty
 
 from chatloom.banks import CUSTOM_PLACEHOLDER, REDACTION_PATTERNS
+from chatloom.functions.text import let
 
 Pattern = tuple[str, str, str]
 
+# A text without this piece cannot match the pattern of the same place, and looking
+# for a piece is far cheaper than trying a regex at every position.
+_PIECES = [
+    "@", "PRIVATE KEY-----", "sk-", "gh", "AKIA", "AIza", "xox", "eyJ", None,
+    "/Users/", "/mnt/", "/home/", ":\\Users\\", "\\Users\\", "+", "(", "-", ".", "source_conversation_ids",
+]
+_PIECE = {regex: piece for (_, _, regex), piece in zip(REDACTION_PATTERNS, _PIECES, strict=True)}
+
 # Unicode letters count as word characters, so word edges behave the same in every script.
 _UNICODE = "(?U)"
 
@@ -32,18 +41,36 @@ def all_patterns(custom: Sequence[Pattern] = ()) -> list[Pattern]:
     return [*custom, *REDACTION_PATTERNS]
 
 
+def _where_possible(text: Column, regex: str, done: Column, otherwise: Column) -> Column:
+    piece = _PIECE.get(regex)
+    return done if piece is None else F.when(F.contains(text, F.lit(piece)), done).otherwise(otherwise)
+
+
+def _replaced(text: Column, placeholder: str, regex: str) -> Column:
+    return _where_possible(text, regex, F.regexp_replace(text, _UNICODE + regex, placeholder), text)
+
+
 def scrub(text: Column, custom: Sequence[Pattern] = ()) -> Column:
     """Replace every match by its typed placeholder, pattern after pattern."""
-    for _, placeholder, regex in all_patterns(custom):
-        text = F.regexp_replace(text, _UNICODE + regex, placeholder)
-    return text
+
+    def rest(patterns: list[Pattern]):
+        def body(t: Column) -> Column:
+            if not patterns:
+                return t
+            _, placeholder, regex = patterns[0]
+            return let(_replaced(t, placeholder, regex), rest(patterns[1:]))
+
+        return body
+
+    return let(text, rest(all_patterns(custom)))
 
 
 def find(text: Column, custom: Sequence[Pattern] = ()) -> Column:
     """``array<struct<kind, match>>`` of all hits of all patterns on the raw text."""
 
     def hits(kind: str, regex: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(_UNICODE + regex), F.lit(0))
+        none = F.array().cast("array<string>")
+        found = _where_possible(text, regex, F.regexp_extract_all(text, F.lit(_UNICODE + regex), F.lit(0)), none)
         return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("match")))
 
     return F.concat(*[hits(kind, regex) for kind, _, regex in all_patterns(custom)])
@@ -55,9 +82,9 @@ def scrub_counts(df: DataFrame, text: str, custom: Sequence[Pattern] = ()) -> Da
     out = df.withColumn("_t0", F.col(text))
     stages = all_patterns(custom)
     for i, (_, placeholder, regex) in enumerate(stages):
-        pattern = _UNICODE + regex
-        total = total + F.regexp_count(f"_t{i}", F.lit(pattern))
-        out = out.withColumn(f"_t{i + 1}", F.regexp_replace(f"_t{i}", pattern, placeholder))
+        before = F.col(f"_t{i}")
+        total = total + _where_possible(before, regex, F.regexp_count(before, F.lit(_UNICODE + regex)), F.lit(0))
+        out = out.withColumn(f"_t{i + 1}", _replaced(before, placeholder, regex))
     return out.withColumn("n_findings", total.cast("bigint")).withColumn(text, F.col(f"_t{len(stages)}")).drop(
         *[f"_t{i}" for i in range(len(stages) + 1)]
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatloom.plans.blocks import running
+from chatloom.session import cut
 
 CHAR_BUDGET = 48_000
 CUT_NOTE = "\n[...conversation truncated to fit bundle budget...]"
@@ -30,11 +31,13 @@ def fair_shares(members: DataFrame, keys: Sequence[str], pos: str, need: str, bu
     fit fixes the level for the rest. The order by need is cut into blocks of
     equal need range, so a cluster of any size is split over tasks.
 
-    ``budget`` is a column of the group (the same value on all its members).
+    ``budget`` is a column of the group (the same value on all its members). Only
+    key, position and need go through the computation; they are written once, so
+    the texts are read twice in all, however often the sizes are needed.
     """
     keys = list(keys)
     cap = F.greatest(F.col(budget) if isinstance(budget, str) else budget, F.lit(0)).cast("bigint")
-    base = members.withColumn("_b", cap)
+    base = cut(members.select(*keys, pos, need, cap.alias("_b")))
     total = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("_b").alias("_cap"))
     sized = base.drop("_b").join(total, keys)
     # No member larger than the budget can fit, so the axis is cut between 0 and the budget.
@@ -60,7 +63,7 @@ def fair_shares(members: DataFrame, keys: Sequence[str], pos: str, need: str, bu
     out = placed.join(level, keys, "left")
     whole = F.col("_l").isNull() | (F.col("_rank") < F.col("_l._rank"))
     alloc = F.when(whole, F.col(need).cast("bigint")).otherwise(F.greatest(F.col("_l.level"), F.lit(0)))
-    return out.select(*members.columns, alloc.alias("alloc"))
+    return members.join(out.select(*keys, pos, alloc.alias("alloc")), [*keys, pos])
 
 
 def fit_text(header: Column, body: Column, alloc: Column, note: str = CUT_NOTE) -> Column:

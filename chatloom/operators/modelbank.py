@@ -32,8 +32,8 @@ def with_sidecars(entries: DataFrame, plans: DataFrame, benchmarks: DataFrame) -
     key = F.concat_ws(":", "provider", "name")
     return (
         entries.withColumn("model_key", key)
-        .join(F.broadcast(benchmarks), "model_key", "left")
-        .join(F.broadcast(plans), "plan_id", "left")
+        .join(benchmarks, "model_key", "left")
+        .join(plans, "plan_id", "left")
     )
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatloom import banks
-from chatloom.plans.blocks import running
+from chatloom.plans.blocks import running, streaks
+from chatloom.session import cut
 
 OK, FAIL = "LLM_OK", "LLM_FAIL"
 
@@ -162,30 +163,21 @@ def breaker(
     """Mark the items a run skips after its breaker trips.
 
     The breaker trips on ``max_failures`` failures in a row or once the spend so
-    far reaches ``max_usd``; the tripping item itself still ran. Streaks come from
-    running sums over blocks, so a run of any length spreads over tasks.
+    The breaker trips on ``max_failures`` failures in a row or once the spend so
+    far reaches ``max_usd``; the tripping item itself still ran. Streaks and spend
+    are worked out over blocks, so a run of any length spreads over tasks, and
+    written once, because finding the first trip and marking what follows both
+    read them.
     """
     run = list(run)
-    base = items.withColumn("_bad", (~ok).cast("bigint"))
-    sums = running(
-        base, run, [seq], block,
-        {"_fails": ("sum", F.col("_bad")), "_spent": ("sum", F.col(usd_col))},
-    )
-    # Failures counted up to the last success: the streak is what came after it.
-    marks = running(
-        sums, run, [seq], block,
-        {"_base": ("max", F.when(F.col("_bad") == 0, F.col("_fails")))},
-    )
-    streak = F.col("_fails") - F.coalesce("_base", F.lit(0))
-    trips = streak >= max_failures
+    spent = running(items, run, [seq], block, {"spent": ("sum", F.col(usd_col))})
+    marks = cut(streaks(spent, run, [seq], block, ~ok, "streak"))
+    trips = F.col("streak") >= max_failures
     if max_usd is not None:
-        trips = trips | (F.col("_spent") >= max_usd)
+        trips = trips | (F.col("spent") >= max_usd)
     first = marks.where(trips).groupBy(*run).agg(F.min(seq).alias("_trip"))
     after = F.coalesce(F.col(seq) > F.col("_trip"), F.lit(False))
-    joined = marks.withColumn("streak", streak).join(first, run, "left") if run else None
-    if joined is None:
-        raise ValueError("name the run columns")
-    return joined.select(*items.columns, "streak", F.col("_spent").alias("spent"), after.alias("skipped"))
+    return marks.join(first, run, "left").select(*items.columns, "streak", "spent", after.alias("skipped"))
 
 
 def run_totals(items: DataFrame, run: Sequence[str], ok: str = "ok", skipped: str = "skipped") -> DataFrame:

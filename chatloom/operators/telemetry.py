@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chatloom import banks
-from chatloom.plans.blocks import previous, running
+from chatloom.plans.blocks import previous, streaks
 
 
 def power(df: DataFrame) -> DataFrame:
@@ -80,11 +80,7 @@ def worst_status(status: Column) -> Column:
 
 def strikes(samples: DataFrame, run: Sequence[str], order: Sequence[str], idle: Column, block: Column) -> DataFrame:
     """Consecutive idle samples up to each sample (0 on a busy one)."""
-    run = list(run)
-    base = samples.withColumn("_idle", idle.cast("bigint"))
-    counted = running(base, run, order, block, {"_all": ("sum", F.col("_idle"))})
-    reset = running(counted, run, order, block, {"_base": ("max", F.when(F.col("_idle") == 0, F.col("_all")))})
-    return reset.select(*samples.columns, (F.col("_all") - F.coalesce("_base", F.lit(0))).alias("strikes"))
+    return streaks(samples, run, order, block, idle, "strikes")
 
 
 def log_errors(lines: DataFrame, by: str, line_no: str, line: str, tail: int = 8) -> DataFrame:

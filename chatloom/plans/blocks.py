@@ -97,6 +97,38 @@ def previous(
     return joined.select(*df.columns, *[F.col("_prev")[n].alias(n) for n in carry])
 
 
+def streaks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, hit: Column, name: str
+) -> DataFrame:
+    """Add ``name``: how many rows in a row, up to and with this one, satisfy ``hit``.
+
+    A block passes on the length of its open streak: its trailing hits, or the
+    streak it was given plus all its rows when it has no miss at all.
+    """
+    keys = list(keys)
+    in_block = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        hits = F.sum("_hit").over(in_block)
+        return rows.withColumn("_cum", hits).withColumn(
+            "_base", F.max(F.when(F.col("_hit") == 0, F.col("_cum"))).over(in_block)
+        )
+
+    base = df.withColumn(BLOCK, block).withColumn("_hit", hit.cast("bigint"))
+    ends = counted(base.select(*keys, BLOCK, *order, "_hit")).groupBy(*keys, BLOCK).agg(
+        F.max("_cum").alias("_all"), F.max("_base").alias("_upto")
+    )
+    by_key = Window.partitionBy(*keys).orderBy(BLOCK)
+    grouped = ends.withColumn("_g", F.sum(F.col("_upto").isNotNull().cast("bigint")).over(by_key))
+    open_end = F.sum(F.col("_all") - F.coalesce("_upto", F.lit(0))).over(Window.partitionBy(*keys, "_g").orderBy(BLOCK))
+    carried = grouped.withColumn("_open", open_end).select(
+        *keys, BLOCK, F.coalesce(F.lag("_open").over(by_key), F.lit(0)).alias("_given")
+    )
+    out = counted(_null_safe(base, carried, [*keys, BLOCK]))
+    length = F.when(F.col("_base").isNull(), F.col("_given") + F.col("_cum")).otherwise(F.col("_cum") - F.col("_base"))
+    return out.select(*df.columns, length.alias(name))
+
+
 def ordered_join(items: Column, sep: str) -> Column:
     """Join ``array<struct<pos, text>>`` texts in ``pos`` order."""
     return F.array_join(F.transform(F.array_sort(items), lambda x: x["text"]), sep)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.session import table
+from chatloom.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,9 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        rows = table(self.spark, self.sf_dir, name)
+        # Texts take long per row, so even a small file is worth all cores.
+        return spread(rows) if name in ("documents", "pages") else rows
 
 
 def query(sql: str | None = None):

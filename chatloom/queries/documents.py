@@ -391,8 +391,13 @@ def _facts(t: Tables):
     )
 
 
+_BANK_WORDS = sorted({w for ws in banks.ARCHETYPE_KEYWORDS.values() for w in ws} | {w for _, _, ws in banks.DOMAIN_KEYWORDS for w in ws})
+
+
 def _keywords(t: Tables):
-    return t.documents.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("keyword"))
+    """Words of each text that any bank lists; the others are dropped inside the row."""
+    listed = F.array(*[F.lit(w) for w in _BANK_WORDS])
+    return t.documents.select("doc_id", F.explode(F.array_intersect(T.words(F.col("text")), listed)).alias("keyword"))
 
 
 def _ranked(t: Tables):

@@ -10,6 +10,7 @@ from chatloom.functions import vectors as V
 from chatloom.functions.dates import parse_when, recency_weight
 from chatloom.operators import evaluation, retrieval
 from chatloom.queries.base import Tables, query
+from chatloom.session import cut
 
 _NOW = "2025-01-01"
 _SQL_Q = """
@@ -38,9 +39,11 @@ def questions(t: Tables):
     per_label = dims.select(F.col("label").cast("bigint").alias("query_id"), "i", (F.col("s") / F.col("n")).alias("m"))
     overall = dims.groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m")).select(F.lit(-1).cast("bigint").alias("query_id"), "i", "m")
     # One entry per dimension, so each list is as long as a vector.
-    return per_label.unionByName(overall).groupBy("query_id").agg(
+    means = per_label.unionByName(overall).groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("qvec")
     )
+    # A query set is stored once and then read by every step that needs it.
+    return cut(means)
 
 
 def _long(df, *cols):

@@ -11,6 +11,7 @@ from chatloom.functions.dates import epoch_to_date, parse_when, recency_weight
 from chatloom.operators import cards, clusters, evaluation, ingest, items, perf, telemetry
 from chatloom.plans.blocks import int_block, previous, running, time_block
 from chatloom.queries.base import Tables, query
+from chatloom.session import cut
 
 _EPOCH = "epoch_us(ts) / 1e6"
 
@@ -215,6 +216,8 @@ def session_windows(t: Tables):
     flagged = previous(e, ["user_id"], order, block, {"s0": F.col("s")}).withColumn(
         "new", F.when(F.col("s") - F.col("s0") <= 1800, 0).otherwise(1).cast("bigint")
     )
+    # Written once: numbering reads the flags for its block totals and for the rows.
+    flagged = cut(flagged.select("user_id", "ts", "event_id", "value", "new"))
     numbered = running(flagged, ["user_id"], order, block, {"sid": ("sum", F.col("new"))})
     return numbered.groupBy("user_id", "sid").agg(
         F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("start"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")

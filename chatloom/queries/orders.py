@@ -159,7 +159,7 @@ def archive_status(t: Tables):
     disk = t.customer.where("c_mktsegment <> 'MACHINERY'").select(
         key(F.col("c_custkey")), F.concat(F.lit("zips/"), "c_name").alias("path"), F.round("c_acctbal").cast("bigint").alias("file_size")
     )
-    own = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
+    own = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
         key(F.col("c_custkey") + F.col("c_nationkey"))
     ).agg(F.count(F.lit(1)).alias("chats"))
     out = catalog.archive_status(led, disk, own).orderBy(*catalog.archive_order())
@@ -568,7 +568,7 @@ def rubric_score(t: Tables):
     """Gated score per region: axes without a value are left out, one gate fails, one caps."""
     no = F.floor(F.col("n_nationkey") / 5)
     coord = F.when(no == 0, "COORD-B-ACCURACY").when(no == 1, "COORD-B-COMPLETION").when(no == 2, "COORD-B-DEPTH").otherwise("COORD-X")
-    named = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     att = named.select("r_name", coord.alias("coordinate"), (F.col("n_nationkey") * 4.0).alias("attainment"))
     gates = t.region.select(
         "r_name", F.lit("G").alias("gate"), F.when(F.col("r_regionkey") == 2, "fail").otherwise("cap_25").alias("effect"),

@@ -74,3 +74,17 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Deal a small input out to all cores.
+
+    A small file is often one row group and so one task, whatever the work per
+    row. Large inputs have splits enough and are left alone, so the exchange this
+    adds is never larger than ``max_bytes``.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from chatloom.operators import clusters, perf, retrieval, telemetry
-from chatloom.plans.blocks import int_block, pack_text, previous, running
+from chatloom.plans.blocks import int_block, pack_text, previous, running, streaks
 from chatloom.queries import base
 
 
@@ -162,3 +162,13 @@ def test_no_cross_join_and_no_lone_window(spark):
     for name in ("cosine_topk", "keyword_fallback", "index_delta", "recall_mrr", "completeness_checks"):
         plan = base.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_streaks_equal_a_loop(spark):
+    df = _events(spark).withColumn("hit", F.col("v") > 2)
+    for width in (1, 7, 64, 2000):
+        rows = streaks(df, ["k"], ["pos"], int_block(F.col("pos"), width), F.col("hit"), "n").collect()
+        at = {}
+        for r in sorted(rows, key=lambda r: (r.k, r.pos)):
+            at[r.k] = at.get(r.k, 0) + 1 if r.hit else 0
+            assert r.n == at[r.k]
