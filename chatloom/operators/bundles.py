@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chatloom.plans.blocks import running
+from chatloom.plans.blocks import pack_text, running
 from chatloom.session import cut
 
 CHAR_BUDGET = 48_000
 CUT_NOTE = "\n[...conversation truncated to fit bundle budget...]"
 MAX_TITLES, MAX_FILES = 40, 60
+PART_CHARS = 1_000_000
 
 
 def select_clusters(
@@ -129,25 +130,38 @@ def facts_text(clusters: DataFrame, titles: DataFrame, files: DataFrame, version
     return facts.select("cluster_id", "slug", "n_conversations", text.alias("facts"))
 
 
-def bundles(facts: DataFrame, members: DataFrame, budget: int = CHAR_BUDGET) -> DataFrame:
-    """One text per cluster: facts, then the member blocks oldest first.
+def bundles(
+    facts: DataFrame, members: DataFrame, budget: int = CHAR_BUDGET, part_chars: int = PART_CHARS
+) -> DataFrame:
+    """Text of each cluster: facts, then the member blocks oldest first, in parts.
 
-    The blocks of a cluster are at most its budget plus one header per member, so
-    the ordered join stays small; the actual size is reported in ``chars``.
+    Every member gets at least its header, so a cluster of very many members is
+    longer than its budget. It then comes as several rows ``(cluster_id, part_no,
+    text)`` of about ``part_chars``; ordinary bundles are one row.
     """
     room = facts.select("cluster_id", (F.lit(budget) - F.length("facts")).alias("_room"))
     blocks = member_blocks(members.join(room, "cluster_id"), F.col("_room"))
-    packed = blocks.groupBy("cluster_id").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("create_time", "conv_id", "block"))), lambda b: b["block"]
-            ),
-            "",
-        ).alias("blocks")
+    day = F.floor(F.col("create_time") / 86400).cast("bigint")
+    packed = pack_text(blocks, "cluster_id", ["create_time", "conv_id"], "block", "", part_chars, block=day)
+    text = F.when(F.col("part_no") == 0, F.concat("facts", "body")).otherwise(F.col("body"))
+    named = facts.join(packed.withColumnRenamed("text", "body"), "cluster_id", "left").fillna({"part_no": 0, "body": ""})
+    return named.select(
+        "cluster_id", "slug", "n_conversations", "part_no", text.alias("text"), F.length(text).alias("chars")
     )
-    text = F.concat("facts", F.coalesce("blocks", F.lit("")))
-    return (
-        facts.join(packed, "cluster_id", "left")
-        .withColumn("text", text)
-        .select("cluster_id", "slug", "n_conversations", "text", F.length("text").alias("chars"), F.sha2("text", 256).alias("bundle_sha"))
+
+
+def bundle_index(parts: DataFrame) -> DataFrame:
+    """One row per bundle: size over all parts and a hash of the content.
+
+    The hash of a one-part bundle is that of its text; longer ones hash the
+    hashes of their parts in order.
+    """
+    one = F.sha2("text", 256)
+    hashed = parts.select("cluster_id", "slug", "n_conversations", "part_no", "chars", one.alias("sha"))
+    sums = hashed.groupBy("cluster_id", "slug", "n_conversations").agg(
+        F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n_parts"),
+        F.array_sort(F.collect_list(F.struct("part_no", "sha"))).alias("_shas"),
     )
+    joined = F.array_join(F.transform("_shas", lambda s: s["sha"]), "")
+    sha = F.when(F.col("n_parts") == 1, joined).otherwise(F.sha2(joined, 256))
+    return sums.withColumn("bundle_sha", sha).drop("_shas")

@@ -79,9 +79,11 @@ def chat_rows(members: DataFrame, cards: DataFrame) -> DataFrame:
 def category_tree(projects: DataFrame, wanted: Sequence[str] = tuple(banks.CATEGORIES), per_category: int = 0) -> DataFrame:
     """Classified projects per browse category, best first."""
     rows = projects.where("classified").withColumn("category", F.explode("categories")).where(F.col("category").isin(list(wanted)))
+    if per_category <= 0:
+        return rows
+    # There are few categories, so a rank is only taken where its limit keeps the groups small.
     order = Window.partitionBy("category").orderBy(*project_order())
-    rows = rows.withColumn("rank", F.row_number().over(order))
-    return rows.where(F.col("rank") <= per_category) if per_category > 0 else rows
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_category)
 
 
 def uncategorized_chats(cards: DataFrame, members: DataFrame, projects: DataFrame) -> DataFrame:

@@ -40,18 +40,28 @@ def windows(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int =
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("need size > 0 and 0 <= overlap < size")
     step = size - overlap
-    n = F.length(text)
-    starts = F.transform(F.sequence(F.lit(0), n_windows(n, size, overlap) - 1), lambda i: i * step)
+    whole, part = divmod(size, step)
     rest = [c for c in df.columns if c != text]
-    window = F.substring(F.col(text), F.col("start") + 1, F.lit(size))
+    # The text is cut into steps in one pass; a window is ``whole`` steps and the
+    # head of the next one. Taking substrings of the whole text instead would walk
+    # it from the start for every window.
+    steps = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def window(i):
+        head = F.substring(F.coalesce(F.get("_steps", i + whole), F.lit("")), 1, part) if part else F.lit("")
+        body = F.concat(F.array_join(F.slice("_steps", i + 1, F.lit(whole)), ""), head)
+        return F.struct((i * step).cast("bigint").alias("start"), body.alias("chunk"))
+
+    numbers = F.sequence(F.lit(0), n_windows(F.col("_n"), size, overlap) - 1)
     return (
         df.where(T.strip(F.col(text)) != "")
-        .select("*", F.explode(starts).alias("start"))
+        .select(*rest, F.length(text).alias("_n"), steps.alias("_steps"))
+        .select(*rest, F.explode(F.transform(numbers, window)).alias("w"))
         .select(
             *rest,
-            F.col("start").cast("bigint").alias("start"),
-            F.least(F.col("start") + size, n).cast("bigint").alias("end"),
-            window.alias(text),
+            "w.start",
+            (F.col("w.start") + F.length("w.chunk")).cast("bigint").alias("end"),
+            F.col("w.chunk").alias(text),
         )
         .where(T.strip(F.col(text)) != "")
     )

@@ -99,10 +99,8 @@ def rates(spark) -> DataFrame:
 
 def with_rates(usage: DataFrame, rate_rows: DataFrame) -> DataFrame:
     """Add ``usd_in``/``usd_out``: the exact model's rate, else the provider's ``*`` rate, else 0."""
-    exact = F.broadcast(rate_rows.where("model <> '*'").withColumnsRenamed({"usd_in": "_ei", "usd_out": "_eo"}))
-    star = F.broadcast(
-        rate_rows.where("model = '*'").drop("model").withColumnsRenamed({"usd_in": "_si", "usd_out": "_so"})
-    )
+    exact = rate_rows.where("model <> '*'").withColumnsRenamed({"usd_in": "_ei", "usd_out": "_eo"})
+    star = rate_rows.where("model = '*'").drop("model").withColumnsRenamed({"usd_in": "_si", "usd_out": "_so"})
     return (
         usage.join(exact, ["provider", "model"], "left")
         .join(star, "provider", "left")

@@ -220,26 +220,3 @@ def keyword_fallback(questions: DataFrame, docs: DataFrame, k: int = 8, **bounds
         .where(F.col("n") <= k)
         .select("query_id", "n", "doc_id", F.col("f.word").alias("word"))
     )
-
-
-# --- approximate ----------------------------------------------------------
-
-
-def lsh_neighbours(chunks: DataFrame, queries: DataFrame, k: int = 8, bucket: float = 0.8, tables: int = 6, radius: float = 1.1) -> DataFrame:
-    """Approximate top k by random projections on unit vectors. ``retrieve`` is the exact default."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = Normalizer(inputCol="raw", outputCol="features", p=2.0)
-    data = unit.transform(chunks.select("row_id", array_to_vector(F.col("vec").cast("array<double>")).alias("raw")))
-    asked = unit.transform(queries.select("query_id", array_to_vector(F.col("qvec").cast("array<double>")).alias("raw")))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=42
-    ).fit(data)
-    near = model.approxSimilarityJoin(asked.drop("raw"), data.drop("raw"), radius, "dist").select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.row_id").alias("row_id"),
-        F.round(1 - F.col("dist") * F.col("dist") / 2, DIGITS).alias("score"),
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

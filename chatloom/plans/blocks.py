@@ -137,22 +137,26 @@ def ordered_join(items: Column, sep: str) -> Column:
 def pack_text(
     df: DataFrame,
     key: str,
-    pos: str,
+    pos: Sequence[str] | str,
     text: str,
     sep: str,
     part_chars: int,
     block_width: int = 1024,
+    block: Column | None = None,
 ) -> DataFrame:
     """Concatenate the texts of a key in order, as parts of about ``part_chars``.
 
+    ``pos`` is an integer position, or several columns together with their ``block``.
+
     A key of any size becomes several bounded rows ``(key, part_no, n, text)``;
     joining the parts by ``sep`` in ``part_no`` order gives the whole text.
     """
+    order = [pos] if isinstance(pos, str) else list(pos)
     placed = running(
-        df.select(key, pos, F.col(text).alias("text")),
+        df.select(key, *order, F.col(text).alias("text")),
         [key],
-        [pos],
-        int_block(F.col(pos), block_width),
+        order,
+        int_block(F.col(order[0]), block_width) if block is None else block,
         {"_before": ("sum", F.length("text") + F.lit(len(sep)))},
         inclusive=False,
     )
@@ -161,6 +165,6 @@ def pack_text(
         .groupBy(key, "part_no")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            ordered_join(F.collect_list(F.struct(F.col(pos).alias("pos"), "text")), sep).alias("text"),
+            ordered_join(F.collect_list(F.struct(F.struct(*order).alias("pos"), "text")), sep).alias("text"),
         )
     )

@@ -1,4 +1,4 @@
-"""Queries over ``embeddings``: exact and approximate retrieval and its evaluation.
+"""Queries over ``embeddings``: exact retrieval and its evaluation.
 
 Queries are the mean vector of each label, plus the mean of all vectors as a
 question without an answer. Ten neighbouring vectors are the chunks of one chat.
@@ -200,12 +200,6 @@ def prompt_blocks(t: Tables):
     return retrieval.prompts(asked, retrieval.retrieve(v, q), meta).select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
-@query()
-def lsh_topk(t: Tables):
-    """Approximate neighbours (no SQL twin: random projections)."""
-    return retrieval.lsh_neighbours(vectors(t), questions(t)).select("query_id", "row_id", "score", "rank")
-
-
 @query()
 def scope_sample(t: Tables):
     """Evaluation scope: all vectors of the smallest label and 100 hashed distractors (no SQL twin: Spark's hash)."""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chatloom.functions import text as T
+from chatloom.operators.bundles import bundle_index
 
 
 def _write_partitions(df: DataFrame, path: str, *keys: str) -> None:
@@ -37,12 +38,12 @@ def resolve_run(spark: SparkSession, root: str, run: str) -> str:
     return newest[0]["label"]
 
 
-def bundle_texts(bundles: DataFrame, root: str) -> None:
-    """One text file per cluster under ``cluster_id=...``; bundles of vanished clusters go away."""
-    out = bundles.select("cluster_id", "text")
-    # One row per cluster, so each folder gets one file; a full overwrite drops stale folders.
-    out.write.mode("overwrite").partitionBy("cluster_id").option("lineSep", "\n").text(f"{root}/texts")
-    bundles.select("cluster_id", "slug", "n_conversations", "chars", "bundle_sha").write.mode("overwrite").parquet(f"{root}/index")
+def bundle_texts(parts: DataFrame, root: str) -> None:
+    """Text files under ``cluster_id=.../part_no=...`` and their index; stale bundles go away."""
+    out = parts.select("cluster_id", "part_no", "text")
+    # One row per part, so each folder gets one file; a full overwrite drops stale folders.
+    out.write.mode("overwrite").partitionBy("cluster_id", "part_no").option("lineSep", "\n").text(f"{root}/texts")
+    bundle_index(parts).write.mode("overwrite").parquet(f"{root}/index")
 
 
 def index(chunks: DataFrame, root: str, schema_tag: str) -> str:

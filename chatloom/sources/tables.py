@@ -136,9 +136,13 @@ def battery(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text logs with their byte-independent order inside each file."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """Lines of text logs: file, pos, line. ``pos`` orders the lines of a file.
+
+    Files stay splittable: splits are ordered by where they start, lines inside a
+    split by the order they are read in.
+    """
+    pos = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), pos.alias("pos"), F.col("value").alias("line"))
 
 
 def index(spark: SparkSession, path: str, schema_tag: str) -> DataFrame | None:

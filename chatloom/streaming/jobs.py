@@ -29,17 +29,12 @@ def upsert_sink(root: str, key: str, updated: str, order: str, buckets: int = 64
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        store = read_store(spark, root, upto=batch_id)
-        bucketed = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = bucketed.select("_bucket").distinct()
-        if store is None:
-            merged = newest_wins(batch, None, key, updated, order)
-        else:
-            old = store.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-            old = old.join(F.broadcast(touched), "_bucket", "left_semi").drop("_bucket")
-            merged = newest_wins(batch, old, key, updated, order)
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        old = read_store(spark, root, upto=batch_id, only=touched)
+        merged = newest_wins(batch, old, key, updated, order)
         (
-            merged.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            merged.withColumn("_bucket", bucket)
             .withColumn("_batch", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -50,8 +45,13 @@ def upsert_sink(root: str, key: str, updated: str, order: str, buckets: int = 64
     return write
 
 
-def read_store(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame | None:
-    """Current rows of an upsert store: the last generation of every bucket."""
+def read_store(
+    spark: SparkSession, root: str, upto: int | None = None, only: Sequence[int] | None = None
+) -> DataFrame | None:
+    """Current rows of an upsert store: the last generation of every bucket.
+
+    Generation and bucket are folders, so the filters on them choose folders.
+    """
     from pyspark.errors import AnalysisException
 
     try:
@@ -60,10 +60,22 @@ def read_store(spark: SparkSession, root: str, upto: int | None = None) -> DataF
         return None
     if upto is not None:
         rows = rows.where(F.col("_batch") < upto)
-    # Partition values come from folder names, so finding the newest reads no data columns.
+    if only is not None:
+        rows = rows.where(F.col("_bucket").isin(list(only)))
+    # One row per bucket, found from the folder names alone.
     last = rows.groupBy("_bucket").agg(F.max("_batch").alias("_batch"))
-    current = rows.join(F.broadcast(last), ["_bucket", "_batch"], "left_semi").drop("_bucket", "_batch")
-    return current
+    return rows.join(F.broadcast(last), ["_bucket", "_batch"], "left_semi").drop("_bucket", "_batch")
+
+
+def compact_store(spark: SparkSession, root: str, target: str, key: str, buckets: int = 64) -> None:
+    """Copy the current rows of a store to a new root as its first generation."""
+    rows = read_store(spark, root)
+    if rows is None:
+        raise LookupError(f"no store at {root}")
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows.withColumn("_bucket", bucket).withColumn("_batch", F.lit(-1).cast("bigint")).write.mode("errorifexists").partitionBy(
+        "_batch", "_bucket"
+    ).parquet(target)
 
 
 def live_speed(events: DataFrame, by: str, ok: str, fail: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Bundles, classification, entities, ingest, dates, context blocks, evaluation, indexing."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import dates, formats, text as T
 from chatloom.operators import bundles, cards, catalog, chunks, classify, clusters, conversations as C, entities, evaluation, ingest, modelbank, quality, telemetry
+from chatloom.session import cut
 
 
 def _waterfall(needs, budget):
@@ -54,14 +56,14 @@ def _exports(spark):
 @pytest.fixture(scope="module")
 def chain(spark):
     """Turns to cards to clusters to priors, as one run would do."""
-    rows, heads = _exports(spark)
-    arch, files = cards.archives(rows), cards.files(rows)
-    card = cards.cards(heads, rows, arch, files)
-    primary = cards.primary_slug(heads, cards.slug_votes(arch, heads))
-    members = clusters.members(card, clusters.components(clusters.edges(primary, arch)))
-    c_arch, c_files = clusters.cluster_archives(members, arch), clusters.cluster_files(members, files)
-    facts = clusters.roll_up(members, clusters.canonical_slug(members, primary), c_arch, c_files)
-    prior = classify.prior(facts, clusters.top_keywords(members))
+    rows, heads = map(cut, _exports(spark))
+    arch, files = cut(cards.archives(rows)), cut(cards.files(rows))
+    card = cut(cards.cards(heads, rows, arch, files))
+    primary = cut(cards.primary_slug(heads, cards.slug_votes(arch, heads)))
+    members = cut(clusters.members(card, clusters.components(clusters.edges(primary, arch))))
+    c_arch, c_files = cut(clusters.cluster_archives(members, arch)), cut(clusters.cluster_files(members, files))
+    facts = cut(clusters.roll_up(members, clusters.canonical_slug(members, primary), c_arch, c_files))
+    prior = cut(classify.prior(facts, clusters.top_keywords(members)))
     return rows, members, c_arch, c_files, facts, prior
 
 
@@ -81,8 +83,8 @@ def test_whole_bundles(chain):
     title = bundles.first_n(members, ["cluster_id"], ["create_time"], "title", 1)
     files = bundles.first_n(c_files, ["cluster_id"], ["filename"], "filename", 60, note=False)
     zips = bundles.first_n(c_arch.where("is_version"), ["cluster_id"], ["version", "filename"], "filename", 1000, note=False)
-    head = bundles.facts_text(bundles.select_clusters(facts), title, files, zips)
-    texts = C.transcripts(rows).select("conv_id", "text")
+    head = cut(bundles.facts_text(bundles.select_clusters(facts), title, files, zips))
+    texts = cut(C.transcripts(rows)).select("conv_id", "text")
     own = members.select("cluster_id", "conv_id", "create_time", "create_date", "title").join(texts, "conv_id")
     out = {r.slug: r for r in bundles.bundles(head, own, budget=1500).collect()}
     assert set(out) == {"demo"} and "...(+1 more)" in out["demo"].text
@@ -90,6 +92,10 @@ def test_whole_bundles(chain):
     assert text.index("conversation c1") < text.index("conversation c2") and text.endswith(bundles.CUT_NOTE)
     assert "‹code py 1ln :: x=1›" in text and out["demo"].chars == len(text)
     assert len(text) - len(bundles.CUT_NOTE) <= 1500
+    small = bundles.bundles(head, own, budget=1500, part_chars=50)
+    assert "".join(r.text for r in small.orderBy("part_no").collect()) == text and small.count() == 2
+    one = bundles.bundle_index(bundles.bundles(head, own, budget=1500)).collect()[0]
+    assert one.bundle_sha == hashlib.sha256(text.encode()).hexdigest() and one.chars == len(text)
 
 
 def test_entities(spark):

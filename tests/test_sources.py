@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.operators import chunks, ingest, quality
+from chatloom.operators import chunks, ingest, quality, telemetry
 from chatloom.sources import archives, sinks, tables
 
 CONV = {"title": "t", "mapping": {}}
@@ -104,8 +104,9 @@ def test_battery_and_logs(spark, tmp_path):
     rows = {r.id: r for r in tables.battery(spark, str(tmp_path / "b.jsonl")).collect()}
     assert rows["q1"].grade_type == "refuse" and rows["q2"].question == "!" and rows["q2"].gold_chat_ids == ["c"]
     (tmp_path / "run.log").write_text("ok\nCUDA oops\nfine\n")
-    lines = tables.log_lines(spark, str(tmp_path / "run.log")).collect()
-    assert [r.line for r in lines][:3] == ["ok", "CUDA oops", "fine"]
+    lines = tables.log_lines(spark, str(tmp_path / "run.log"))
+    assert [r.line for r in lines.orderBy("pos").collect()] == ["ok", "CUDA oops", "fine"]
+    assert [r.line for r in telemetry.log_errors(lines, "file", "pos", "line").collect()] == ["CUDA oops"]
 
 
 def test_run_tables_and_latest(spark, tmp_path):
@@ -128,11 +129,13 @@ def test_index_generations(spark, tmp_path):
 
 
 def test_bundle_and_state_sinks(spark, tmp_path):
-    b = spark.createDataFrame([("c1", "s", 1, "text\nof one", 11, "sha"), ("c2", "s", 1, "two", 3, "sha")], "cluster_id string, slug string, n_conversations int, text string, chars int, bundle_sha string")
+    b = spark.createDataFrame([("c1", "s", 1, 0, "text\nof one", 11), ("c2", "s", 1, 0, "two", 3), ("c2", "s", 1, 1, "more", 4)], "cluster_id string, slug string, n_conversations int, part_no int, text string, chars int")
     root = tmp_path / "bundles"
     sinks.bundle_texts(b, str(root))
     sinks.bundle_texts(b.where("cluster_id = 'c2'"), str(root))
     assert [p.name for p in (root / "texts").iterdir() if p.is_dir()] == ["cluster_id=c2"]
+    row = spark.read.parquet(str(root / "index")).collect()[0]
+    assert (row.cluster_id, row.chars, row.n_parts) == ("c2", 7, 2)
     st = spark.createDataFrame([("w", "m", 1.0)], "workload string, model string, v double")
     sinks.states(st, str(tmp_path / "st"))
     sinks.states(st.withColumn("model", F.lit("n")), str(tmp_path / "st"))
