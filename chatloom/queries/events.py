@@ -83,14 +83,14 @@ def wh_per_item(t: Tables):
 
 
 @query(
-    f"""WITH m AS (SELECT user_id, {_EPOCH} AS t, value AS power_w, json_extract(props, '$.k')::DOUBLE AS temp_c FROM events)
-    SELECT user_id, count(*) AS n_samples, round(max(t) - min(t), 3) AS duration_s, round(avg(power_w), 2) AS power_w_avg,
-      round(max(power_w), 2) AS power_w_peak, round(min(power_w), 2) AS power_w_min, round(avg(temp_c), 2) AS temp_c_avg,
+    f"""WITH m AS (SELECT user_id, {_EPOCH} AS t, round(value * 100)::BIGINT AS power_w, json_extract(props, '$.k')::DOUBLE AS temp_c FROM events)
+    SELECT user_id, count(*) AS n_samples, round(max(t) - min(t), 3) AS duration_s, round(avg(power_w)::DECIMAL(18, 9), 2)::DOUBLE AS power_w_avg,
+      max(power_w) AS power_w_peak, min(power_w) AS power_w_min, round(avg(temp_c)::DECIMAL(18, 9), 2)::DOUBLE AS temp_c_avg,
       round(max(temp_c), 2) AS temp_c_peak, round(min(temp_c), 2) AS temp_c_min, (max(temp_c) >= 83)::BIGINT AS throttled FROM m GROUP BY 1"""
 )
 def telemetry_summary(t: Tables):
     rows = t.events.select(
-        "user_id", seconds().alias("t"), F.col("value").alias("power_w"), F.get_json_object("props", "$.k").cast("double").alias("temp_c")
+        "user_id", seconds().alias("t"), _cents().alias("power_w"), F.get_json_object("props", "$.k").cast("double").alias("temp_c")
     )
     out = telemetry.summary(rows, ["user_id"])
     return out.withColumn("duration_s", F.round("duration_s", 3)).withColumn("throttled", F.col("throttled").cast("bigint"))
@@ -181,24 +181,25 @@ def trace_sequence(t: Tables):
 
 
 @query(
-    """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value,
-      max(value) AS peak_value FROM events GROUP BY 1, 2"""
+    """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, avg(round(value * 100)::BIGINT) AS avg_value,
+      max(round(value * 100)::BIGINT) AS peak_value FROM events GROUP BY 1, 2"""
 )
 def tumbling_windows(t: Tables):
+    """Hourly averages and peaks, in hundredths."""
     w = F.window("ts", "1 hour")
     return t.events.groupBy(w.alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.max("value").alias("peak_value")
+        F.count(F.lit(1)).alias("n"), F.avg(_cents()).alias("avg_value"), F.max(_cents()).alias("peak_value")
     ).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "avg_value", "peak_value")
 
 
 @query(
     """WITH s AS (SELECT ts, value, unnest(range(0, 4)) AS i FROM events)
-    SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M') AS start, count(*) AS n, round(avg(value), 6) AS avg_value
+    SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M') AS start, count(*) AS n, avg(round(value * 100)::BIGINT) AS avg_value
     FROM s GROUP BY 1"""
 )
 def sliding_windows(t: Tables):
     w = F.window("ts", "1 hour", "15 minutes")
-    return t.events.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value")).select(
+    return t.events.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(_cents()).alias("avg_value")).select(
         F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "avg_value"
     )
 
@@ -270,11 +271,11 @@ def coverage_audit(t: Tables):
 
 
 @query(
-    """SELECT count(*) AS served, round(sum(value) / 1000, 4) AS answer_s, arg_max(event_type, (ts, event_id)) AS last_route FROM events"""
+    """SELECT count(*) AS served, round(sum(value) / 1000, 5) AS answer_s, arg_max(event_type, (ts, event_id)) AS last_route FROM events"""
 )
 def query_log_totals(t: Tables):
     log = _log(t)
-    return evaluation.query_log(log)[0].withColumn("answer_s", F.round("answer_s", 4))
+    return evaluation.query_log(log)[0].withColumn("answer_s", F.round("answer_s", 5))
 
 
 @query("""SELECT event_id AS id, event_type AS route, value AS elapsed_ms FROM events ORDER BY ts DESC, event_id DESC LIMIT 20""")
@@ -289,11 +290,11 @@ def _log(t: Tables):
 
 
 @query(
-    f"""SELECT user_id, round(max({_EPOCH}) - min({_EPOCH}), 3) AS seconds FROM events GROUP BY 1"""
+    """SELECT user_id, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS seconds FROM events GROUP BY 1"""
 )
 def stage_timings(t: Tables):
     spans = t.events.groupBy("user_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
-    return perf.stage_seconds(spans, ["user_id"], "started", "ended").withColumn("seconds", F.round("seconds", 3))
+    return perf.stage_seconds(spans, ["user_id"], "started", "ended")
 
 
 # --- scalar columns -------------------------------------------------------

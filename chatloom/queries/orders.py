@@ -120,9 +120,9 @@ def completeness_checks(t: Tables):
 @query(
     f"""WITH {_SQL_IDS}
     SELECT 'files_on_disk' AS check_id, 1::BIGINT AS ok UNION ALL SELECT 'parse_complete', 0
-    UNION ALL SELECT 'newest_in_catalog', (NOT EXISTS (FROM nw WHERE id NOT IN (FROM cat)))::BIGINT
-    UNION ALL SELECT 'catalog_in_exports', (NOT EXISTS (FROM cat WHERE id NOT IN (FROM ex)))::BIGINT
-    UNION ALL SELECT 'export_union', (NOT EXISTS (FROM ex WHERE id NOT IN (FROM cat)))::BIGINT"""
+    UNION ALL SELECT 'newest_in_catalog', (NOT EXISTS (SELECT id FROM nw EXCEPT SELECT id FROM cat))::BIGINT
+    UNION ALL SELECT 'catalog_in_exports', (NOT EXISTS (SELECT id FROM cat EXCEPT SELECT id FROM ex))::BIGINT
+    UNION ALL SELECT 'export_union', (NOT EXISTS (SELECT id FROM ex EXCEPT SELECT id FROM cat))::BIGINT"""
 )
 def verify_verdict(t: Tables):
     rows = catalog.verdict(catalog.completeness(_coverage(t)), F.lit(True), F.lit(False))

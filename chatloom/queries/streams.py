@@ -101,16 +101,17 @@ def stream_strikes(t: Tables):
 
 @query(
     """WITH lim AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
-    SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value, max(value) AS peak_value
+    SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, avg(round(value * 100)::BIGINT) AS avg_value, max(round(value * 100)::BIGINT) AS peak_value
     FROM events, lim GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type, wm HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= wm"""
 )
 def stream_windows(t: Tables):
-    """Hourly windows in append mode: the windows the watermark has closed."""
+    """Hourly windows in append mode, in hundredths: the windows the watermark has closed."""
     folder = _folder(t, "windows")
-    _run(jobs.windowed(_events(t), "ts", ["event_type"], "1 hour", "1 hour"), folder, "append")
+    rows = _events(t).withColumn("value", F.round(F.col("value") * 100).cast("bigint"))
+    _run(jobs.windowed(rows, "ts", ["event_type"], "1 hour", "1 hour"), folder, "append")
     rows = t.spark.read.parquet(f"{folder}/out")
     return rows.select(
-        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("avg_value", 6).alias("avg_value"), "peak_value"
+        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "avg_value", "peak_value"
     )
 
 
