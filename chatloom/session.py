@@ -87,4 +87,7 @@ def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
     adds is never larger than ``max_bytes``.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= max_bytes else df
+    if size > max_bytes:
+        return df
+    # A task should still have some work: no more parts than 64 KB pieces.
+    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, size >> 16)))
