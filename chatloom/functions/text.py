@@ -45,6 +45,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def has_text(c: Column) -> Column:
+    """Is there anything but white space? Stops at the first such character."""
+    return c.rlike(r"(?U)\S")
+
+
 def nonblank(c: Column) -> Column:
     """The stripped text, or null when nothing is left."""
     return F.nullif(strip(c), F.lit(""))

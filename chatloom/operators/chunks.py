@@ -20,7 +20,7 @@ def records(heads: DataFrame, texts: DataFrame, key: str = "id") -> DataFrame:
     """Index input: titled, dated, non-blank transcripts."""
     empty = F.lit("")
     return (
-        heads.join(texts.where(T.strip(F.col("text")) != ""), key)
+        heads.join(texts.where(T.has_text(F.col("text"))), key)
         .withColumn("title", F.coalesce(F.nullif("title", empty), F.lit("(untitled)")))
         .withColumn("update_date", F.coalesce(F.nullif("update_date", empty), F.nullif("create_date", empty), empty))
         .select(key, "title", "update_date", "text")
@@ -54,7 +54,7 @@ def windows(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int =
 
     numbers = F.sequence(F.lit(0), n_windows(F.col("_n"), size, overlap) - 1)
     return (
-        df.where(T.strip(F.col(text)) != "")
+        df.where(T.has_text(F.col(text)))
         .select(*rest, F.length(text).alias("_n"), steps.alias("_steps"))
         .select(*rest, F.explode(F.transform(numbers, window)).alias("w"))
         .select(
@@ -63,7 +63,7 @@ def windows(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int =
             (F.col("w.start") + F.length("w.chunk")).cast("bigint").alias("end"),
             F.col("w.chunk").alias(text),
         )
-        .where(T.strip(F.col(text)) != "")
+        .where(T.has_text(F.col(text)))
     )
 
 

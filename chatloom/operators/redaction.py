@@ -35,7 +35,7 @@ def review(df: DataFrame, key: str, fields: Sequence[str], custom: Sequence[reda
         ).alias("x"),
     ).select(key, "x.field", "x.value")
     return (
-        long.where(T.strip(F.col("value")) != "")
+        long.where(T.has_text(F.col("value")))
         .select(key, "field", F.explode(redact.find(F.col("value"), custom)).alias("f"))
         .select(key, "field", "f.kind", F.substring("f.match", 1, 80).alias("match"))
     )
