@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chatloom.session import shared_dir
 
@@ -21,11 +21,23 @@ def stored(df: DataFrame) -> DataFrame:
     with it, as a lazily read result may still need the files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer file, the same on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -57,3 +69,9 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         held.withColumn(local, inside).join(starts, part)
         .withColumn(name, F.col("_start") + F.col(local)).drop(part, local, "_start")
     )
+
+
+def arrow_batches(spark) -> None:
+    """Bound what one Arrow batch carries, as a few texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import exact_dedup, quality_rules
+from chatloom.llm import bpe, exact_dedup, line_dedup, quality_rules, token_output
+from chatloom.llm.common import scratch, tokenizer_file
 from chatloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,37 @@ def query(sql: str | None = None):
     return add
 
 
+#: A line without blanks at its ends, A-Z in lower case.
+_KEY = """translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+
+
+@query(f"""
+    WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM s),
+    k AS (SELECT doc_id, pos, line, {_KEY} AS key FROM l),
+    c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+    j AS (SELECT k.*, c.top IS NOT NULL AND k.doc_id <> c.top AS gone FROM k LEFT JOIN c USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM j GROUP BY doc_id
+""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, dropped lines and the digest of what stays."""
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.apply(docs, line_dedup.bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and the digests of its ids and of the text decoded from them."""
+    path = tokenizer_file("word_bpe_49k.json")
+    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return tokens.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 @query("""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -39,3 +71,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets, lengths and checksums of all documents' ids, from the ORC files written."""
+    out = scratch(spark)
+    token_output.write(table(spark, sf_dir, "documents"), out, tokenizer_file("byte_bpe_50k.json"))
+    return token_output.with_crc32(token_output.read(spark, out))
