@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import bpe, exact_dedup, line_dedup, quality_rules, token_output
+from chatloom.llm import bpe, exact_dedup, line_dedup, mixing, quality_rules, token_output
 from chatloom.llm.common import scratch, tokenizer_file
 from chatloom.session import table
 
@@ -24,6 +24,13 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and its source's target."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
+
+
 #: A line without blanks at its ends, A-Z in lower case.
 _KEY = """translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
