@@ -23,22 +23,18 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from chatloom.llm.common import arrow_batches, shuffle_parts, text_of
 
-#: Pieces remembered in a task; a larger memo is dropped and begun anew.
-MEMO = 300_000
-#: Whole space-separated chunks remembered in a task, likewise.
-CHUNKS = 400_000
-#: The split that byte-level files imply; fixed by the file format.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Chunks remembered by a Python worker; a larger memo is dropped and begun anew.
+MEMO = 700_000
 BLOCK_CHARS = 1 << 20
 
 
 class Encoder:
-    """A byte-level tokenizer of the library that is asked once for each new piece.
+    """A byte-level tokenizer of the library that is asked once for each new chunk.
 
     A space followed by no blank always opens a piece, so texts without runs of
     blanks fall apart at their spaces, and each part is encoded as it is anywhere
-    else. New words are sent to the library many in one string: a token that begins
-    with a space begins a word.
+    else. New chunks are sent to the library many in one string: a token that begins
+    with a space begins a chunk. Texts of any other kind go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -49,60 +45,55 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.opens = np.zeros(1 + max(vocab.values()), bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.pattern = regex.compile(PATTERN)
+        self.kind = "<u2" if len(self.opens) <= 1 << 16 else "<u4"
         self.blank_run = regex.compile(r" \s| $")
-        self.word = regex.compile(r" \p{L}+")
-        self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def _learn(self, pieces: set[str]) -> None:
-        words = [p for p in pieces if self.word.fullmatch(p)]
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.nonzero(self.opens[ids])[0]
-            if len(starts) == len(part):
-                cuts, raw = [*(starts * 4).tolist(), 4 * len(ids)], ids.tobytes()
-                self.pieces.update((p, raw[a:b]) for p, a, b in zip(part, cuts, cuts[1:]))
-            else:  # a word whose inner token begins with a space: ask one by one
-                self._ask(part)
-        self._ask([p for p in pieces if p not in self.pieces])
-
-    def _ask(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
-            found = self.library.encode_batch_fast(part, add_special_tokens=False)
-            self.pieces.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, found))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed as little-endian 32-bit integers."""
-        if len(self.chunks) > CHUNKS:
+    @classmethod
+    def of_worker(cls, path: str) -> "Encoder":
+        """The encoder of this Python worker: its memo serves all tasks that the worker runs."""
+        import tokenizers
+
+        held = vars(tokenizers).setdefault("_encoders", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember chunks that follow a space."""
+        width = int(self.kind[-1])
+        for k in range(0, len(chunks), 2048):
+            part = chunks[k : k + 2048]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = (np.nonzero(self.opens[ids])[0] * width).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                self.chunks.update((c, raw[a:b]) for c, a, b in zip(part, cuts, [*cuts[1:], len(raw)]))
+            else:  # some token opens with a space inside a chunk: ask one by one
+                self.chunks.update(zip(part, self._whole([" " + c for c in part])))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.chunks) > MEMO:
             self.chunks = {}
-        if len(self.pieces) > MEMO:
-            self.pieces, self.chunks = {}, {}
-        split: list[list[str] | None] = []
+        plain: list[tuple[str, list[str]] | None] = []
         new: set[str] = set()
         for text in texts:
-            if any(s in text for s in self.special):
-                split.append(None)
-            elif "  " in text or self.blank_run.search(text):
-                split.append(self.pattern.findall(text))
+            if any(s in text for s in self.special) or "  " in text or self.blank_run.search(text):
+                plain.append(None)
             else:
                 head, *rest = text.split(" ")
-                # Chunks carry the space that stands before them; the first has none.
-                split.append(([head] if head else []) + [f" {c}" for c in rest])
-            if split[-1] is not None:
-                new.update(c for c in set(split[-1]) if c not in self.chunks)
-        if new:
-            cut = {c: self.pattern.findall(c) for c in new}
-            self._learn({p for ps in cut.values() for p in ps if p not in self.pieces})
-            get = self.pieces.__getitem__
-            self.chunks.update((c, b"".join(map(get, ps))) for c, ps in cut.items())
+                plain.append((head, rest))
+                new.update(rest)
+        self._learn(list(new.difference(self.chunks)))
+        # The first chunk has no space before it; texts that cannot be split are asked whole.
+        alone = iter(self._whole([t if p is None else p[0] for t, p in zip(texts, plain)]))
         get = self.chunks.__getitem__
-        return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if chunks is None else b"".join(map(get, chunks))
-            for t, chunks in zip(texts, split)
-        ]
+        return [np.frombuffer(next(alone) if p is None else next(alone) + b"".join(map(get, p[1])), self.kind) for p in plain]
 
 
 def write(docs: DataFrame, out: str, path: str, end_id: int = 0, id: str = "doc_id", text: str = "text", stripe_mb: int = 16, stride: int = 1000) -> None:
@@ -117,8 +108,8 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0, id: str = "doc_
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = Encoder(path), 0
-        end = int(end_id).to_bytes(4, "little")
+        encoder, before = Encoder.of_worker(path), 0
+        end = np.array([end_id], np.int32)
         for batch in batches:
             texts, first = batch.column(1).to_pylist(), 0
             while first < len(texts):
@@ -126,11 +117,11 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0, id: str = "doc_
                 while last < len(texts) and size < BLOCK_CHARS:
                     size += len(texts[last])
                     last += 1
-                ids = [b + end for b in encoder.encode(texts[first:last])]
-                counts = np.array([len(b) // 4 for b in ids], np.int64)
+                ids = encoder.encode(texts[first:last])
+                counts = np.array([len(x) + 1 for x in ids], np.int64)
                 ends = np.cumsum(counts)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+                flat = np.concatenate([y for x in ids for y in (x, end)], dtype=np.int32, casting="unsafe")
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first),
                      pa.array(before + ends - counts), pa.array(counts), lists],
