@@ -75,3 +75,26 @@ def arrow_batches(spark) -> None:
     """Bound what one Arrow batch carries, as a few texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(doc, component) of every end of the edges (a, b): the smallest id reachable.
+
+    Alternating large-star and small-star steps: every node is re-linked to the
+    smallest id around it until each component is a star. A step aggregates and
+    joins; no neighbour list is ever built.
+    """
+    a, b = F.col("a"), F.col("b")
+    links = stored(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    seen = None
+    while True:
+        state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum("b")).first()
+        if state == seen or not state[0]:
+            return links.select(a.alias("doc"), b.alias("component")).union(links.select(b, b)).distinct()
+        seen = state
+        both = links.union(links.select("b", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        large = both.where(b > a).join(low, "a").select(b.alias("a"), F.col("low").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(a.alias("a"), F.col("low").alias("b")), F.struct(b.alias("a"), F.col("low").alias("b")))).alias("e"))
+        links = stored(small.select("e.*").where(a != b).distinct())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import bpe, exact_dedup, line_dedup, mixing, quality_rules, token_output
+from chatloom.llm import bpe, exact_dedup, line_dedup, minhash, mixing, quality_rules, token_output
 from chatloom.llm.common import scratch, tokenizer_file
 from chatloom.session import table
 
@@ -32,8 +32,8 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A line without blanks at its ends, A-Z in lower case.
-_KEY = """translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+_ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_KEY = f"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_ALPHABET})"
 
 
 @query(f"""
@@ -62,6 +62,25 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+@query(f"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ALPHABET}), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 2 THEN [ws[1]]
+            ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+    r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+    c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d JOIN c USING (doc_id) LEFT JOIN n ON n.doc_id = d.doc_id
+""")
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: two-word shingles, similarity 0.8 or more."""
+    return minhash.groups(table(spark, sf_dir, "documents"), shingle=2)
+
+
 @query("""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
