@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import bpe, exact_dedup, line_dedup, minhash, mixing, quality_rules, token_output
+from chatloom.llm import bpe, exact_dedup, line_dedup, minhash, mixing, quality_rules, token_output, url_filter
 from chatloom.llm.common import scratch, tokenizer_file
 from chatloom.session import table
 
@@ -31,6 +31,16 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
+#: The rules of the URL query.
+URL_RULES = [url_filter.parse_rule(x) for x in ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")]
+
+
+@query()
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL; URLs without a rule are judged by the models."""
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 #: A line without blanks at its ends, A-Z in lower case.
 _ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _KEY = f"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_ALPHABET})"
