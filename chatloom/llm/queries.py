@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import bpe, exact_dedup, line_dedup, minhash, mixing, quality_rules, token_output, url_filter
+from chatloom.llm import bpe, exact_dedup, html_extract, line_dedup, minhash, mixing, quality_rules, token_output, url_filter
 from chatloom.llm.common import scratch, tokenizer_file
 from chatloom.session import table
 
@@ -41,6 +41,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+@query()
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 #: A line without blanks at its ends, A-Z in lower case.
 _ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _KEY = f"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_ALPHABET})"
