@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import bpe, exact_dedup, html_extract, line_dedup, minhash, mixing, quality_rules, token_output, url_filter
+from chatloom.llm import bpe, exact_dedup, html_extract, line_dedup, lm_score, minhash, mixing, quality_rules, token_output, url_filter
 from chatloom.llm.common import scratch, tokenizer_file
 from chatloom.session import table
 
@@ -79,6 +79,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+@query()
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Network and unigram scores of every document, learned from the documents that are not held out."""
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 @query(f"""
     WITH RECURSIVE w AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ALPHABET}), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
