@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import exact_dedup, quality_rules
-from chatloom.llm.common import stored
+from chatloom.llm import bpe, exact_dedup, minhash, mixing, quality_rules
+from chatloom.llm.common import stored, tokenizer_file
 from chatloom.session import table
 
 
@@ -15,11 +15,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, the one of smallest id."""
     return exact_dedup.keep_rows(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    return minhash.keep_rows(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it, up to three times."""
+    return mixing.repeat_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document taken, packed as little-endian 32-bit integers, and the text decoded from them."""
+    path = tokenizer_file("word_bpe_49k.json")
+    return bpe.decode(bpe.encode(docs, path), path)
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix), ("bpe_tokens", tokens)]
 
 #: Learned rules, tilted rates and tokens are not SQL; the stages are tested one by one.
 ORACLE_SQL = None
