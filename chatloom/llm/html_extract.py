@@ -182,8 +182,9 @@ COMMON_KINDS = np.array([
     [0.38, 0.08, 0.07, 0.34, 0.05, 0.02, 0.06],
 ])
 #: Log-potential of (state, what the name says): nothing, furniture by tag, content by tag, furniture by word, content by word.
-#: A tag outweighs any text; an article inside an element of ambiguous class outweighs the class.
-NAMES = np.array([[0, -4000, -8, -400, -2], [0, -4000, 0, -400, 0], [-1, 0, -1000, 0, -20]], float)
+#: A tag outweighs any text; an article inside an element of ambiguous class outweighs the class. Furniture
+#: seldom begins without a name.
+NAMES = np.array([[0, -4000, -8, -400, -2], [0, -4000, 0, -400, 0], [-3, 0, -1000, 0, -20]], float)
 
 
 def inside(nodes: list[Node]) -> list[bool] | None:

@@ -120,6 +120,9 @@ def vocabulary(counts: DataFrame, table_words: int) -> Vocabulary:
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.col("c").desc(), "word").limit(table_words).toArrow()
     words, c = top["word"].to_pylist(), top["c"].to_numpy().astype(np.int64)
+    if words and END not in words:  # the end token is always in the table
+        words.append(END)
+        c = np.append(c, counts.where(F.length("word") == 0).first()["c"])
     last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int")
     bucket = F.when(F.length("word") > 0, F.pmod(last, F.lit(BUCKETS))).otherwise(0).alias("b")
     sums = counts.groupBy(bucket).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
