@@ -229,3 +229,46 @@ REDACTION_PATTERNS = [
     ("conversation id field", "‹token›", r"source_conversation_ids"),
 ]
 CUSTOM_PLACEHOLDER = "‹redacted›"
+
+# Wordings that carry a version or a definition. <first>, <stem>, <ending>
+# and <second> stand for the parts of the product's name, <term> for the acronym.
+VERSION_AFTER_NAME = (
+    r"(?iU)(?:<first>[-_ ]?<stem>(?:<ending>)?[-_ ]?v?|package_version\s*[=:]\s*\"?|\b<second>\s+v)(\d+\.\d+(?:\.\d+)?)"
+)
+PRODUCT_CONTEXT = r"(?iU)<first>[-_ ]?<stem>"
+DOUBT_OBJECT = r"(?iU)(?:do not approve|don'?t approve|not approve|reject(?:ing|ed)?)\s+v?(\d+\.\d+)"
+DOUBT_SUBJECT = r"(?iU)v?(\d+\.\d+)\s+(?:is\s+)?(?:not stable|unstable|not yet stable|is not approved)"
+DEFINITIONS = [
+    r"(?iU)\b<term>\b\s*\(\s*([A-Za-z][\w/-]*(?:\s+[A-Za-z][\w/-]*){1,5})\s*\)",
+    r"(?iU)([A-Za-z][\w/-]*(?:\s+[A-Za-z][\w/-]*){1,5})\s*\(\s*<term>\s*\)",
+    r"(?iU)\b<term>\b\s*(?:stands?\s+for|means?|is\s+short\s+for|short\s+for|is\s+an?\s+acronym\s+for|refers?\s+to|[:=—–])"
+    r"\s+([A-Za-z][\w/-]*(?:\s+[A-Za-z][\w/-]*){1,5})",
+]
+
+# Phrases that tell what a question asks for; * stands for any part of a word.
+ASKING = ["what", "which"]
+EXPLAINING = ["why", "how"]
+SUPERLATIVES = ["newest", "latest", "most recent", "current", "highest", "overall"]
+VERSION_NOUNS = ["version", "release", "profile"]
+STABLE_PHRASES = ["stable version", "latest stable", "current stable", "most recent stable", "stable release"]
+STABLE_PARTS = ["stable*"]
+NEWEST_PHRASES = ["newest", "overall", "highest", "latest version", "most recent version", "current version"]
+DEFINING = ["what", "what's", "what is", "what does", "define", "explain", "expand"]
+DEFINING_LINKS = ["the", "does"]
+ACRONYM_NOUNS = ["acronym", "abbreviation"]
+MEANING_VERBS = ["stand for", "stands for", "mean", "means", "short for", "refer to", "refers to", "abbreviat*"]
+
+# Fields of the contract that a valid item may lack.
+OPTIONAL_FIELDS = [
+    ("software_app", "key_features"),
+    ("runtime_package", "api_surface"),
+    ("ai_agent_prompt", "how_to_use"),
+    ("automation_or_diagnostic_script", "how_to_update"),
+    ("data_extraction_processing", "transform_summary"),
+    ("research_analysis", "methods"),
+    ("study_education_resource", "learning_outcome"),
+    ("content_writing", "audience_and_tone"),
+    ("media_generation", "constraints"),
+    ("advisory_troubleshooting", "still_open"),
+    ("controlled_spec_or_schema", "how_to_update"),
+]

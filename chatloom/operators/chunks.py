@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as ty
 
 from chatloom.functions import text as T
-from chatloom.plans.blocks import int_block, running
+from chatloom.plans.blocks import running_total
 
 SIZE, OVERLAP = 1200, 200
 SCHEMA_TAG = "chunk-index/1"
@@ -72,7 +72,7 @@ def embed_input(title: Column, date: Column, chunk: Column, titled: bool = True)
 
 
 def hashed_words(dim: int = 64) -> Embed:
-    """Default embedder: hashed bag of words. Needs no model and gives the same vectors everywhere."""
+    """Stand-in for a model where ``embed`` wants a function: dense vectors of ``hashed_counts``."""
     import hashlib
     import re
 
@@ -89,6 +89,16 @@ def hashed_words(dim: int = 64) -> Embed:
     return embed
 
 
+def hashed_counts(df: DataFrame, text: str, keys: Sequence[str], dim: int = 64) -> DataFrame:
+    """Hashed bag of words as sparse vectors: one row (keys, ``i``, ``n``) per dimension that is not zero.
+
+    The same numbers as ``hashed_words``, made by column functions and one aggregate.
+    """
+    words = df.select(*keys, F.explode(T.words(F.col(text))).alias("word"))
+    i = F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("bigint") % dim
+    return words.groupBy(*keys, i.alias("i")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def embed(df: DataFrame, text: str, fn: Embed, batch: int = 16, out: str = "vec") -> DataFrame:
     """Add the vectors of a user-supplied ``fn(texts)``, called on small batches in row order."""
     schema = ty.StructType([*df.schema.fields, ty.StructField(out, ty.ArrayType(ty.FloatType()))])
@@ -140,19 +150,10 @@ def refresh(now_chunks: DataFrame, old_index: DataFrame, key: str, fn: Embed, ba
     return kept.select(fresh.columns).unionByName(fresh)
 
 
-def row_offsets(counts: DataFrame, key: str, block_width: int = 65536) -> DataFrame:
-    """Dense ``row_start``/``row_end`` of each chat in key order, from chunk counts.
-
-    The order is global, so the sums run over key blocks and then inside a block.
-    """
-    return running(
-        counts.select(key, "n_chunks"),
-        [],
-        [key],
-        int_block(F.col(key), block_width),
-        {"row_start": ("sum", F.col("n_chunks"))},
-        inclusive=False,
-    ).select(key, "n_chunks", "row_start", (F.col("row_start") + F.col("n_chunks")).alias("row_end"))
+def row_offsets(counts: DataFrame, key: str) -> DataFrame:
+    """Dense ``row_start``/``row_end`` of each chat in key order, from chunk counts. Keys may be of any type."""
+    rows = running_total(counts.select(key, "n_chunks"), [key], F.col("n_chunks"), "row_start")
+    return rows.select(key, "n_chunks", "row_start", (F.col("row_start") + F.col("n_chunks")).alias("row_end"))
 
 
 def index_delta(catalog: DataFrame, indexed: DataFrame, key: str, max_refresh: int = 200) -> DataFrame:

@@ -58,10 +58,9 @@ def item_rules() -> dict[str, Column]:
 
 
 def missing_contract_keys(items: DataFrame, key: str = "slug") -> DataFrame:
-    """``(key, field)`` that an item's archetype demands and its open fields lack."""
-    bank = F.broadcast(
-        items.sparkSession.createDataFrame(banks.FIELD_CONTRACT, "archetype string, field string, is_list boolean")
-    )
+    """``(key, field)`` that a valid item of its archetype must have and its open fields lack."""
+    demanded = [(a, f) for a, f, _ in banks.FIELD_CONTRACT if (a, f) not in banks.OPTIONAL_FIELDS]
+    bank = F.broadcast(items.sparkSession.createDataFrame(demanded, "archetype string, field string"))
     return (
         items.join(bank, "archetype")
         .where(~F.coalesce(F.map_contains_key("archetype_fields", F.col("field")), F.lit(False)))

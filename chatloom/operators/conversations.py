@@ -161,11 +161,24 @@ def _flat(v: Column, depth: int) -> Column:
     return F.when(_is_text(v), T.strip(_str(v))).otherwise(T.strip(inner))
 
 
-def flat_text(v: Column, depth: int = 4) -> Column:
-    """Text of a string, a list or an object field, down to ``depth`` levels."""
+def flat_text(v: Column, depth: int) -> Column:
+    """Text of a string, a list or an object field, down to ``depth`` levels (see ``nesting``)."""
     return T.let(v, lambda x: _flat(x, depth))
 
 
+def nesting(json: Column) -> Column:
+    """How many containers enclose the deepest value of a JSON text."""
+    bare = F.regexp_replace(json, r'"(?:[^"\\\\]|\\\\.)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, mark: Column) -> Column:
+        now = acc["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step)["most"]
+
+
 def _pick(*cols: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cols], F.lit(""))
 
@@ -183,7 +196,12 @@ FLAT_FIELDS = ["title", "text", "url", "result", "summary", "thoughts", "content
 
 
 def read_messages(df: DataFrame, message: str = "message") -> DataFrame:
-    """Replace a message JSON column by role, content_type, text, model and attachments."""
+    """Replace a message JSON column by role, content_type, text, model and attachments.
+
+    The walk into nested content is as deep as the deepest message, which one
+    aggregate finds out first.
+    """
+    depth = max(1, df.agg(F.max(nesting(F.col(message)))).first()[0] or 0)
     rest = [c for c in df.columns if c != message]
     kept = [F.col(c) for c in rest]
     parsed = df.select(*kept, F.try_parse_json(F.col(message)).alias("_m")).withColumn(
@@ -196,7 +214,7 @@ def read_messages(df: DataFrame, message: str = "message") -> DataFrame:
         "_content",
         F.coalesce(_str(_get(F.col("_content"), "$.content_type")), F.lit("")).alias("content_type"),
         *[_get(F.col("_content"), f"$.{k}").alias(f"_raw_{k}") for k in FLAT_FIELDS],
-    ).select("*", *[flat_text(raw(k)).alias(f"_f_{k}") for k in FLAT_FIELDS], flat_text(F.col("_content")).alias("_f_all"))
+    ).select("*", *[flat_text(raw(k), depth).alias(f"_f_{k}") for k in FLAT_FIELDS], flat_text(F.col("_content"), depth).alias("_f_all"))
 
     kind = F.col("content_type")
     quoted = F.concat_ws(" — ", F.nullif("_f_title", F.lit("")), F.nullif("_f_text", F.lit("")))
@@ -254,7 +272,7 @@ def read_messages(df: DataFrame, message: str = "message") -> DataFrame:
 def messages(conversations: DataFrame) -> DataFrame:
     """Messages of the active branch, root first: ``pos`` counts from 0.
 
-    The result is written to the shared folder once, as every card table reads it.
+    The branch and the result are written to the shared folder once, as both are read again.
     """
     rows = nodes(conversations)
     ends = leaves(conversations.select("conv_id", "current_node"), rows)
@@ -266,7 +284,7 @@ def messages(conversations: DataFrame) -> DataFrame:
         .join(rows.select("conv_id", "node_id", "message"), ["conv_id", "node_id"])
         .select("conv_id", "pos", "message")
     )
-    return cut(read_messages(placed))
+    return cut(read_messages(cut(placed)))
 
 
 def turns(message_rows: DataFrame) -> DataFrame:

@@ -10,50 +10,65 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chatloom.banks import NOT_FOUND, NOT_FOUND_PHRASES, REFUSAL_CUES
 from chatloom.functions import vectors as V
-from chatloom.operators.retrieval import DIGITS, _unit, rank_chats
-from chatloom.plans.pairing import meet
+from chatloom.operators.retrieval import BLOCK_BYTES, DIGITS, _unit, slices
+from chatloom.plans.pairing import meet, vector_bytes
+from chatloom.session import cut
 
 KS = (5, 8, 10)
 
 
 def scope(records: DataFrame, gold: DataFrame, key: str, distractors: int | None, seed: int = 0) -> DataFrame:
-    """All gold chats, plus all others or a fixed pseudo-random sample of them."""
+    """All gold chats, plus all others or a fixed pseudo-random sample of them (by md5 of seed and key)."""
     wanted = gold.select(key).distinct()
     others = records.join(wanted, key, "left_anti")
     if distractors is not None:
-        others = others.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(distractors)
+        drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+        others = others.orderBy(drawn, key).limit(distractors)
     return records.join(wanted, key, "left_semi").unionByName(others)
 
 
-def _above_kernel(batches: Iterator[pd.DataFrame], queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Chats of a partition that outrank the best gold chat, once per (query, chat)."""
-    if not len(queries):
-        return
-    q, ids = _unit(queries["qvec"]), queries["query_id"].to_numpy()
-    floors, rows0 = queries["gold_score"].to_numpy(), queries["gold_row"].to_numpy()
-    seen: set[tuple] = set()
-    for batch in batches:
-        if not len(batch):
-            continue
-        sims = np.round(_unit(batch["vec"]) @ q.T, DIGITS)
-        rows, chats = batch["row_id"].to_numpy(), batch["chat_id"].to_numpy()
-        out_q, out_c = [], []
-        for j, qid in enumerate(ids):
-            above = (sims[:, j] > floors[j]) | ((sims[:, j] == floors[j]) & (rows < rows0[j]))
-            for chat in np.unique(chats[above]):
-                if (qid, chat) not in seen:
-                    seen.add((qid, chat))
-                    out_q.append(qid)
-                    out_c.append(chat)
-        if out_q:
-            yield pd.DataFrame({"query_id": out_q, "chat_id": out_c})
+def _rank_kernel(block_bytes: int = BLOCK_BYTES):
+    """Per query: the chats of a stream that outrank the best gold chat, as a count, and the best score.
+
+    Rows come sorted by chat; a chat that goes on in the next batch is counted once.
+    """
+
+    def kernel(batches: Iterator[pd.DataFrame], queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(queries):
+            return
+        q, ids = _unit(queries["qvec"]), queries["query_id"].to_numpy()
+        floors, rows0 = queries["gold_score"].to_numpy(dtype="float64"), queries["gold_row"].to_numpy(dtype="float64")
+        n_above, top1 = np.zeros(len(q), np.int64), np.full(len(q), -np.inf)
+        open_chat, open_above = None, np.zeros(len(q), bool)
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch.sort_values("chat_id", kind="stable")
+            unit, rows, chats = _unit(batch["vec"]), batch["row_id"].to_numpy(), batch["chat_id"].to_numpy()
+            last_above = np.zeros(len(q), bool)
+            for part, some in slices(len(batch), len(q), block_bytes // 4):
+                sims = np.round(unit[part] @ q[some].T, DIGITS)
+                top1[some] = np.maximum(top1[some], sims.max(axis=0))
+                # Unknown gold compares as false.
+                above = (sims > floors[some]) | ((sims == floors[some]) & (rows[part, None] < rows0[some]))
+                mine = chats[part]
+                first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+                per_chat = np.logical_or.reduceat(above, first, axis=0)
+                # A block begins where the one above it ended, maybe within a chat.
+                before = open_above[some] if part.start == 0 and mine[0] == open_chat else last_above[some] if part.start and mine[0] == chats[part.start - 1] else np.zeros(per_chat.shape[1], bool)
+                n_above[some] += per_chat.sum(axis=0) - (per_chat[0] & before)
+                last_above[some] = per_chat[-1] | (before if len(first) == 1 else False)
+            open_chat, open_above = chats[-1], last_above
+        yield pd.DataFrame({"query_id": ids, "n_above": n_above, "top1": top1})
+
+    return kernel
 
 
 def gold_ranks(chunks: DataFrame, queries: DataFrame, gold: DataFrame, **bounds) -> DataFrame:
     """Rank of the best gold chat per query and the best score of any chat.
 
-    Only chats that outrank gold are emitted; the rank is their number plus one,
-    so no full ranking is sorted or stored.
+    The rank is the number of chats that outrank gold plus one. One pass over the
+    vectors returns a count and a best score per query and task; no pair leaves it.
     """
     types = {**dict(chunks.dtypes), **dict(queries.dtypes)}
     pairs = gold.join(chunks.select("chat_id", "row_id", "vec"), "chat_id").join(queries.select("query_id", "qvec"), "query_id")
@@ -61,30 +76,23 @@ def gold_ranks(chunks: DataFrame, queries: DataFrame, gold: DataFrame, **bounds)
     best = pairs.groupBy("query_id").agg(F.min(F.struct((-score).alias("neg"), "row_id")).alias("g")).select(
         "query_id", (-F.col("g.neg")).alias("gold_score"), F.col("g.row_id").alias("gold_row")
     )
-    asked = queries.select("query_id", "qvec").join(best, "query_id")
-    above = meet(
-        chunks.select("row_id", "chat_id", "vec"),
+    asked = cut(queries.select("query_id", "qvec").join(best, "query_id", "left"))
+    together = chunks.select("row_id", "chat_id", "vec").repartition("chat_id").sortWithinPartitions("chat_id")
+    seen = meet(
+        together,
         asked,
-        _above_kernel,
-        f"query_id {types['query_id']}, chat_id {types['chat_id']}",
-        "row_id",
+        _rank_kernel(),
+        f"query_id {types['query_id']}, n_above bigint, top1 double",
+        "chat_id",
         "query_id",
+        vector_bytes("vec"),
+        vector_bytes("qvec"),
         **bounds,
-    )
-    outranked = above.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_above"))
-    top = rank_chats(chunks.withColumn("weight", F.lit(1.0)), queries, 1, **bounds).select(
-        "query_id", F.col("score").alias("top1")
-    )
-    return (
-        queries.select("query_id")
-        .join(best.select("query_id", "gold_score"), "query_id", "left")
-        .join(outranked, "query_id", "left")
-        .join(top, "query_id", "left")
-        .select(
-            "query_id",
-            F.when(F.col("gold_score").isNotNull(), F.coalesce("n_above", F.lit(0)) + 1).alias("rank"),
-            F.coalesce("top1", F.lit(0.0)).alias("top1"),
-        )
+    ).groupBy("query_id").agg(F.sum("n_above").alias("n_above"), F.max("top1").alias("top1"))
+    return asked.select("query_id", "gold_score").join(seen, "query_id", "left").select(
+        "query_id",
+        F.when(F.col("gold_score").isNotNull(), F.coalesce("n_above", F.lit(0)) + 1).alias("rank"),
+        F.when(F.col("top1") > float("-inf"), F.col("top1")).otherwise(0.0).alias("top1"),
     )
 
 

@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatloom.functions import text as T
-from chatloom.plans.pairing import meet
+from chatloom.plans.pairing import meet, vector_bytes
 
 # Scores are rounded before ranking, so the order of additions cannot reorder ties.
 DIGITS = 9
 
 
+#: Bytes of one block of scores inside a task.
+BLOCK_BYTES = 64 << 20
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype="float64") for v in vectors])
     n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -22,13 +26,31 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / n
 
 
+def slices(rows: int, queries: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[slice, slice]]:
+    """Cuts of a rows x queries matrix of doubles into blocks of bounded bytes."""
+    tall = max(1, min(rows, block_bytes // 8))
+    wide = max(1, block_bytes // (8 * tall))
+    for i in range(0, rows, tall):
+        for j in range(0, queries, wide):
+            yield slice(i, min(i + tall, rows)), slice(j, min(j + wide, queries))
+
+
 def _best(found: pd.DataFrame, pool: int) -> pd.DataFrame:
     ranked = found.sort_values(["query_id", "score", "row_id"], ascending=[True, False, True], kind="stable")
     return ranked.groupby("query_id", sort=False).head(pool)
 
 
-def _top_kernel(pool: int, best_per_chat: bool):
-    """Survivors of each batch: the ``pool`` best rows (or chats) per query."""
+def _floors(scores: np.ndarray, pool: int) -> np.ndarray:
+    """Per column, the score that the ``pool`` best values reach."""
+    n = len(scores)
+    return np.partition(scores, n - pool, axis=0)[n - pool] if n > pool else np.full(scores.shape[1], -np.inf)
+
+
+def _top_kernel(pool: int, best_per_chat: bool, block_bytes: int = BLOCK_BYTES):
+    """Survivors of each batch: the ``pool`` best rows (or chats) per query.
+
+    A block of scores is cut to its best before any row of a frame is made.
+    """
 
     def kernel(batches: Iterator[pd.DataFrame], queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(queries):
@@ -38,27 +60,30 @@ def _top_kernel(pool: int, best_per_chat: bool):
         for batch in batches:
             if not len(batch):
                 continue
-            sims = np.round(_unit(batch["vec"]) @ q.T, DIGITS)
-            scores = np.round(sims * batch["weight"].to_numpy(dtype="float64")[:, None], DIGITS)
+            batch = batch.sort_values(["chat_id", "row_id"], kind="stable") if best_per_chat else batch
+            unit, weight = _unit(batch["vec"]), batch["weight"].to_numpy(dtype="float64")
             rows, chats = batch["row_id"].to_numpy(), batch["chat_id"].to_numpy()
-            found = []
-            for j, qid in enumerate(q_ids):
-                s = scores[:, j]
-                keep = s > 0.0 if not best_per_chat else np.ones(len(s), dtype=bool)
-                if not best_per_chat and keep.sum() > pool:
-                    floor = np.partition(s[keep], keep.sum() - pool)[keep.sum() - pool]
-                    keep &= s >= floor
-                at = np.flatnonzero(keep)
-                found.append(
-                    pd.DataFrame(
-                        {"query_id": qid, "row_id": rows[at], "chat_id": chats[at], "sim": sims[at, j], "score": s[at]}
-                    )
-                )
-            new = pd.concat(found if held is None else [held, *found], ignore_index=True)
-            if best_per_chat:
-                new = new.sort_values(["score", "row_id"], ascending=[False, True], kind="stable")
-                new = new.drop_duplicates(["query_id", "chat_id"])
-            held = _best(new, pool)
+            for part, some in slices(len(batch), len(q), block_bytes // 4):
+                sims = np.round(unit[part] @ q[some].T, DIGITS)
+                scores = np.round(sims * weight[part, None], DIGITS)
+                if best_per_chat:
+                    mine = chats[part]
+                    first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+                    of = np.cumsum(np.concatenate(([0], mine[1:] != mine[:-1])))
+                    tops = np.maximum.reduceat(scores, first, axis=0)
+                    tops[tops < _floors(tops, pool)] = np.inf  # chats that cannot be among the best
+                    keep = scores == tops[of]
+                else:
+                    keep = (scores > 0.0) & (scores >= _floors(scores, pool))
+                i, j = np.nonzero(keep)
+                new = pd.DataFrame({
+                    "query_id": q_ids[some][j], "row_id": rows[part][i], "chat_id": chats[part][i], "sim": sims[i, j], "score": scores[i, j]})
+                if held is not None:
+                    new = pd.concat([held, new], ignore_index=True)
+                if best_per_chat:
+                    new = new.sort_values(["score", "row_id"], ascending=[False, True], kind="stable")
+                    new = new.drop_duplicates(["query_id", "chat_id"])
+                held = _best(new, pool)
         if held is not None and len(held):
             yield held
 
@@ -71,7 +96,9 @@ def _hits(chunks: DataFrame, queries: DataFrame, pool: int, best_per_chat: bool,
         f"query_id {types['query_id']}, row_id {types['row_id']}, chat_id {types['chat_id']}, sim double, score double"
     )
     data = chunks.select("row_id", "chat_id", "vec", "weight")
-    return meet(data, queries.select("query_id", "qvec"), _top_kernel(pool, best_per_chat), schema, "row_id", "query_id", **bounds)
+    return meet(
+        data, queries.select("query_id", "qvec"), _top_kernel(pool, best_per_chat), schema, "row_id", "query_id",
+        vector_bytes("vec"), vector_bytes("qvec"), **bounds)
 
 
 def retrieve(
@@ -167,50 +194,37 @@ def prompts(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFra
 # --- keyword search -------------------------------------------------------
 
 
-def _word_kernel(k: int):
-    """Per batch and word: the ``k`` newest documents that contain the word anywhere."""
-    import ahocorasick
+def word_hits(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """(word, doc_id) of every text that contains the word anywhere.
 
-    def kernel(batches: Iterator[pd.DataFrame], words: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for word in words["word"].unique():
-            automaton.add_word(word, word)
-        if not len(automaton):
-            return
-        automaton.make_automaton()
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            found = []
-            for doc, date, haystack in zip(batch["doc_id"], batch["update_date"], batch["haystack"]):
-                found.extend((w, doc, date) for w in {w for _, w in automaton.iter(haystack)})
-            new = pd.DataFrame(found, columns=["word", "doc_id", "update_date"])
-            both = new if held is None else pd.concat([held, new], ignore_index=True)
-            both = both.sort_values(["update_date", "doc_id"], ascending=[False, True], kind="stable")
-            held = both.groupby("word", sort=False).head(k)
-        if held is not None and len(held):
-            yield held
+    A word is letters and digits only, so a text contains it exactly when one of its
+    own tokens does. Distinct tokens are cut into pieces of the words' lengths and
+    met with the words by equality, once, whatever the number of texts.
+    """
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("token"))
+    # A handful of numbers: as many as the words have lengths.
+    lengths = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect())
+    none = F.array().cast("array<string>")
 
-    return kernel
+    def pieces_of(n: int) -> Column:
+        last = F.length("token") - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr("token", i, F.lit(n)))).otherwise(none)
 
+    cuts = F.flatten(F.array(*[pieces_of(n) for n in lengths])) if lengths else none
+    sized = tokens.select("token").distinct()
+    pieces = sized.select("token", F.explode(F.array_distinct(cuts)).alias("word"))
+    found = pieces.join(words.select("word").distinct(), "word")
+    return tokens.join(found, "token").select("word", "doc_id").distinct()
 
-def keyword_fallback(questions: DataFrame, docs: DataFrame, k: int = 8, **bounds) -> DataFrame:
+
+def keyword_fallback(questions: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
     """Up to ``k`` documents per question from its salient words, longest word first.
 
     ``questions``: query_id, question. ``docs``: doc_id, update_date, text. Within
-    a word newer documents come first; a document keeps its first place. All words
-    are matched in one pass over the texts instead of one scan per word.
+    a word newer documents come first; a document keeps its first place.
     """
     asked = questions.select("query_id", F.posexplode(T.salient_words(F.col("question"))).alias("word_no", "word"))
-    types = dict(docs.dtypes)
-    hits = meet(
-        docs.select("doc_id", "update_date", F.lower("text").alias("haystack")),
-        asked.select("word").distinct(),
-        _word_kernel(k),
-        f"word string, doc_id {types['doc_id']}, update_date {types['update_date']}",
-        "doc_id",
-        "word",
-        **bounds,
-    )
+    hits = word_hits(asked.select("word").distinct(), docs).join(docs.select("doc_id", "update_date"), "doc_id")
     newest = Window.partitionBy("word").orderBy(F.desc("update_date"), "doc_id")
     top = hits.withColumn("at", F.row_number().over(newest)).where(F.col("at") <= k)
     first = asked.join(top, "word").groupBy("query_id", "doc_id").agg(F.min(F.struct("word_no", "at", "word")).alias("f"))

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chatloom.session import cut
+
 BLOCK = "_blk"
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -74,6 +76,21 @@ def running(
     return joined.select(*df.columns, *out)
 
 
+def running_total(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows before, in one global order of any type.
+
+    Rows are range-sorted into even parts and written once; each part is summed by
+    itself and shifted by the parts before it, which are one row each.
+    """
+    held = cut(df.withColumn("_v", value).orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = held.groupBy("_part").agg(F.sum("_v").alias("_t"))
+    # One row per part of the session's shuffles.
+    starts = totals.select("_part", F.coalesce(F.sum("_t").over(before.orderBy("_part")), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_v").over(before.partitionBy("_part").orderBy(*order)), F.lit(0))
+    return held.withColumn("_inside", inside).join(starts, "_part").select(*df.columns, (F.col("_start") + F.col("_inside")).alias(name))
+
+
 def previous(
     df: DataFrame,
     keys: Sequence[str],

@@ -2,11 +2,11 @@
 
 Exact similarity search has to compare every stored row with every query. The
 comparison runs inside Arrow batches and each batch returns only its survivors
-(a per-query top list, a match list), so pairs are never rows of a plan.
+(a per-query top list, a count), so pairs are never rows of a plan.
 
-The query table is broadcast only when counting it proves it small. Beyond that
-bound both sides are cut into blocks and every (query block, data block) cell is
-one bounded group of a cogroup.
+Both sides are cut by bytes. A query side that fits one cell is sent to all tasks;
+beyond that the two sides form a grid of cells, each a bounded group of a cogroup.
+One aggregate over the query side (and, for a grid, one over the data) decides.
 """
 
 from __future__ import annotations
@@ -15,14 +15,23 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_BROADCAST_ROWS = 20_000
-CELL_ROWS = 50_000
+#: Bytes of one side of a cell, whatever the width of its rows.
+CELL_BYTES = 64 << 20
 
 Kernel = Callable[[Iterator[pd.DataFrame], pd.DataFrame], Iterator[pd.DataFrame]]
 
 
+def _cells(df: DataFrame, width: Column, cell_bytes: int) -> int:
+    return max(1, math.ceil((df.agg(F.sum(width)).first()[0] or 0) / cell_bytes))
+
+
+def vector_bytes(column: str) -> Column:
+    """Bytes of a row that holds a vector of doubles and a few short columns."""
+    return F.lit(8) * F.size(column) + 64
+
+
 def meet(
     data: DataFrame,
     queries: DataFrame,
@@ -30,20 +39,25 @@ def meet(
     schema: str,
     data_id: str,
     query_id: str,
-    max_rows: int = MAX_BROADCAST_ROWS,
-    cell_rows: int = CELL_ROWS,
+    data_width: Column,
+    query_width: Column,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
-    probe = queries.limit(max_rows + 1).toPandas()
-    if len(probe) <= max_rows:
-        shared = data.sparkSession.sparkContext.broadcast(probe)
+    """Survivors of ``kernel`` over all rows and queries; the result does not depend on the cells.
+
+    A group of the grid is chosen by a hash of ``data_id``, so rows that a kernel must
+    see together share it.
+    """
+    q_blocks = _cells(queries, query_width, cell_bytes)
+    if q_blocks == 1:
+        shared = data.sparkSession.sparkContext.broadcast(queries.toPandas())
 
         def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from kernel(batches, shared.value)
 
         return data.mapInPandas(whole, schema)
 
-    q_blocks = math.ceil(queries.count() / max_rows)
-    d_blocks = max(1, math.ceil(data.count() / cell_rows))
+    d_blocks = _cells(data, data_width, cell_bytes)
     left = data.withColumn("_d", F.pmod(F.xxhash64(data_id), F.lit(d_blocks))).withColumn(
         "_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     )

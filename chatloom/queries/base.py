@@ -20,7 +20,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         rows = table(self.spark, self.sf_dir, name)
-        # Texts take long per row, so even a small file is worth all cores.
+        # Texts take long per row: a caller may want even a small file on all cores.
         return spread(rows) if name in ("documents", "pages") else rows
 
 

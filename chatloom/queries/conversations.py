@@ -26,18 +26,18 @@ def turns(t: Tables):
 
 
 def heads(t: Tables):
-    """Conversation headers; the first turn's opening characters stand in for the title."""
+    """Conversation headers; the first turn stands in for the title."""
     first = t.conversations.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("f"), F.max("turn").alias("last"))
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("last").cast("int")), "yyyy-MM-dd")
     return first.select(
-        "conv_id", F.substring("f.text", 1, 9).alias("title"), F.col("last").cast("double").alias("create_time"),
+        "conv_id", F.col("f.text").alias("title"), F.col("last").cast("double").alias("create_time"),
         day.alias("create_date"), day.alias("update_date"),
     )
 
 
 _SQL_HEADS = """
 heads AS (
-  SELECT conv_id, left(first(text ORDER BY turn), 9) AS title, max(turn)::DOUBLE AS create_time,
+  SELECT conv_id, first(text ORDER BY turn) AS title, max(turn)::DOUBLE AS create_time,
     strftime(DATE '2024-01-01' + max(turn)::INTEGER, '%Y-%m-%d') AS create_date
   FROM conversations GROUP BY conv_id
 )"""
@@ -124,15 +124,17 @@ def catalog_info(t: Tables):
 
 _SQL_GROUPS = f"""
 grp AS (
-  SELECT CASE WHEN k = '' THEN 'unclustered-' || left(conv_id::VARCHAR, 8) ELSE k END AS slug, h.*
+  SELECT CASE WHEN k = '' THEN 'unclustered-' || left(conv_id::VARCHAR, 8) ELSE list_min(string_split(k, '-')) END AS slug,
+    list_max(string_split(k, '-')) AS cid, h.*
   FROM (SELECT *, {_KEBAB.format('title')} AS k FROM heads) h
 )"""
 
 
 def grouped(t: Tables):
+    """Conversations in made-up clusters: by the alphabetically first word of the whole title."""
     slug = T.kebab(F.col("title"))
     own = F.concat(F.lit("unclustered-"), F.substring(F.col("conv_id").cast("string"), 1, 8))
-    return heads(t).withColumn("cluster_id", F.when(slug == "", own).otherwise(slug))
+    return heads(t).withColumn("cluster_id", F.when(slug == "", own).otherwise(F.array_min(F.split(slug, "-"))))
 
 
 @query(
@@ -172,14 +174,14 @@ def cluster_rollup(t: Tables):
     f"""WITH {_SQL_HEADS}, {_SQL_GROUPS},
     votes AS (
       SELECT cid, slug, count(*) AS n, min(create_time) AS t0, arg_min(conv_id, (create_time, conv_id)) AS c0
-      FROM (SELECT *, left(slug, 1) AS cid FROM grp) GROUP BY 1, 2)
+      FROM grp GROUP BY 1, 2)
     SELECT cid AS cluster_id, arg_min(slug, (-n, t0, c0)) AS slug FROM votes GROUP BY cid"""
 )
 def canonical_slug(t: Tables):
-    """Most common slug among the members of a cluster (here: slugs with one initial)."""
+    """Most common slug among the members of a cluster (here: titles with one alphabetically last word)."""
     rows = grouped(t)
     primary = rows.select("conv_id", F.col("cluster_id").alias("slug"))
-    members = rows.withColumn("cluster_id", F.substring("cluster_id", 1, 1))
+    members = rows.withColumn("cluster_id", F.array_max(F.split(T.kebab(F.col("title")), "-")))
     return clusters.canonical_slug(members, primary)
 
 
@@ -215,3 +217,19 @@ def title_slugs(t: Tables):
     return heads(t).select(
         "conv_id", F.array_join(T.title_keywords(F.col("title")), " ").alias("keywords"), T.kebab(F.col("title")).alias("slug")
     )
+
+
+@query(
+    """SELECT conv_id, turn, regexp_replace('[execution output] ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+$', '') AS text
+       FROM conversations WHERE text IS NOT NULL"""
+)
+def message_texts(t: Tables):
+    """Texts read out of message trees whose content lies 1 to 8 containers deep."""
+    levels = F.lit(1) + F.col("turn") % 8
+    opened = F.transform(F.sequence(F.lit(1), levels.cast("int")), lambda i: F.when((F.col("turn") + i) % 2 == 0, F.lit('[')).otherwise(F.lit('{"text":')))
+    closed = F.reverse(F.transform(opened, lambda o: F.when(o == "[", F.lit("]")).otherwise(F.lit("}"))))
+    text = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("t"))), r'^\{"t":|\}$', "")
+    nested = F.concat(F.array_join(opened, ""), text, F.array_join(closed, ""))
+    message = F.concat(F.lit('{"author":{"role":"tool"},"content":{"content_type":"execution_output","text":'), nested, F.lit("}}"))
+    rows = t.conversations.where(F.col("text").isNotNull()).select("conv_id", "turn", message.alias("message"))
+    return C.read_messages(rows).select("conv_id", "turn", "text")

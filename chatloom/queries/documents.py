@@ -149,7 +149,7 @@ def chunk_windows(t: Tables):
 )
 def chunk_offsets(t: Tables):
     n = chunks.windows(t.documents.select("doc_id", "text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    return chunks.row_offsets(n, "doc_id", block_width=256)
+    return chunks.row_offsets(n, "doc_id")
 
 
 @query(
@@ -478,14 +478,18 @@ def index_input(t: Tables):
     return out.select("doc_id", "title", "update_date", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(
+    f"""WITH {_SQL_CHUNKS},
+    w AS (SELECT doc_id, start, unnest(regexp_extract_all(lower(d.source || ' (' || d.day || ')' || E'\\n' || chunk), '[a-z0-9]+')) AS word
+          FROM chunks JOIN (SELECT doc_id, source, {_DAY} AS day FROM documents) d USING (doc_id))
+    SELECT doc_id, start::BIGINT AS start, ('0x' || substr(md5(word), 1, 7))::BIGINT % 64 AS i, count(*) AS n FROM w GROUP BY ALL"""
+)
 def embed_vectors(t: Tables):
-    """Chunk vectors of all documents by the default embedder (no SQL twin: it calls a Python model)."""
+    """Sparse chunk vectors of all documents by the hashed bag of words."""
     rows = chunks.windows(dated(t).select("doc_id", "title", "update_date", "text")).withColumn(
         "inp", chunks.embed_input(F.col("title"), F.col("update_date"), F.col("text"))
     )
-    vec = chunks.embed(rows.select("doc_id", "start", "inp"), "inp", chunks.hashed_words(64))
-    return vec.select("doc_id", "start", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 3).alias("n_words"))
+    return chunks.hashed_counts(rows, "inp", ["doc_id", "start"])
 
 
 @query(

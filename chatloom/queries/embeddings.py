@@ -200,9 +200,14 @@ def prompt_blocks(t: Tables):
     return retrieval.prompts(asked, retrieval.retrieve(v, q), meta).select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY n, label LIMIT 1),
+    g AS (SELECT vec_id, label FROM embeddings WHERE label = (SELECT label FROM c)),
+    o AS (SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM g) ORDER BY md5('7:' || vec_id), vec_id LIMIT 100)
+    SELECT * FROM g UNION ALL SELECT * FROM o"""
+)
 def scope_sample(t: Tables):
-    """Evaluation scope: all vectors of the smallest label and 100 hashed distractors (no SQL twin: Spark's hash)."""
+    """Evaluation scope: all vectors of the smallest label and 100 hashed distractors."""
     least = t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "label").limit(1)
     gold = t.embeddings.join(least.select("label"), "label", "left_semi").select("vec_id")
     return evaluation.scope(t.embeddings.select("vec_id", "label"), gold, "vec_id", 100, seed=7)

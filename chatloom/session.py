@@ -76,18 +76,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SPREAD_BYTES = 256 << 20
+#: Session setting: parts that the query tables of texts are dealt out to; unset leaves them as they are read.
+PARTS = "chatloom.input.parts"
 
 
-def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
-    """Deal a small input out to all cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table out to the parts that the caller asks for in ``PARTS``.
 
-    A small file is often one row group and so one task, whatever the work per
-    row. Large inputs have splits enough and are left alone, so the exchange this
-    adds is never larger than ``max_bytes``.
+    For small files, which are often one row group and so one task whatever the work
+    per row. Files of a cluster have splits enough, so nothing is dealt by default.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > max_bytes:
-        return df
-    # A task should still have some work: no more parts than 64 KB pieces.
-    return df.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, size >> 16)))
+    parts = int(df.sparkSession.conf.get(PARTS, "0"))
+    return df.repartition(parts) if parts else df

@@ -12,5 +12,6 @@ from chatloom import session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = session.build("local[8]", 8, "tests")
+    s.conf.set(session.PARTS, "8")
     yield s
     s.stop()

@@ -119,6 +119,31 @@ def test_entities(spark):
     assert set(ans) == {"q1", "q2", "q4", "q6"} and ans["q6"].answer == "ACME stands for Agentic Catalog Metric Engine."
 
 
+def test_product_stem(spark):
+    """Texts that shorten the second word are about the product; other endings are not versions of it."""
+    p = entities.Product("acme", "profile", "ACME", stem="profil")
+    rows = [("acme-profil v1.4 ships", ["1.4"], []), ("the acme profils: v1.4 is unstable", [], ["1.4"]), ("acme-profile-v2.0.1", ["2.0"], []), ("profil v3.1", [], []), ("v1.4 is unstable", [], [])]
+    df = spark.createDataFrame([(t,) for t, _, _ in rows], "t string")
+    got = df.select(entities.qualified_versions(F.col("t"), p).alias("v"), entities.unstable_versions(F.col("t"), p).alias("u")).collect()
+    assert [(list(r.v), list(r.u)) for r in got] == [(v, u) for _, v, u in rows]
+    kit = entities.Product("acme", "kit", "AK")
+    assert not spark.range(1).select(entities.qualified_versions(F.lit("acme ki 1.2"), kit)).first()[0]
+
+
+def test_question_intents(spark):
+    p = entities.Product("acme", "profile", "ACME")
+    cases = {
+        "What is the newest version, and is it stable?": ("newest", None), "which release is the current stable one": ("latest_stable", None),
+        "What is the latest profile?": ("newest", None), "how stable is the latest version": (None, None), "the latest version?": (None, None),
+        "What's the highest release overall?": ("newest", None), "what is unstable in the current release": ("latest_stable", None),
+        "What does ACME stand for?": (None, "acronym"), "  explain the acme acronym ": (None, "acronym"), "what is acme?": (None, "acronym"),
+        "what is the acme version": (None, None), "define acme-profile": (None, None), None: (None, None),
+    }
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(cases)], "i int, q string")
+    got = {r.i: (r.v, r.d) for r in df.select("i", entities.version_intent(F.col("q")).alias("v"), entities.definition_intent(F.col("q"), p).alias("d")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_version_order(spark):
     df = spark.createDataFrame([("1.4",), ("2.0",), ("1.23",), ("x",)], "v string")
     assert [r.v for r in df.orderBy(entities.version_key(F.col("v"))).collect()] == ["x", "1.4", "1.23", "2.0"]

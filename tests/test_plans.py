@@ -107,7 +107,7 @@ def test_retrieve_is_exact_on_both_paths(spark):
                 seen[i // 7] = seen.get(i // 7, 0) + 1
                 out.append(i)
         want |= {(q, i, n + 1) for n, i in enumerate(out)}
-    for bounds in ({}, {"max_rows": 2, "cell_rows": 70}):
+    for bounds in ({}, {"cell_bytes": 400}):
         got = {(r.query_id, r.row_id, r["rank"]) for r in retrieval.retrieve(data, asked, **bounds).collect()}
         assert got == want
 
@@ -121,16 +121,46 @@ def test_rank_chats_keeps_best_chunk(spark):
     assert [r.chat_id for r in got] == [c for c, _ in sorted(best.items(), key=lambda x: -x[1])[:4]]
 
 
-def test_keyword_paths_agree(spark):
-    docs = spark.createDataFrame(
-        [(i, f"2024-01-{i % 27 + 1:02d}", f"alpha{i % 3} beta{i % 5} gamma words here") for i in range(60)],
-        "doc_id bigint, update_date string, text string",
-    )
+def test_keyword_hits_are_substrings(spark):
+    texts = ["Alpha2 beta", "xalpha2x, beta44!", "gammawords here", "none", None, "GAMMA words", "betab eta"]
+    docs = spark.createDataFrame([(i, f"2024-01-{9 - i:02d}", t) for i, t in enumerate(texts)], "doc_id bigint, update_date string, text string")
+    words = ["alpha2", "beta4", "gamma", "words", "beta"]
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(r.word, r.doc_id) for r in retrieval.word_hits(frame, docs).collect()}
+    assert got == {(w, i) for w in words for i, t in enumerate(texts) if w in (t or "").lower()}
     asked = spark.createDataFrame([(1, "Where is alpha2 or beta4?"), (2, "gamma WORDS")], "query_id bigint, question string")
-    a = retrieval.keyword_fallback(asked, docs, 4)
-    b = retrieval.keyword_fallback(asked, docs, 4, max_rows=2, cell_rows=10)
-    rows = sorted(map(tuple, a.collect()))
-    assert rows == sorted(map(tuple, b.collect())) and len(rows) == 8
+    rows = sorted((r.query_id, r.n, r.doc_id) for r in retrieval.keyword_fallback(asked, docs, 4).collect())
+    assert rows == [(1, 1, 0), (1, 2, 1), (2, 1, 2), (2, 2, 5)]
+
+
+def test_score_blocks_hold_their_bound(spark):
+    """A batch of 10,000 rows and 20,000 queries is worked on in blocks of bounded size."""
+    from chatloom.operators.retrieval import BLOCK_BYTES, slices
+
+    cuts = list(slices(10_000, 20_000))
+    assert max((r.stop - r.start) * (q.stop - q.start) * 8 for r, q in cuts) <= BLOCK_BYTES
+    assert sum((r.stop - r.start) * (q.stop - q.start) for r, q in cuts) == 10_000 * 20_000
+
+
+def test_rank_kernel_counts_chats_once():
+    """Chats that go over batches and blocks count once, whatever the cuts."""
+    import pandas as pd
+
+    from chatloom.operators import evaluation
+
+    rng = np.random.default_rng(3)
+    vec, q = rng.normal(size=(300, 8)), rng.normal(size=(6, 8))
+    data = pd.DataFrame({"row_id": np.arange(300), "chat_id": np.sort(rng.integers(0, 40, 300)), "vec": list(vec)})
+    asked = pd.DataFrame({"query_id": range(6), "qvec": list(q), "gold_score": [0.1, 0.3, -0.2, 0.6, np.nan, 0.0], "gold_row": [3.0, 8, 9, 1, np.nan, 7]})
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(unit(vec) @ unit(q).T, 9)
+    for cuts in ([0, 300], [0, 7, 50, 51, 290, 300]):
+        for block in (1 << 26, 8 * 4 * 40, 8 * 4 * 900):
+            batches = [data.iloc[a:b] for a, b in zip(cuts, cuts[1:])]
+            got = pd.concat(evaluation._rank_kernel(block)(iter(batches), asked))
+            for j in range(6):
+                want = len({c for c, s in zip(data.chat_id, sims[:, j]) if s > asked.gold_score[j]})
+                assert got.n_above[j] == want and got.top1[j] == sims[:, j].max()
 
 
 def test_breaker_against_a_loop(spark):
