@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chatloom import banks
 
@@ -49,64 +49,67 @@ def structural_points(c: dict[str, Column]) -> list[tuple[str, float, Column]]:
     ]
 
 
-def _keyword_table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))
+#: Words that any bank lists.
+BANK_WORDS = sorted({w for ws in banks.ARCHETYPE_KEYWORDS.values() for w in ws} | {w for _, _, ws in banks.DOMAIN_KEYWORDS for w in ws})
 
 
-def scores(clusters: DataFrame, keywords: DataFrame, columns: dict[str, Column], key: str = "cluster_id") -> DataFrame:
-    """Points per (cluster, archetype), with the order in which archetypes were first hit."""
-    spark = clusters.sparkSession
-    rules = structural_points(columns)
-    hit = F.array(
-        *[
-            F.when(cond, F.struct(F.lit(a).alias("archetype"), F.lit(p).alias("points"), F.lit(i).alias("seq")))
-            for i, (a, p, cond) in enumerate(rules)
-        ]
-    )
-    structural = clusters.select(key, F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("h")).select(key, "h.*")
-    bank = [
-        (word, arch, len(rules) + i)
-        for i, (arch, words) in enumerate(banks.ARCHETYPE_KEYWORDS.items())
-        for word in words
-    ]
-    lookup = _keyword_table(spark, bank, "keyword string, archetype string, seq int")
-    by_word = (
-        keywords.select(key, "keyword").distinct().join(lookup, "keyword").select(key, "archetype", F.lit(0.8).alias("points"), "seq")
-    )
-    scored = structural.unionByName(by_word).groupBy(key, "archetype").agg(
-        F.round(F.sum("points"), 2).alias("score"), F.min("seq").alias("seq")
-    )
-    bare = clusters.select(key).join(scored.select(key).distinct(), key, "left_anti")
-    return scored.unionByName(
-        bare.select(key, F.lit("knowledge_qa").alias("archetype"), F.lit(0.5).alias("score"), F.lit(0).alias("seq"))
-    )
+def bank_words(words: Column) -> Column:
+    """The distinct words of an array that any bank lists."""
+    return F.array_intersect(words, F.array(*[F.lit(w) for w in BANK_WORDS]))
 
 
-def ranked(score_rows: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Primary archetype and up to two secondary ones (rank 1 to 3)."""
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "seq")
-    return score_rows.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+def _hits(words: Column, c: dict[str, Column]) -> Column:
+    """Everything that scores: (archetype, points, seq) of structural rules and of listed words."""
+    rules = structural_points(c)
+    row = lambda a, p, i: F.struct(F.lit(a).alias("archetype"), F.lit(p).alias("points"), F.lit(i).alias("seq"))
+    structural = F.filter(F.array(*[F.when(cond, row(a, p, i)) for i, (a, p, cond) in enumerate(rules)]), lambda x: x.isNotNull())
+    bank = F.array(*[
+        F.struct(F.lit(word).alias("word"), row(arch, 0.8, len(rules) + i).alias("hit"))
+        for i, (arch, listed) in enumerate(banks.ARCHETYPE_KEYWORDS.items())
+        for word in listed
+    ])
+    return F.concat(structural, F.transform(F.filter(bank, lambda b: F.array_contains(words, b["word"])), lambda b: b["hit"]))
 
 
-def domains(clusters: DataFrame, keywords: DataFrame, coded: Column, key: str = "cluster_id") -> DataFrame:
-    """Domain pair with most keyword hits; software for coded clusters, else general knowledge."""
-    bank = [
-        (word, d, s, i) for i, (d, s, words) in enumerate(banks.DOMAIN_KEYWORDS) for word in words
-    ]
-    lookup = _keyword_table(clusters.sparkSession, bank, "keyword string, domain string, subdomain string, seq int")
-    best = (
-        keywords.select(key, "keyword")
-        .distinct()
-        .join(lookup, "keyword")
-        .groupBy(key, "seq", "domain", "subdomain")
-        .agg(F.count(F.lit(1)).alias("hits"))
-        .groupBy(key)
-        .agg(F.min(F.struct((-F.col("hits")).alias("neg"), "seq", "domain", "subdomain")).alias("d"))
-    )
+def _top(hits: Column, c: dict[str, Column]) -> Column:
+    """Up to three archetypes by score, the first hit first on ties; a fallback where nothing scores."""
+    names = sorted({a for a, _, _ in structural_points(c)} | set(banks.ARCHETYPE_KEYWORDS))
+
+    def summed(name: Column) -> Column:
+        own = F.filter(hits, lambda h: h["archetype"] == name)
+        score = F.round(F.aggregate(own, F.lit(0.0), lambda s, h: s + h["points"]), 2)
+        return F.struct((-score).alias("neg"), F.array_min(F.transform(own, lambda h: h["seq"])).alias("seq"), name.alias("archetype"), score.alias("score"))
+
+    scored = F.filter(F.transform(F.array(*[F.lit(n) for n in names]), summed), lambda x: x["seq"].isNotNull())
+    bare = F.array(F.struct(F.lit(-0.5).alias("neg"), F.lit(0).alias("seq"), F.lit("knowledge_qa").alias("archetype"), F.lit(0.5).alias("score")))
+    return F.slice(F.array_sort(F.when(F.size(hits) > 0, scored).otherwise(bare)), 1, 3)
+
+
+def _domain(words: Column, coded: Column) -> Column:
+    """Domain pair with most listed words; software for coded clusters, else general knowledge."""
+    bank = F.array(*[
+        F.struct(F.lit(i).alias("seq"), F.lit(d).alias("domain"), F.lit(s).cast("string").alias("subdomain"), F.array(*[F.lit(w) for w in listed]).alias("listed"))
+        for i, (d, s, listed) in enumerate(banks.DOMAIN_KEYWORDS)
+    ])
+    counted = F.transform(bank, lambda b: F.struct((-F.size(F.array_intersect(words, b["listed"]))).alias("neg"), b["seq"].alias("seq"), b["domain"].alias("domain"), b["subdomain"].alias("subdomain")))
+    best = F.array_min(F.filter(counted, lambda x: x["neg"] < 0))
     default = F.when(coded, F.lit("software_engineering")).otherwise(F.lit("general_knowledge"))
-    return clusters.join(best, key, "left").select(
-        key, F.coalesce("d.domain", default).alias("domain"), F.col("d.subdomain").alias("subdomain")
-    )
+    return F.struct(F.coalesce(best["domain"], default).alias("domain"), best["subdomain"].alias("subdomain"))
+
+
+def classified(clusters: DataFrame, words: str, c: dict[str, Column], coded: Column) -> DataFrame:
+    """Add ``top`` (array of archetype, score; best first), ``domain`` and ``subdomain`` to each row.
+
+    All of it is worked out inside the row: no shuffle, whatever the number of rows
+    or words. ``words`` holds the row's listed words (see ``bank_words``).
+    """
+    rows = clusters.select("*", _hits(F.col(words), c).alias("_hits"), _domain(F.col(words), coded).alias("_domain"))
+    return rows.select(*clusters.columns, _top(F.col("_hits"), c).alias("top"), "_domain.domain", "_domain.subdomain")
+
+
+def ranked(rows: DataFrame, key: str) -> DataFrame:
+    """Primary archetype and up to two secondary ones (rank 1 to 3), one row each."""
+    return rows.select(key, F.posexplode("top").alias("rank", "t")).select(key, "t.archetype", "t.score", (F.col("rank") + 1).alias("rank"))
 
 
 def facets(archetype: Column, domain: Column, c: dict[str, Column]) -> dict[str, Column]:
@@ -156,13 +159,13 @@ def prior(clusters: DataFrame, keywords: DataFrame, key: str = "cluster_id") ->
     c = {n: F.col(n) for n in ("n_versions", "n_code", "n_data", "n_files", "has_code", "f_setup", "f_pyproject",
                                "f_package", "f_skill", "f_json", "f_schema", "f_glossary")}
     c |= {"has_image": F.col("has_image_asset"), "n_conv": F.col("n_conversations")}
-    top = ranked(scores(clusters, keywords, c, key), key)
-    picked = top.groupBy(key).agg(
-        F.max(F.when(F.col("rank") == 1, F.col("archetype"))).alias("archetype"),
-        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("archetype_score"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "archetype", "score")))).alias("secondary"),
-    )
-    dom = domains(clusters, keywords, c["has_code"] | (c["n_versions"] >= 1), key)
-    wide = clusters.join(picked, key).join(dom, key)
+    # As many words per cluster as the banks list, at most.
+    listed = F.broadcast(clusters.sparkSession.createDataFrame([(w,) for w in BANK_WORDS], "keyword string"))
+    words = keywords.join(listed, "keyword").groupBy(key).agg(F.collect_set("keyword").alias("_words"))
+    have = clusters.join(words, key, "left").withColumn("_words", F.coalesce("_words", F.array().cast("array<string>")))
+    rows = classified(have, "_words", c, c["has_code"] | (c["n_versions"] >= 1))
+    first = F.element_at("top", 1)
+    rest = F.transform(F.slice("top", 2, 2), lambda t, i: F.struct((i + 2).alias("rank"), t["archetype"].alias("archetype"), t["score"].alias("score")))
+    wide = rows.select(*clusters.columns, first["archetype"].alias("archetype"), first["score"].alias("archetype_score"), rest.alias("secondary"), "domain", "subdomain")
     shown = facets(F.col("archetype"), F.col("domain"), c)
     return wide.select("*", *[v.alias(k) for k, v in shown.items()])

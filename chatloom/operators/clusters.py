@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from chatloom.session import cut
+from chatloom.plans.stars import components as star_components
 
 MERGE_CAP = 12
 
@@ -31,32 +31,12 @@ def edges(primary: DataFrame, archive_rows: DataFrame, merge_cap: int = MERGE_CA
 def components(membership: DataFrame, member: str = "conv_id", group: str = "slug") -> DataFrame:
     """``(member, cluster_id)``: the smallest member reachable over shared groups.
 
-    Each round lets every group take the smallest label of its members and every
-    member the smallest label of its groups (two aggregates with map-side
-    combine, never a list of pairs), then jumps to the label of the label, so
-    long chains shrink quickly. Rounds end when no label changes. Each round is
-    checkpointed, so lost executors cannot force a replay of earlier rounds.
+    A group links its members to the smallest of them, so a group of n gives n - 1
+    edges; the components of these edges are found by star contraction.
     """
-    # Groups of one member connect nothing, and leaving them out keeps rounds small.
-    shared = membership.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(group)
-    links = cut(membership.join(shared, group, "left_semi").select(member, group).distinct())
-    labels = cut(links.select(member).distinct().withColumn("cluster_id", F.col(member)))
-    while True:
-        by_group = links.join(labels, member).groupBy(group).agg(F.min("cluster_id").alias("g"))
-        seen = links.join(by_group, group).groupBy(member).agg(F.min("g").alias("g"))
-        step = labels.join(seen, member).select(
-            member, F.col("cluster_id").alias("old"), F.least("cluster_id", "g").alias("near")
-        )
-        roots = labels.select(F.col(member).alias("near"), F.col("cluster_id").alias("far"))
-        new = cut(
-            step.join(roots, "near").select(
-                member, "old", F.least("near", "far").alias("cluster_id")
-            )
-        )
-        moved = new.where("old <> cluster_id").limit(1).count()
-        labels = new.select(member, "cluster_id")
-        if not moved:
-            break
+    hub = membership.groupBy(group).agg(F.min(member).alias("b"), F.max(member).alias("_top")).where("b <> _top").select(group, "b")
+    edges = membership.join(hub, group).where(F.col(member) != F.col("b")).select(F.col(member).alias("a"), "b")
+    labels = star_components(edges).select(F.col("node").alias(member), F.col("component").alias("cluster_id"))
     return (
         membership.select(member)
         .distinct()

@@ -56,6 +56,22 @@ def speed_order() -> list[Column]:
     return [F.asc("sec_per_item"), F.desc("completion_rate"), F.desc("gen_tok_s")]
 
 
+def exact_median(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Exact median per group, without holding a group's values together.
+
+    Equal values are counted first; the running count goes over blocks of about one
+    per cent of the value, so a group of any size spreads over tasks.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    block = F.floor(F.signum("v") * F.log2(F.abs("v") + 1) * 64).cast("bigint")
+    placed = running(counts, [by], ["v"], block, {"before": ("sum", F.col("n"))}, inclusive=False)
+    total = counts.groupBy(by).agg(F.sum("n").alias("total"))
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("v")))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    mid = placed.join(total, by).groupBy(by).agg(at(low).alias("a"), at(high).alias("b"))
+    return mid.select(by, (F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("median"))
+
+
 def load_split(items: DataFrame, by: str, seq: str = "sequence") -> DataFrame:
     """Cold-load and warm seconds per run from its successful items.
 
@@ -69,11 +85,11 @@ def load_split(items: DataFrame, by: str, seq: str = "sequence") -> DataFrame:
         F.count(F.lit(1)).alias("items"),
         F.sum("secs").alias("total"),
         F.max(F.when(F.col(seq) == F.col("_first"), F.col("secs"))).alias("first_secs"),
-        F.percentile(later, F.lit(0.5)).alias("warm_median"),
         F.count("load_ms").alias("n_load"),
         F.sum(F.coalesce("load_ms", F.lit(0.0))).alias("load_ms"),
         F.sum(F.coalesce("eval_ms", F.lit(0.0))).alias("eval_ms"),
     )
+    s = s.join(exact_median(rows.withColumn("_later", later), by, "_later").withColumnRenamed("median", "warm_median"), by, "left")
     exact = F.col("n_load") > 0
     n = F.col("items")
     est_load = F.when(n >= 2, F.greatest(F.col("first_secs") - F.col("warm_median"), F.lit(0.0))).otherwise(F.lit(0.0))
@@ -160,7 +176,6 @@ def breaker(
 ) -> DataFrame:
     """Mark the items a run skips after its breaker trips.
 
-    The breaker trips on ``max_failures`` failures in a row or once the spend so
     The breaker trips on ``max_failures`` failures in a row or once the spend so
     far reaches ``max_usd``; the tripping item itself still ran. Streaks and spend
     are worked out over blocks, so a run of any length spreads over tasks, and

@@ -380,6 +380,7 @@ def _facts(t: Tables):
     flags = ("f_setup", "f_pyproject", "f_package", "f_skill", "f_json", "f_schema", "f_glossary")
     return t.documents.select(
         "doc_id",
+        classify.bank_words(T.words(text)).alias("words"),
         F.when(lang == "de", 2).when(lang == "fr", 1).otherwise(0).alias("n_versions"),
         F.contains(text, F.lit("@")).alias("has_code"),
         F.contains(text, F.lit("!")).alias("has_image"),
@@ -391,35 +392,28 @@ def _facts(t: Tables):
     )
 
 
-_BANK_WORDS = sorted({w for ws in banks.ARCHETYPE_KEYWORDS.values() for w in ws} | {w for _, _, ws in banks.DOMAIN_KEYWORDS for w in ws})
-
-
-def _keywords(t: Tables):
-    """Words of each text that any bank lists; the others are dropped inside the row."""
-    listed = F.array(*[F.lit(w) for w in _BANK_WORDS])
-    return t.documents.select("doc_id", F.explode(F.array_intersect(T.words(F.col("text")), listed)).alias("keyword"))
-
-
-def _ranked(t: Tables):
+def _classified(t: Tables):
+    """Facts and classes of every document, in one scan of the texts and without a shuffle."""
     facts = _facts(t)
-    return classify.ranked(classify.scores(facts, _keywords(t), {c: F.col(c) for c in facts.columns}, "doc_id"), "doc_id")
+    coded = F.col("has_code") | (F.col("n_versions") >= 1)
+    return classify.classified(facts, "words", {c: F.col(c) for c in facts.columns}, coded)
 
 
 @query(f"WITH {_SQL_SCORES} SELECT doc_id, a AS archetype, score, rank FROM ranked")
 def rule_classify(t: Tables):
     """Primary and secondary archetypes of every document by rule points."""
-    return _ranked(t).select("doc_id", "archetype", "score", F.col("rank").cast("bigint").alias("rank"))
+    return classify.ranked(_classified(t), "doc_id").select("doc_id", "archetype", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_SQL_SCORES} SELECT doc_id, domain, subdomain FROM dom")
 def domain_pairs(t: Tables):
-    facts = _facts(t)
-    return classify.domains(facts.select("doc_id", "has_code", "n_versions"), _keywords(t), F.col("has_code") | (F.col("n_versions") >= 1), "doc_id")
+    return _classified(t).select("doc_id", "domain", "subdomain")
 
 
 @query(f"WITH {_SQL_SCORES} SELECT a AS archetype, count(*) AS n FROM ranked WHERE rank = 1 GROUP BY a")
 def class_distribution(t: Tables):
-    return _ranked(t).where("rank = 1").groupBy("archetype").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "archetype")
+    first = _classified(t).select(F.element_at("top", 1)["archetype"].alias("archetype"))
+    return first.groupBy("archetype").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "archetype")
 
 
 _COG = values(list(banks.ARCHETYPE_COGNITIVE.items()))
@@ -445,12 +439,8 @@ _TIERS = values(banks.DIFFICULTY_TIERS)
 )
 def difficulty_tier(t: Tables):
     """Evaluation facets of every document's primary class."""
-    facts = _facts(t)
-    keywords = _keywords(t)
-    first = _ranked(t).where("rank = 1").select("doc_id", "archetype")
-    dom = classify.domains(facts.select("doc_id", "has_code", "n_versions"), keywords, F.col("has_code") | (F.col("n_versions") >= 1), "doc_id")
-    wide = facts.join(first, "doc_id").join(dom.select("doc_id", "domain"), "doc_id")
-    f = classify.facets(F.col("archetype"), F.col("domain"), {c: F.col(c) for c in facts.columns})
+    wide = _classified(t).withColumn("archetype", F.element_at("top", 1)["archetype"])
+    f = classify.facets(F.col("archetype"), F.col("domain"), {c: F.col(c) for c in wide.columns})
     return wide.select(
         "doc_id", f["cognitive_type"].alias("cognitive_type"), f["difficulty_score"].cast("bigint").alias("difficulty_score"),
         f["tier"].alias("tier"), f["verifiability_class"].alias("verifiability_class"), f["modality"].alias("modality"),
