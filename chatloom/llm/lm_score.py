@@ -116,13 +116,22 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, table_words: int) -> Vocabulary:
-    """Totals and the table of the most frequent words, whose size is the bound."""
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(table_words).toArrow()
-    words, c = top["word"].to_pylist(), top["c"].to_numpy().astype(np.int64)
-    if words and END not in words:  # the end token is always in the table
-        words.append(END)
-        c = np.append(c, counts.where(F.length("word") == 0).first()["c"])
+    """Totals and the table of the most frequent words, at most ``table_words`` and the end token.
+
+    A histogram of the counts says how frequent a word must be, so nothing is sorted
+    in one task.
+    """
+    level = F.floor(F.log2("c") * 16).cast("int")
+    hist = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("c").alias("c")).collect()
+    totals = sum(r["c"] for r in hist), sum(r["v"] for r in hist)
+    least, taken = 1 << 30, 0
+    for r in sorted(hist, key=lambda r: -r["level"]):
+        if taken + r["v"] > table_words:
+            break
+        least, taken = r["level"], taken + r["v"]
+    top = counts.where((level >= least) | (F.length("word") == 0)).toArrow()
+    pairs = sorted(zip(top["word"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    words, c = [w for w, _ in pairs], np.array([n for _, n in pairs], np.int64)
     last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int")
     bucket = F.when(F.length("word") > 0, F.pmod(last, F.lit(BUCKETS))).otherwise(0).alias("b")
     sums = counts.groupBy(bucket).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
