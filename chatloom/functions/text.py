@@ -178,20 +178,36 @@ def first_matching_line(c: Column, pattern: str, **how) -> Column:
     return strip(F.coalesce(F.try_element_at(hit, F.lit(1)), F.lit("")))
 
 
-def match_spans(c: Column, regex: str) -> Column:
-    """``array<struct<start, end, matched>>`` of all occurrences, 0-based, end exclusive."""
-    hits = F.regexp_extract_all(c, F.lit(regex), F.lit(0))
-    gaps = F.split(c, regex, -1)
-    # A regex split leaves one gap more than hits; lengths before hit i give its start.
-    def span(hit: Column, i: Column) -> Column:
-        before = F.aggregate(
-            F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda acc, g: acc + F.length(g)
-        ) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda acc, h: acc + F.length(h))
-        return F.struct(
-            before.alias("start"), (before + F.length(hit)).alias("end"), hit.alias("matched")
-        )
+#: Hits whose lengths are summed as one block.
+SPAN_BLOCK = 64
 
-    return F.transform(hits, span)
+
+def match_spans(c: Column, regex: str) -> Column:
+    """``array<struct<start, end, matched>>`` of all occurrences, 0-based, end exclusive.
+
+    A regex split leaves one gap more than hits, so the gap and the hit before a hit
+    give its start. Lengths are summed in blocks first: a hit adds up the blocks
+    before its own and the hits before it inside, not all hits of the text.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+
+    def spans(both: Column) -> Column:
+        steps = F.transform(both["hits"], lambda h, i: F.length(h) + F.length(F.get(both["gaps"], i)))
+        return let(steps, lambda lengths: placed(both, lengths))
+
+    def placed(both: Column, lengths: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(SPAN_BLOCK))
+        return let(F.transform(starts, lambda s: total(F.slice(lengths, s, F.lit(SPAN_BLOCK)))), lambda sums: F.transform(
+            both["hits"], lambda hit, i: span(both, lengths, sums, hit, i)))
+
+    def span(both: Column, lengths: Column, sums: Column, hit: Column, i: Column) -> Column:
+        block = F.floor(i / SPAN_BLOCK).cast("int")
+        before = total(F.slice(sums, F.lit(1), block)) + total(F.slice(lengths, block * SPAN_BLOCK + 1, i - block * SPAN_BLOCK))
+        start = before + F.length(F.get(both["gaps"], i))
+        return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("matched"))
+
+    pieces = F.struct(F.regexp_extract_all(c, F.lit(regex), F.lit(0)).alias("hits"), F.split(c, regex, -1).alias("gaps"))
+    return let(pieces, spans)
 
 
 # --- reduction ------------------------------------------------------------

@@ -181,15 +181,24 @@ def context_windows(
         df = df.withColumn("_parts", F.when(F.size("_parts") > 0, ends(max_lines)).otherwise(F.col("_parts")))
     elif max_lines > 0:
         df = df.withColumn("_parts", _trim(F.col("_parts"), max_lines, reverse))
-    block = F.array_join(F.slice("_lines", F.col("part.start"), F.col("part.end") - F.col("part.start") + 1), "\n")
-    return df.select(key, "total_found", "_lines", F.posexplode("_parts").alias("at", "part")).select(
-        key, (F.col("at") + 1).alias("p"), "part.matched_line", "part.start", "part.end", "total_found", block.alias("block")
+
+    # Blocks are cut inside the row, so no match carries the lines of the whole text.
+    def with_blocks(all_lines: Column) -> Column:
+        block = lambda p: F.array_join(F.slice(all_lines, p["start"], p["end"] - p["start"] + 1), "\n")
+        return F.transform("_parts", lambda p: F.struct(
+            p["matched_line"].alias("matched_line"), p["start"].alias("start"), p["end"].alias("end"), block(p).alias("block")))
+
+    return df.select(key, "total_found", F.posexplode(T.let(F.col("_lines"), with_blocks)).alias("at", "part")).select(
+        key, (F.col("at") + 1).alias("p"), "part.matched_line", "part.start", "part.end", "total_found", "part.block"
     )
 
 
 def _trim(parts: Column, max_lines: int, reverse: bool) -> Column:
-    """Cut a part list to ``max_lines`` lines in all; the part on the border is shortened."""
-    walk = F.reverse(parts) if reverse else parts
+    """Cut a part list to ``max_lines`` lines in all; the part on the border is shortened.
+
+    A part has a line at least, so only the first ``max_lines`` parts are looked at.
+    """
+    walk = F.slice(F.reverse(parts) if reverse else parts, 1, max_lines)
     sized = F.transform(walk, lambda p: p["end"] - p["start"] + 1)
 
     def cut(p: Column, i: Column) -> Column:

@@ -109,7 +109,8 @@ def classified(clusters: DataFrame, words: str, c: dict[str, Column], coded: Col
 
 def ranked(rows: DataFrame, key: str) -> DataFrame:
     """Primary archetype and up to two secondary ones (rank 1 to 3), one row each."""
-    return rows.select(key, F.posexplode("top").alias("rank", "t")).select(key, "t.archetype", "t.score", (F.col("rank") + 1).alias("rank"))
+    # The outer form adds no filter on the list, which would work it out a second time.
+    return rows.select(key, F.posexplode_outer("top").alias("rank", "t")).select(key, "t.archetype", "t.score", (F.col("rank") + 1).alias("rank"))
 
 
 def facets(archetype: Column, domain: Column, c: dict[str, Column]) -> dict[str, Column]:

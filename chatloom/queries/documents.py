@@ -152,6 +152,17 @@ def chunk_offsets(t: Tables):
     return chunks.row_offsets(n, "doc_id")
 
 
+@query(
+    f"""WITH {_SQL_CHUNKS}, k AS (SELECT 'doc-' || doc_id AS key, count(*) AS n_chunks FROM chunks GROUP BY 1)
+    SELECT key, n_chunks, (sum(n_chunks) OVER (ORDER BY key) - n_chunks)::BIGINT AS row_start,
+      (sum(n_chunks) OVER (ORDER BY key))::BIGINT AS row_end FROM k"""
+)
+def chunk_offsets_text(t: Tables):
+    """Row offsets of chats whose ids are texts."""
+    rows = chunks.windows(t.documents.select(F.concat(F.lit("doc-"), "doc_id").alias("key"), "text"))
+    return chunks.row_offsets(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_chunks")), "key")
+
+
 @query(
     f"""WITH {_SQL_CHUNKS}
     SELECT doc_id, start::BIGINT AS start, md5(source || ' (' || {_DAY} || E')\\n' || chunk) AS input_md5

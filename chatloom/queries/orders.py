@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom import banks
 from chatloom.functions import formats, text as T
-from chatloom.operators import bundles, catalog, contracts, ingest, items, modelbank, perf, quality, redaction, states
+from chatloom.operators import bundles, catalog, contracts, entities, ingest, items, modelbank, perf, quality, redaction, states
 from chatloom.plans.blocks import int_block
 from chatloom.queries.base import Tables, query, values
 
@@ -667,3 +667,44 @@ def merged_histogram(t: Tables):
         F.sum(F.col("l_quantity").cast("bigint")).alias("n")
     )
     return merged_counts(member, counts, "content_type")
+
+
+# --- contracts and product facts ------------------------------------------
+
+_ARCHETYPES = sorted({a for a, _, _ in banks.FIELD_CONTRACT})
+_ARCH_SQL = "[" + ", ".join(f"'{a}'" for a in _ARCHETYPES) + "]"
+_DEMANDED = values([(a, f) for a, f, _ in banks.FIELD_CONTRACT if (a, f) not in banks.OPTIONAL_FIELDS])
+
+
+@query(
+    f"""WITH i AS (SELECT p_partkey AS slug, p_size, {_ARCH_SQL}[1 + p_partkey % {len(_ARCHETYPES)}] AS archetype FROM part)
+    SELECT slug, field FROM i JOIN {_DEMANDED} d(archetype, field) USING (archetype) WHERE (p_size + length(field)) % 3 = 0"""
+)
+def contract_keys(t: Tables):
+    """Fields that items lack although their archetype demands them (items made up from parts: every third field is missing)."""
+    fields = F.array(*[F.lit(f) for f in sorted({f for _, f, _ in banks.FIELD_CONTRACT})])
+    have = F.filter(fields, lambda f: (F.col("p_size") + F.length(f)) % 3 != 0)
+    names = F.array(*[F.lit(a) for a in _ARCHETYPES])
+    items = t.part.select(
+        F.col("p_partkey").alias("slug"), F.get(names, (F.col("p_partkey") % len(_ARCHETYPES)).cast("int")).alias("archetype"),
+        F.map_from_entries(F.transform(have, lambda f: F.struct(f, F.lit("x")))).alias("archetype_fields"),
+    )
+    return contracts.missing_contract_keys(items)
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS chat, o_orderkey % 5 AS kind, '1.' || o_orderkey % 7 AS v FROM orders),
+    m AS (SELECT v, count(*) AS mentions, count(DISTINCT chat) AS n_chats FROM r WHERE kind IN (0, 2, 3) GROUP BY 1),
+    u AS (SELECT v, count(*) AS votes FROM r WHERE kind IN (1, 3) GROUP BY 1)
+    SELECT v AS version, mentions::BIGINT AS mentions, n_chats, coalesce(votes, 0) AS unstable_votes FROM m LEFT JOIN u USING (v)"""
+)
+def doubtful_versions(t: Tables):
+    """Versions of a product and the doubts about them, in texts that write its name in several ways (made up from orders)."""
+    product = entities.Product("acme", "profile", "ACME", stem="profil")
+    v = F.concat(F.lit("1."), F.col("o_orderkey") % 7)
+    texts = [("We ship acme-profile-v", ".0 now."), ("The acme profils are out. v", " is unstable."), ("acme_profil ", " again"),
+             ("Not yet. Do not approve acme profile v", "! We reject v{} too"), ("profil v", " is unstable")]
+    kinds = [F.concat(F.lit(a), v, *([F.lit(b)] if "{}" not in b else [F.lit(b.split("{}")[0]), v, F.lit(b.split("{}")[1])])) for a, b in texts]
+    said = F.get(F.array(*kinds), (F.col("o_orderkey") % 5).cast("int"))
+    rows = t.orders.select(F.col("o_custkey").cast("string").alias("chat_id"), F.col("o_orderkey").alias("pos"), F.lit("").alias("title"), said.alias("text"))
+    return entities.versions(entities.mentions(rows, product)).select("version", "mentions", "n_chats", "unstable_votes")

@@ -43,10 +43,10 @@ def _latest(folder: str):
     return write
 
 
-def _last_per_key(t: Tables, folder: str, key: str) -> DataFrame:
+def _last_per_key(t: Tables, folder: str, *keys: str) -> DataFrame:
     rows = t.spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/_b=*")
-    rest = [c for c in rows.columns if c not in (key, "_b")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_b").alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+    rest = [c for c in rows.columns if c not in (*keys, "_b")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_b").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 @query(
@@ -100,32 +100,31 @@ def stream_strikes(t: Tables):
 
 
 @query(
-    """WITH lim AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
-    SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, avg(round(value * 100)::BIGINT) AS avg_value, max(round(value * 100)::BIGINT) AS peak_value
-    FROM events, lim GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type, wm HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= wm"""
+    """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, avg(round(value * 100)::BIGINT) AS avg_value, max(round(value * 100)::BIGINT) AS peak_value
+    FROM events GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type"""
 )
 def stream_windows(t: Tables):
-    """Hourly windows in append mode, in hundredths: the windows the watermark has closed."""
+    """Hourly windows in update mode, in hundredths: closed and open ones, each as last seen."""
     folder = _folder(t, "windows")
     rows = _events(t).withColumn("value", F.round(F.col("value") * 100).cast("bigint"))
-    _run(jobs.windowed(rows, "ts", ["event_type"], "1 hour", "1 hour"), folder, "append")
-    rows = t.spark.read.parquet(f"{folder}/out")
-    return rows.select(
-        F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "avg_value", "peak_value"
-    )
+    _run(jobs.windowed(rows, "ts", ["event_type"], "1 hour", "1 hour"), folder, "update", _latest(folder))
+    last = _last_per_key(t, folder, "start", "event_type")
+    return last.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "avg_value", "peak_value")
 
 
 @query(
     """WITH f AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS new FROM events),
-    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM f), lim AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
-    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s, lim GROUP BY user_id, sid, wm HAVING max(ts) + INTERVAL 30 MINUTE <= wm"""
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM f)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, sid"""
 )
 def stream_sessions(t: Tables):
-    """Closed activity sessions in append mode."""
+    """Activity sessions, closed and open, as the last complete output of a run to the end."""
     folder = _folder(t, "sessions")
-    _run(jobs.sessions(_events(t), "ts", ["user_id"], "1 hour", "30 minutes"), folder, "append")
-    rows = t.spark.read.parquet(f"{folder}/out")
-    return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    _run(jobs.sessions(_events(t), "ts", ["user_id"], "1 hour", "30 minutes"), folder, "complete", _latest(folder))
+    rows = t.spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/_b=*")
+    newest = rows.agg(F.max("_b").alias("_b"))
+    last = rows.join(F.broadcast(newest), "_b", "left_semi")
+    return last.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 @query("SELECT DISTINCT event_id FROM events")

@@ -32,6 +32,8 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def build(master: str | None = None, cores: int | None = None, app: str = "chatloom") -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    # A superseded round's files go once nothing refers to them.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     if cores:

@@ -39,13 +39,22 @@ def resolve_run(spark: SparkSession, root: str, run: str) -> str:
 
 
 def bundle_texts(parts: DataFrame, root: str) -> None:
-    """Text files under ``cluster_id=.../part_no=...`` and their index; stale bundles go away."""
+    """Bundle texts as one table and their index; stale bundles go away.
+
+    Texts are a column, not a file each, as millions of folders would stall the commit.
+    """
     out = parts.select("cluster_id", "part_no", "text")
-    # One row per part, so each folder gets one file; a full overwrite drops stale folders.
-    out.write.mode("overwrite").partitionBy("cluster_id", "part_no").option("lineSep", "\n").text(f"{root}/texts")
+    out.repartitionByRange("cluster_id", "part_no").sortWithinPartitions("cluster_id", "part_no").write.mode("overwrite").parquet(f"{root}/texts")
     bundle_index(parts).write.mode("overwrite").parquet(f"{root}/index")
 
 
+def export_texts(spark: SparkSession, table: str, key: str, wanted: list[str], text: str, out: str) -> None:
+    """Single text files of a few named rows of a table of texts, a folder per key (and part)."""
+    rows = spark.read.parquet(table).where(F.col(key).isin(wanted))
+    folders = [c for c in (key, "part_no") if c in rows.columns]
+    rows.select(*folders, F.col(text).alias("value")).write.mode("overwrite").partitionBy(*folders).option("lineSep", "\n").text(out)
+
+
 def index(chunks: DataFrame, root: str, schema_tag: str) -> str:
     """Write a chunk index as a new generation and then point ``CURRENT`` at it.
 
@@ -78,9 +87,9 @@ def states(df: DataFrame, path: str) -> None:
 
 
 def public_documents(items: DataFrame, path: str) -> None:
-    """Public items as JSON lines and as one markdown text per item."""
+    """Public items as JSON lines, and their markdown pages as one table (see ``export_texts``)."""
     items.write.mode("overwrite").json(f"{path}/items")
-    items.select("slug", markdown().alias("value")).write.mode("overwrite").partitionBy("slug").text(f"{path}/markdown")
+    items.select("slug", markdown().alias("page")).write.mode("overwrite").parquet(f"{path}/markdown")
 
 
 def _section(title: str, lines: Column) -> Column:

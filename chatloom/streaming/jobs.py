@@ -124,12 +124,13 @@ def running_energy(samples: DataFrame, run: str, run_type: str = "bigint") -> Da
     def step(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, joules, t0, w0 = state.get if state.exists else (0, 0.0, None, None)
         points = pd.concat(list(frames)).sort_values(["t", "w"], kind="stable")
-        for t, w in zip(points["t"], points["w"]):
-            if t0 is None or t >= t0:
-                if t0 is not None and t > t0:
-                    joules += (w + w0) / 2.0 * (t - t0)
-                t0, w0 = float(t), float(w)
-            n += 1
+        n += len(points)
+        if t0 is not None:
+            points = pd.concat([pd.DataFrame({"t": [t0], "w": [w0]}), points.loc[points["t"] >= t0, ["t", "w"]]])
+        t, w = points["t"].to_numpy(dtype="float64"), points["w"].to_numpy(dtype="float64")
+        if len(t):
+            joules += float(((w[1:] + w[:-1]) / 2.0 * (t[1:] - t[:-1])).sum())
+            t0, w0 = float(t[-1]), float(w[-1])
         state.update((n, joules, t0, w0))
         yield pd.DataFrame({run: [key[0]], "n_points": [n], "wh": [joules / 3600.0]})
 
@@ -145,9 +146,9 @@ def running_strikes(samples: DataFrame, run: str, idle: Column, run_type: str =
 
     def step(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         strikes = state.get[0] if state.exists else 0
-        points = pd.concat(list(frames)).sort_values("t", kind="stable")
-        for is_idle in points["idle"]:
-            strikes = strikes + 1 if is_idle else 0
+        idle_now = pd.concat(list(frames)).sort_values("t", kind="stable")["idle"].to_numpy(dtype=bool)
+        busy = (~idle_now).nonzero()[0]
+        strikes = len(idle_now) - 1 - int(busy[-1]) if len(busy) else strikes + len(idle_now)
         state.update((strikes,))
         yield pd.DataFrame({run: [key[0]], "strikes": [strikes]})
 

@@ -133,7 +133,11 @@ def test_bundle_and_state_sinks(spark, tmp_path):
     root = tmp_path / "bundles"
     sinks.bundle_texts(b, str(root))
     sinks.bundle_texts(b.where("cluster_id = 'c2'"), str(root))
-    assert [p.name for p in (root / "texts").iterdir() if p.is_dir()] == ["cluster_id=c2"]
+    kept = spark.read.parquet(str(root / "texts")).orderBy("part_no").collect()
+    assert [tuple(r) for r in kept] == [("c2", 0, "two"), ("c2", 1, "more")]
+    sinks.export_texts(spark, str(root / "texts"), "cluster_id", ["c2", "none"], "text", str(tmp_path / "files"))
+    files = sorted((tmp_path / "files").glob("cluster_id=c2/part_no=*/*.txt"))
+    assert [f.read_text() for f in files] == ["two\n", "more\n"]
     row = spark.read.parquet(str(root / "index")).collect()[0]
     assert (row.cluster_id, row.chars, row.n_parts) == ("c2", 7, 2)
     st = spark.createDataFrame([("w", "m", 1.0)], "workload string, model string, v double")
