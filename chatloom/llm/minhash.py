@@ -8,8 +8,8 @@ the same for all sets. Bands of bins are bucket keys.
 Equal sets are one representative from the start, so copies never meet each other.
 In a bucket the document that shares most buckets is the centre, and every other
 member is compared with the centre alone: a bucket of n gives n - 1 edges. Edges are
-confirmed on the full sets. While that brings new links, members not yet reached
-become centres in turn. Two members that are similar to each other but not to a
+confirmed on the full sets. Where a centre is not similar to many members, these form
+stars among themselves, as long as that links a fair part. Two members that are similar to each other but not to a
 centre are found by what they do not share with it (see ``across``): exactly, and
 without forming the pairs of a bucket.
 
@@ -28,12 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from chatloom.llm.common import arrow_batches, components, stored, text_of
 
 #: A pair with similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
+#: Members that a centre leaves unlinked form stars of their own if there are so many of
+#: them, and again if a star has linked one in ``FAIR``. The result does not depend on it.
+MANY, FAIR = 64, 16
 #: Word hashes remembered in a task; a larger memo is dropped and begun anew.
 MEMO = 500_000
 
@@ -144,20 +147,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, id: str, text: s
 
 
 def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both): set sizes and intersection of each edge (a, b)."""
+    """Add (na, nb, both) to the edges (a, b, ...): set sizes and intersection."""
+    names = edges.columns
+    k = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for x, y in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 few, many = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.minimum(np.searchsorted(many, few), max(len(many) - 1, 0))
                 sizes.append((len(x), len(y), int((many[at] == few).sum()) if len(few) else 0))
             columns = [pa.array([s[i] for s in sizes], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "na", "nb", "both"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *columns], [*names, "na", "nb", "both"])
 
-    return _with_sets(edges, sets).select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, both bigint")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
+    return _with_sets(edges, sets).select(*names, "sa", "sb").mapInArrow(run, f"{kept}, na bigint, nb bigint, both bigint")
 
 
 def _with_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,10 +174,10 @@ def _with_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
 def differences(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """Add ``gap``: the shingles that the member ``b`` and the centre ``a`` do not share."""
     names = edges.columns
+    k = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = len(names)
             gaps = [
                 np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).astype(np.int64)
                 for x, y in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist())]
@@ -215,52 +221,50 @@ def across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, sigs: DataFrame, shingle: int, percent: int, id: str, text: str) -> DataFrame:
-    """Confirmed links (a, b) between representatives of equal sets; the similar pairs lie within their components."""
+    """(doc, component) over the confirmed links between representatives of equal sets."""
     reps = sigs.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc").alias("doc"))
     bands = sigs.join(reps, ["set_id", "doc"], "left_semi").select("doc", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = stored(bands.join(shared, "key"))
     score = members.groupBy("doc").agg(F.sum("c").alias("score"))
     scored = stored(members.join(score, "doc").select("key", "doc", "score"))
-    if scored.isEmpty():
-        return scored.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
     top = F.max(F.struct("score", (-F.col("doc")).alias("minus"))).alias("top")
-    centres = stored(scored.groupBy("key").agg(top).select("key", (-F.col("top.minus")).alias("a")))
-    first = scored.join(centres, "key").where(F.col("doc") != F.col("a")).select("a", F.col("doc").alias("b")).distinct()
-    sets = stored(full_sets(docs, scored.select("doc").distinct(), shingle, id, text))
+    centres = scored.groupBy("key").agg(top).select("key", (-F.col("top.minus")).alias("a"))
+    first = scored.join(centres, "key").where(F.col("doc") != F.col("a")).groupBy("a", F.col("doc").alias("b")).agg(F.first("score").alias("score"))
+    sets = stored(full_sets(docs, score, shingle, id, text))
 
     similar = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
     pivots = stored(compared(first, sets).withColumn("linked", similar))
-    tested = pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = pivots.where("linked").select("a", "b")
-    used = centres.select("key", F.col("a").alias("doc"))
-    while True:  # stars around members that the buckets' centres have not reached
-        labels = stored(components(found))
-        label = F.coalesce("component", "doc")
-        named = stored(scored.join(labels, "doc", "left").select("key", "doc", "score", label.alias("label")))
-        open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        inside = stored(named.join(open_, "key", "left_semi"))
-        if inside.isEmpty():
-            return found
-        reached = inside.join(used, ["key", "doc"], "left_semi").select("key", "label").distinct()
-        again = inside.join(reached, ["key", "label"], "left_anti").groupBy("key").agg(top).select("key", (-F.col("top.minus")).alias("centre"))
-        fresh = stored(again.join(named.select("key", F.col("doc").alias("centre"), F.col("label").alias("own")), ["key", "centre"]))
-        star = inside.join(fresh, "key").where(F.col("label") != F.col("own")).select(
-            F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b")).distinct()
-        new = stored(compared(star.join(tested, ["a", "b"], "left_anti"), sets).withColumn("linked", similar))
-        tested = tested.union(new.select("a", "b"))
-        found = stored(found.union(new.where("linked").select("a", "b")))
-        used = used.union(fresh.select("key", F.col("centre").alias("doc")))
-        if new.where("linked").isEmpty():
-            break
+    # Where a centre leaves many members unlinked, these form stars among themselves, as
+    # long as that links a fair part of them; a few are left to the last step.
+    away = pivots.where("NOT linked").select("a", "b", "score")
+    many = F.count("*").over(Window.partitionBy("a")) >= MANY
+    away = stored(away.withColumn("_many", many).where("_many").drop("_many"))
+    while not away.isEmpty():
+        best = away.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("minus"))).alias("top")).select("a", (-F.col("top.minus")).alias("c"))
+        around = away.join(best, "a").where(F.col("b") != F.col("c")).select("a", "b", "c", "score")
+        tried = stored(compared(around.select(F.col("c").alias("a"), "b", F.col("a").alias("of"), "score"), sets).withColumn("linked", similar))
+        found = found.union(tried.where("linked").select("a", "b"))
+        hits = F.count_if("linked")
+        useful = tried.groupBy("of").agg(hits.alias("hits"), F.count("*").alias("n")).where((F.col("hits") * FAIR >= F.col("n")) & (F.col("n") - F.col("hits") >= MANY))
+        away = stored(tried.where("NOT linked").join(useful, "of", "left_semi").select(F.col("of").alias("a"), "b", "score"))
     # What is left goes through the differences to the first centres, without loss.
+    labels = stored(components(found))
     name = lambda d, out: labels.select(F.col("doc").alias(d), F.col("component").alias(out))
-    groups = pivots.join(name("a", "la"), "a", "left").join(name("b", "lb"), "b", "left").select(
+    grouped = pivots.join(name("a", "la"), "a", "left").join(name("b", "lb"), "b", "left").select(
         "a", "b", "nb", "linked", F.coalesce("lb", "b").alias("label"), F.coalesce("la", "a").alias("own"))
-    split = groups.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("a")
-    rest = groups.join(split, "a", "left_semi").select("a", "b", "nb", "linked", "label")
-    last = compared(across(rest, sets, percent), sets).where(similar).select("a", "b")
-    return found.union(last)
+    grouped = stored(grouped)
+    split = grouped.groupBy("a").agg(F.min(F.least("label", "own")).alias("lo"), F.max(F.greatest("label", "own")).alias("hi")).where("lo <> hi").select("a")
+    rest = grouped.join(split, "a", "left_semi").select("a", "b", "nb", "linked", "label")
+    last = stored(compared(across(rest, sets, percent), sets).where(similar).select("a", "b"))
+    if last.isEmpty():
+        return labels
+    # The late links join components: only those ends are labelled anew.
+    ends = last.join(name("a", "la"), "a", "left").join(name("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = components(ends).select(F.col("doc").alias("component"), F.col("component").alias("final"))
+    alone = last.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(labels, "doc", "left_anti").select("doc", F.col("doc").alias("component"))
+    return labels.union(alone).join(merged, "component", "left").select("doc", F.coalesce("final", "component").alias("component"))
 
 
 def groups(
@@ -269,7 +273,7 @@ def groups(
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links, itself included), ``kept``."""
     sigs = stored(signatures(docs, shingle, bands, rows, id, text))
     known = sigs.where(F.col("doc").isNotNull())
-    labels = components(links(docs, known, shingle, percent, id, text))
+    labels = links(docs, known, shingle, percent, id, text)
     reps = known.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc").alias("rep"))
     named = reps.join(labels.withColumnRenamed("doc", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("_c"))
     # Empty sets are equal too, but linked with nothing.
