@@ -201,18 +201,13 @@ def word_hits(words: DataFrame, docs: DataFrame) -> DataFrame:
     own tokens does. Distinct tokens are cut into pieces of the words' lengths and
     met with the words by equality, once, whatever the number of texts.
     """
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("token"))
+    # The outer form adds no filter on the list, which would work it out a second time.
+    tokens = docs.select("doc_id", F.explode_outer(F.array_distinct(T.words(F.col("text")))).alias("token"))
     # A handful of numbers: as many as the words have lengths.
     lengths = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect())
-    none = F.array().cast("array<string>")
-
-    def pieces_of(n: int) -> Column:
-        last = F.length("token") - (n - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr("token", i, F.lit(n)))).otherwise(none)
-
-    cuts = F.flatten(F.array(*[pieces_of(n) for n in lengths])) if lengths else none
-    sized = tokens.select("token").distinct()
-    pieces = sized.select("token", F.explode(F.array_distinct(cuts)).alias("word"))
+    # A look-ahead matches at every place, so it gives all pieces of one length.
+    cuts = [F.regexp_extract_all("token", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    pieces = tokens.select("token").distinct().select("token", F.explode_outer(F.flatten(F.array(*cuts)) if cuts else F.array(F.lit(None).cast("string"))).alias("word"))
     found = pieces.join(words.select("word").distinct(), "word")
     return tokens.join(found, "token").select("word", "doc_id").distinct()
 
