@@ -436,7 +436,7 @@ def summed(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["data"], np.float64) for r in sorted(blocks, key=lambda r: r["block"])])
 
 
-def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, window: int = 64) -> np.ndarray:
+def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, window: int = 16) -> np.ndarray:
     """log10-likelihood of whole token sequences, the state carried from window to window."""
     lengths = np.array([len(d) for d in docs])
     order = np.argsort(-lengths, kind="stable")
