@@ -6,11 +6,11 @@ probability is its bucket's times its share of the bucket, so every word of ever
 text has one and they sum to 1. The output is factored into a class and a word
 within the class.
 
-Training is truncated backpropagation on runs of windows that are chosen by a hash
-from every training document at a fixed share, so it grows with the input. In a
-round each task starts from the same parameters and learns from its part; changes
-are averaged in a tree of small sums and only the result, of fixed size, comes to
-the driver. Scoring carries the state over all windows of a document.
+Training is truncated backpropagation on all runs of windows of every training
+document, each in one round that a hash chooses, so it grows with the input
+(``share`` above 1 learns from one run in so many only). In a round each task starts
+from the same parameters and learns from its part; changes are averaged in a tree of
+small sums and only the result, of fixed size, comes to the driver. Scoring carries the state over all windows of a document.
 
 Counts of words beyond the table that tasks hold (``table_words``) meet their
 occurrences in a join, so that no vocabulary has to fit anywhere.
@@ -370,7 +370,7 @@ FAN = 32
 
 
 def train(rows: DataFrame, vocab: Vocabulary, rounds: int, share: int, rate: float, batch_runs: int = 64) -> dict[str, np.ndarray]:
-    """Rounds over (row, tokens); each learns from its own ``1 / share`` of all runs."""
+    """Rounds over (row, tokens): each learns from its own ``1 / (share * rounds)`` of the runs, all together from ``1 / share``."""
     p = initial(vocab)
     end = int(vocab.place[vocab.end_id]) if 0 <= vocab.end_id < vocab.named else 0
     step = WINDOW * RUN
@@ -382,7 +382,7 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int, share: int, rate: flo
                 for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     n = len(raw) // 2
                     for k in range(0, (n + step - 1) // step):
-                        if _mix(row, k) % (share * rounds) % rounds != turn or _mix(row, k) % (share * rounds) // rounds:
+                        if _mix(row, k) % (share * rounds) != turn:
                             continue
                         seq = np.frombuffer(raw, np.uint16)
                         before = end if k == 0 else int(seq[k * step - 1])
@@ -493,7 +493,7 @@ def network_scores(rows: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary)
 
 def score(
     docs: DataFrame, id: str = "doc_id", text: str = "text", held_out: Column | None = None,
-    table_words: int = 1 << 18, rounds: int = 3, share: int = 8, rate: float = 0.2,
+    table_words: int = 1 << 18, rounds: int = 3, share: int = 1, rate: float = 0.2,
 ) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text)."""
     arrow_batches(docs.sparkSession)

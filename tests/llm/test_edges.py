@@ -506,6 +506,33 @@ def test_lm_learns(spark):
     assert got[0] / got[2] > got[1] / got[2] + 0.1
 
 
+def test_lm_learns_from_every_short_document(spark, monkeypatch):
+    """By default every training token is learned from once, also of documents of one run, and word counts are beaten."""
+    rng = random.Random(5)
+    after = {k: [rng.randrange(200) for _ in range(3)] for k in range(200)}
+
+    def say():
+        out = [rng.randrange(200)]
+        for _ in range(rng.randrange(30, 90)):
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(f"w{x}" for x in out)
+
+    learned, summed = [], lm_score.summed
+
+    def counted(parts):
+        total = summed(parts)
+        learned.append(total[-1])
+        return total
+
+    monkeypatch.setattr(lm_score, "summed", counted)
+    docs = spark.createDataFrame([(i, say()) for i in range(1500)], "doc_id bigint, text string")
+    got = lm_score.score(docs)
+    total = got.agg(F.max("train_tokens")).first()[0]
+    assert len(learned) == 3 and sum(learned) == total
+    sums = got.where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert sums[0] / sums[2] > sums[1] / sums[2] + 0.1
+
+
 def test_lm_probabilities_sum_to_one():
     vocab = lm_score.Vocabulary([b"", b"a", b"b"], np.array([5, 4, 3]), 12, 3, np.zeros(lm_score.BUCKETS), np.zeros(lm_score.BUCKETS))
     p = lm_score.initial(vocab)
