@@ -13,8 +13,9 @@ counts of (parent state, state) and of (state, feature value). Pages label
 themselves where they have an ``article`` (else ``main``) element: what is inside it
 is content, but for its menus, notes, forms and comments. Every such page is counted
 a second time with that element made anonymous, so that pages without one are read
-by their other features. What names say (``nav``, ``class="sidebar"``) is a fixed
-potential.
+by their other features. What tags say (``nav``) is a fixed potential; what words of
+class, id and role say (``class="sidebar"``) is a feature of a few nats like the
+others, which an element's text, place and children can outweigh.
 
 Defined results: a null or empty html, and a page without content, give an empty
 text; broken, unclosed and truncated markup is read as far as it goes; comments,
@@ -60,6 +61,8 @@ FURNITURE_WORDS = frozenset(
     "pagination skip complementary contentinfo search form alert toast tags meta byline".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text prose articlebody".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LINES = HEADINGS | {"p"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TOKEN = re.compile(
@@ -158,7 +161,12 @@ def mark_of(tag: str, attributes: str) -> int:
     if "=" in attributes and tag not in ("html", "body"):
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = "".join(values), name.lower()
-            if name in ("class", "id", "role"):
+            if name == "id":
+                # Headings and sections are named after their own text: an id counts if it says nothing else.
+                named = set(WORDS.findall(CAMEL.sub(r"\1 \2", value).lower()))
+                if tag not in HEADINGS and (named <= FURNITURE_WORDS or named <= CONTENT_WORDS):
+                    words |= named
+            elif name in ("class", "role"):
                 words.update(WORDS.findall(STATES.sub(" ", CAMEL.sub(r"\1 \2", value).lower())))
             elif name == "style" and HIDDEN.search(value) or name == "aria-hidden" and value == "true":
                 return 1
@@ -171,7 +179,7 @@ def mark_of(tag: str, attributes: str) -> int:
 
 STRUCTURE, CONTENT, FURNITURE = range(3)
 #: Feature -> number of values.
-FEATURES = {"kind": 7, "place": 3, "links": 4, "length": 5, "stops": 3}
+FEATURES = {"kind": 7, "place": 3, "links": 4, "length": 5, "stops": 3, "name": 3}
 KINDS = {t: k for k, ts in enumerate(["p", "h1 h2 h3 h4 h5 h6", "li ul ol dl dd dt", "table tr td th tbody thead caption", "pre blockquote figure figcaption", "article main section"], 1) for t in ts.split()}
 #: What pages hold in general, by parent state and state, and by state and kind. Half of the learned
 #: distributions, as a crawl's own pages may be alike. Furniture holds nothing else.
@@ -181,10 +189,12 @@ COMMON_KINDS = np.array([
     [0.10, 0.40, 0.14, 0.20, 0.05, 0.09, 0.02],
     [0.38, 0.08, 0.07, 0.34, 0.05, 0.02, 0.06],
 ])
-#: Log-potential of (state, what the name says): nothing, furniture by tag, content by tag, furniture by word, content by word.
-#: A tag outweighs any text; an article inside an element of ambiguous class outweighs the class. Furniture
-#: seldom begins without a name.
-NAMES = np.array([[0, -4000, -8, -400, -2], [0, -4000, 0, -400, 0], [-3, 0, -1000, 0, -20]], float)
+#: By state and words of the name: none, of furniture, of content.
+COMMON_NAMES = np.array([[0.80, 0.04, 0.16], [0.94, 0.01, 0.05], [0.50, 0.49, 0.01]])
+COMMON = {"kind": COMMON_KINDS, "name": COMMON_NAMES}
+#: Log-potential of (state, mark): nothing, furniture by tag, content by tag, and words, which are a feature.
+#: A tag outweighs any text. Furniture seldom begins without a name.
+NAMES = np.array([[0, -4000, -8, 0, 0], [0, -4000, 0, 0, 0], [-3, 0, -1000, 0, -3]], float)
 
 
 def inside(nodes: list[Node]) -> list[bool] | None:
@@ -214,18 +224,22 @@ def features(nodes: list[Node]) -> np.ndarray:
         out[i] = (
             KINDS.get(node.tag, 0), 0 if within is None else 1 if within[i] else 2,
             0 if not plain else 1 if share < 0.2 else 2 if share < 0.6 else 3,
-            0 if not plain else 1 if plain < 20 else 2 if plain < 80 else 3 if plain < 300 else 4, min(stops, 2))
+            0 if not plain else 1 if plain < 20 else 2 if plain < 80 else 3 if plain < 300 else 4, min(stops, 2), max(0, node.mark - 2))
     return out
 
 
 def own_labels(nodes: list[Node]) -> np.ndarray | None:
-    """States from a page's own markup; None for a page without an article or main element."""
+    """States from a page's own markup; None for a page without an article or main element.
+
+    A paragraph or heading in the article is content whatever its class says, so what
+    such words are worth is counted.
+    """
     within = inside(nodes)
     if within is None:
         return None
     state = np.zeros(len(nodes), np.int64)
     for i, n in enumerate(nodes[1:], 1):
-        state[i] = FURNITURE if n.mark in (1, 3) or state[n.parent] == FURNITURE else CONTENT if within[i] else STRUCTURE
+        state[i] = FURNITURE if n.mark == 1 or n.mark == 3 and n.tag not in LINES or state[n.parent] == FURNITURE else CONTENT if within[i] else STRUCTURE
     return state
 
 
@@ -249,7 +263,7 @@ class Model:
                 tables.append(np.concatenate((np.zeros((3, 1)), t), axis=1))
                 continue
             t /= t.sum(axis=1, keepdims=True)
-            tables.append(np.log(0.5 * t + 0.5 * COMMON_KINDS if name == "kind" else 0.8 * t + 0.2 / size))
+            tables.append(np.log(0.5 * t + 0.5 * COMMON[name] if name in COMMON else 0.8 * t + 0.2 / size))
         return cls(np.log(edge).tolist(), tables)
 
     def marginals(self, nodes: list[Node], values: np.ndarray) -> list[float]:

@@ -327,6 +327,22 @@ def test_html_extract(spark):
     assert html_extract.extract(empty, html_extract.fit(empty)).count() == 0
 
 
+def test_html_keeps_article_text_with_furniture_words(spark):
+    """Ids of headings and sections, and one class word, do not take article text away; advertisements go."""
+    say = "This is a sentence of the article, and it goes on for a while. "
+    body = (f'<h2 id="search-results">Search results</h2><p>{say * 2}</p><h3 id="login-form">Login form</h3><p>{say}</p>'
+            f'<p class="meta">{say * 3}</p><section id="related-work"><h2>Related work</h2><p>{say}</p></section>')
+    html = f'<html><body><nav><a href=/x>Menu</a></nav><article><h1>Head</h1>{body}</article><div class="ad">Buy it now.</div></body></html>'
+    pages = [(0, "u", PAGE), (1, "u", html), (2, "u", html.replace("article>", "div>"))] + [(3 + i, "u", PAGE) for i in range(5)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(frame, html_extract.fit(frame)).collect()}
+    meta = (say * 3).strip()
+    want = ["Head", "Search results", (say * 2).strip(), "Login form", say.strip(), meta, "Related work", say.strip()]
+    assert got[1].split("\n\n") == want
+    # Without an article element a paragraph of class "meta" stays open to either reading.
+    assert [x for x in got[2].split("\n\n") if x != meta] == [x for x in want if x != meta]
+
+
 def test_html_messages_are_exact():
     """Sum-product marginals against the sum over all assignments of a small tree."""
     import itertools
