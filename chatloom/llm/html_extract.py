@@ -41,11 +41,14 @@ from chatloom.llm.common import arrow_batches
 #: Elements without content of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is not read as markup.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select annotation annotation-xml".split())
+#: Where such an element ends; A-Z in either case.
+RAW_ENDS = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 #: Elements that stand inside a line and do not end a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr br".split())
+    "strong sub sup time tt u var wbr br object math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "mtable mtr mtd mspace mstyle mpadded mphantom menclose mmultiscripts semantics".split())
 #: What a new element of a kind closes before it opens, up to the nearest container.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -88,7 +91,6 @@ def parse(source: str) -> list[Node]:
     """Nodes of a page, parents before children; inline elements belong to their block."""
     nodes = [Node("#root", -1, 0)]
     stack, links, block, at = [0], 0, 1, 0
-    lower = source.lower() if len(source.lower()) == len(source) else source
 
     def add(text: str) -> None:
         if text:
@@ -112,8 +114,8 @@ def parse(source: str) -> list[Node]:
         closing, tag = bool(found.group(1)), found.group(2).lower()
         if tag in RAW and not closing:
             if not found.group(3).endswith("/"):
-                end = lower.find(f"</{tag}", at)
-                stop = source.find(">", end) if end >= 0 else -1
+                end = RAW_ENDS[tag].search(source, at)
+                stop = source.find(">", end.end()) if end else -1
                 at = stop + 1 if stop >= 0 else length
             continue
         if tag == "br" or tag == "img":

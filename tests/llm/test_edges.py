@@ -343,6 +343,14 @@ def test_html_keeps_article_text_with_furniture_words(spark):
     assert [x for x in got[2].split("\n\n") if x != meta] == [x for x in want if x != meta]
 
 
+def test_html_ends_of_raw_elements_and_inline_objects():
+    """A letter that lower case makes longer hides no closing tag; formulas and fallback texts are inline."""
+    page = ("<article><p>\u0130stanbul is a city. <SCRIPT>var x;</SCRIPT>It goes on <STYLE>p{}</Style>here: "
+            "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> and <object>a picture</object>.</p><p>Last one.</p></article>")
+    model = html_extract.Model.from_counts({})
+    assert html_extract.text_of_page(page, model) == "\u0130stanbul is a city. It goes on here: x=2 and a picture.\n\nLast one."
+
+
 def test_html_messages_are_exact():
     """Sum-product marginals against the sum over all assignments of a small tree."""
     import itertools
