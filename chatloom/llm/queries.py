@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import bpe, exact_dedup, html_extract, line_dedup, lm_score, minhash, mixing, quality_rules, token_output, url_filter
+from chatloom.llm import bpe, centroids, exact_dedup, html_extract, line_dedup, lm_score, minhash, mixing, phrases, quality_rules, token_output, url_filter
 from chatloom.llm.common import scratch, tokenizer_file
 from chatloom.session import table
 
@@ -128,3 +128,66 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark)
     token_output.write(table(spark, sf_dir, "documents"), out, tokenizer_file("byte_bpe_50k.json"))
     return token_output.with_crc32(token_output.read(spark, out))
+
+
+@query(f"""
+    WITH w AS (
+        SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), {_ALPHABET}), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM w),
+    g AS (
+        SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+        FROM p, (SELECT unnest([1, 2, 3]) AS m) WHERE len(ws) >= m),
+    c AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL),
+    t AS (SELECT lang, sum(n)::BIGINT AS n FROM c WHERE m = 1 GROUP BY lang),
+    f AS (SELECT lang, m, phrase, n, string_split(phrase, ' ') AS ws FROM c WHERE n >= 10),
+    k AS (SELECT lang, m, phrase, n AS a, ws, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+    s AS (
+        SELECT k.lang, k.m, k.phrase, k.a, k.ws, k.k, x.n AS l, y.n AS r, (1000000::HUGEINT * k.a * k.a // (x.n::HUGEINT * y.n))::BIGINT AS score
+        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1:k.k], ' ')
+            JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    o AS (
+        SELECT lang, phrase, max(a) AS a
+        FROM (SELECT lang, n AS a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM f WHERE m = 3) GROUP BY ALL),
+    z AS (
+        SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE o.a IS NULL OR 100 * o.a < 50 * b.a
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, b.a DESC, phrase) <= 2000)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score FROM z JOIN t USING (lang)
+""")
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of each language."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """Every round as two steps: vectors to centroids, then centroids to the means."""
+    near = """
+        a{k} AS MATERIALIZED (
+            SELECT vec_id, min({{'d': d, 'k': k}}) AS near
+            FROM (SELECT q.vec_id, c.k, sum((q.x - c.x) * (q.x - c.x))::BIGINT AS d FROM q JOIN c{k} c USING (i) GROUP BY ALL) GROUP BY vec_id)"""
+    move = """
+        c{n} AS MATERIALIZED (
+            SELECT c.k, c.i, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+                SELECT near.k AS k, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+                FROM q JOIN a{k} USING (vec_id) GROUP BY ALL) m ON m.k = c.k AND m.i = c.i)"""
+    steps = ", ".join(near.format(k=k) + "," + move.format(k=k, n=k + 1) for k in range(rounds)) + "," + near.format(k=rounds)
+    return f"""
+        WITH e AS (
+            SELECT vec_id, embedding AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        q AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS i, floor(1024 * unnest(v)::DOUBLE)::BIGINT AS x FROM e),
+        s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM e QUALIFY k < 8),
+        c0 AS MATERIALIZED (SELECT k, i, x FROM q JOIN s USING (vec_id)), {steps},
+        h AS (SELECT k, sha256(string_agg(x, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+        SELECT vec_id, near.k::INT AS cluster, near.d AS distance, (sum(near.d) OVER (PARTITION BY near.k))::BIGINT AS cluster_inertia,
+            (sum(near.d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN h ON h.k = near.k
+    """
+
+
+@query(_clusters_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and exact distance of every vector, after ten rounds from eight vectors chosen by digest."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.digest(F.col("centroid")).alias("centroid_sha256"))
