@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -98,3 +101,42 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(a.alias("a"), F.col("low").alias("b")), F.struct(b.alias("a"), F.col("low").alias("b")))).alias("e"))
         links = stored(small.select("e.*").where(a != b).distinct())
+
+
+def worker_cache() -> dict:
+    """What this Python worker keeps for the tasks it runs one after the other.
+
+    Functions reach a worker by value, with new globals for every task, so the dict
+    hangs on a module of its own.
+    """
+    return sys.modules.setdefault("_chatloom_worker", types.ModuleType("_chatloom_worker")).__dict__
+
+
+class Memo:
+    """Remembered bytes of texts in two generations: what is in use moves to the new one, the old one goes.
+
+    Bounded by the bytes of keys and values; each generation takes half.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, keys: Iterable[str], work: Callable[[list[str]], list[bytes]]) -> Callable[[str], bytes]:
+        """A look-up that knows all ``keys``; ``work`` is asked for those not remembered."""
+        if self.size > self.most // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        new, old = self.new, self.old
+        unknown = []
+        for key in keys:
+            if key not in new:
+                if (value := old.pop(key, None)) is None:
+                    unknown.append(key)
+                else:
+                    new[key] = value
+                    self.size += len(key) + len(value) + 150
+        for key, value in zip(unknown, work(unknown) if unknown else ()):
+            new[key] = value
+            self.size += len(key) + len(value) + 150
+        return new.__getitem__

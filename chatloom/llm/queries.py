@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatloom.llm import bpe, centroids, exact_dedup, html_extract, line_dedup, lm_score, minhash, mixing, phrases, quality_rules, token_output, url_filter
+from chatloom.llm import bpe, centroids, exact_dedup, html_extract, line_dedup, lm_score, minhash, mixing, phrases, quality_rules, table_bpe, token_output, url_filter
 from chatloom.llm.common import scratch, tokenizer_file
 from chatloom.session import table
 
@@ -130,6 +130,16 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.with_crc32(token_output.read(spark, out))
 
 
+@query()
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and the digests of its ids and of the bytes decoded from them."""
+    import public_tokenizers
+
+    path, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = table_bpe.decode(table_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query(f"""
     WITH w AS (
         SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), {_ALPHABET}), '[.,;:!?\x0A-\x0D]')) AS piece
