@@ -1,12 +1,13 @@
 """Phrase collocations: frequent phrases from Misra-Gries summaries, counted exactly in a second pass.
 
-First pass: each task counts the n-grams of its own texts and sends (hash, count) to
-the n-gram's hash partition. A partition merges what arrives into one Misra-Gries
-summary: above its capacity all counters lose the weight of the first one too many.
-The capacity exceeds the partition's mass divided by the threshold, so all losses
-together stay below the threshold and every phrase that is frequent survives. The
-survivors of all partitions become a Bloom filter of a fixed number of bytes. It only
-spares the shuffle: what passes it is counted by its words, not by its hash.
+First pass: each task counts the n-grams of its own texts and sends one packed row of
+counters, told apart by hash, to every hash partition. A partition merges what
+arrives into one Misra-Gries summary: above its capacity all counters lose the weight
+of the first one too many. The capacity exceeds the partition's mass divided by the
+threshold, so all losses together stay below the threshold and every phrase that is
+frequent survives (two phrases of one hash share a counter, which only makes it
+larger). The survivors of all partitions become a Bloom filter of a fixed number of
+bytes. It only spares the shuffle: what passes it is counted by its words.
 
 Second pass: n-grams that pass the filter are counted exactly by (language, phrase).
 Phrases at or above the threshold are scored by joins with the counts of their
@@ -24,7 +25,6 @@ and empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -43,9 +43,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 PIECE_END = re.compile(rb"[.,;:!?\n-\r]")
 BLANK = re.compile(rb"[ \t]")
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Counters that a task of the first pass holds before it sends them.
-HELD = 1 << 21
+HELD = 3 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,19 +75,22 @@ def blocks(texts: list[bytes], most: int, limit: int | None = None) -> Iterator[
     held: list[bytes] = []
     size = 0
     for text in texts:
-        at = context = 0
-        while len(text) - at > limit:
-            found = PIECE_END.search(text, at + limit, at + 2 * limit) or BLANK.search(text, at + limit)
+        # ``fresh`` is where the block's own bytes begin, after its context.
+        at = fresh = context = 0
+        while len(text) - fresh > limit:
+            found = PIECE_END.search(text, fresh + limit, fresh + 2 * limit) or BLANK.search(text, fresh + limit)
             if not found:
                 break
-            yield text[at : found.start()], context
-            at, context = found.end(), 0
+            begun = text[at : found.start()]
+            yield begun, context
+            at = fresh = found.end()
+            context = 0
             if BLANK.match(found.group()):
                 # The words before the cut; blanks and marks of any kind part them at least this well.
-                tail = text[: found.start()][-limit:].rsplit(None, most - 1)[1:] if most > 1 else []
-                again = b" ".join(tail)
+                tail = begun.rsplit(None, most - 1)
+                again = begun[len(tail[0]) :] if len(tail) == most else begun
                 context = len(cut_words(again)[0])
-                text, at = again + b" " + text[at:], 0
+                text, at, fresh = again + b" " + text[at:], 0, len(again) + 1
         if at or context:
             yield text[at:], context
             continue
@@ -196,14 +199,29 @@ class Summary:
         return self.hashes[self.counts + self.lost >= threshold]
 
 
-def bits_of(hashes: np.ndarray, parts: int, part_bytes: int) -> np.ndarray:
-    """Two positions of each hash within its partition's stretch of the filter."""
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The hash partition, from the upper half of a hash; the lower half tells n-grams of a partition apart."""
+    return ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def bits_of(lower: np.ndarray, part_bytes: int) -> np.ndarray:
+    """Two positions of each n-gram within its partition's stretch of the filter."""
     size = np.uint64(8 * part_bytes)
-    return np.stack([(mixed(hashes) % size).astype(np.int64), (mixed(hashes + np.uint64(1)) % size).astype(np.int64)])
+    return np.stack([(mixed(lower + np.uint64(k << 32)) % size).astype(np.int64) for k in (1, 2)])
 
 
-def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+def pack(lower: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counters in ascending order as compressed byte planes of gaps and counts."""
+    gaps = np.diff(lower, prepend=np.uint64(0)).astype("<u4")
+    planes = [gaps.view(np.uint8).reshape(-1, 4).T, counts.astype("<i8").view(np.uint8).reshape(-1, 8).T]
+    return len(lower).to_bytes(8, "little") + pa.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in planes), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 12 * n, "zstd", asbytes=True), np.uint8).reshape(12, n)
+    gaps, counts = np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), np.ascontiguousarray(planes[4:].T).view("<i8").ravel()
+    return np.cumsum(gaps, dtype=np.uint64), counts
 
 
 def lang_seed(lang: str) -> int:
@@ -230,9 +248,15 @@ def survivors(rows: DataFrame, threshold: int, most: int, parts: int, part_bytes
         size = 0
 
         def sent() -> pa.RecordBatch:
-            hashes, counts = summed(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]))
+            hashes, counts = np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held])
+            part = part_of(hashes, parts)
+            order = np.argsort(part, kind="stable")
+            hashes, counts, part = hashes[order] & np.uint64(0xFFFFFFFF), counts[order], part[order]
+            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            mine = [summed(hashes[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
             return pa.RecordBatch.from_arrays(
-                [pa.array(part_of(hashes, parts), pa.int64()), pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], ["part", "gram", "n"])
+                [pa.array(part[cuts[:-1]], pa.int64()), pa.array([int(c.sum()) for _, c in mine], pa.int64()), pa.array([pack(*x) for x in mine], pa.binary())],
+                ["part", "mass", "counters"])
 
         for batch in batches:
             for lang, texts in by_lang(batch):
@@ -242,31 +266,29 @@ def survivors(rows: DataFrame, threshold: int, most: int, parts: int, part_bytes
                     if size >= HELD:
                         yield sent()
                         held, size = [], 0
-        if held:
+        if size:
             yield sent()
 
-    counts = stored(rows.mapInArrow(count, "part bigint, gram bigint, n bigint"))
+    counters = stored(rows.mapInArrow(count, "part bigint, mass bigint, counters binary"))
     # One row for each partition: what its summary has to bear.
-    mass = counts.groupBy("part").agg(F.sum("n").alias("mass"))
+    total = counters.groupBy("part").agg(F.sum("mass").alias("total"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summaries: dict[int, Summary] = {}
         for batch in batches:
-            part, gram, n, total = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for p in np.unique(part).tolist():
-                mine = part == p
-                if p not in summaries:
-                    summaries[p] = Summary(int(total[mine][0]) // threshold + 1)
-                summaries[p].add(gram[mine].view(np.uint64), n[mine])
+            for part, packed, mass in zip(*(c.to_pylist() for c in batch.columns)):
+                if part not in summaries:
+                    summaries[part] = Summary(mass // threshold + 1)
+                summaries[part].add(*unpack(packed))
         for p, summary in summaries.items():
             found = summary.frequent(threshold)
             stretch = np.zeros(8 * part_bytes, bool)
-            stretch[bits_of(found, parts, part_bytes).ravel()] = True
+            stretch[bits_of(found, part_bytes).ravel()] = True
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p], pa.int64()), pa.array([np.packbits(stretch, bitorder="little").tobytes()], pa.binary()), pa.array([len(found)], pa.int64())],
                 ["part", "bits", "n"])
 
-    dealt = counts.join(mass, "part").select("part", "gram", "n", "mass").repartitionById(parts, F.col("part").cast("int"))
+    dealt = counters.join(total, "part").select("part", "counters", "total").repartitionById(parts, F.col("part").cast("int"))
     return dealt.mapInArrow(merge, "part bigint, bits binary, n bigint")
 
 
@@ -288,7 +310,7 @@ def frequent(docs: DataFrame, threshold: int, most: int, lang: str, text: str, p
         bloom = np.frombuffer(shared.value, np.uint8)
 
         def passes(hashes: np.ndarray) -> np.ndarray:
-            spots = bits_of(hashes, parts, part_bytes) + part_of(hashes, parts) * (8 * part_bytes)
+            spots = bits_of(hashes & np.uint64(0xFFFFFFFF), part_bytes) + part_of(hashes, parts) * (8 * part_bytes)
             return ((bloom[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1).all(axis=0)
 
         for batch in batches:
@@ -316,36 +338,43 @@ def frequent(docs: DataFrame, threshold: int, most: int, lang: str, text: str, p
 
 
 def scored(counts: DataFrame, most: int) -> DataFrame:
-    """Candidates with the weakest cut: ``lang``, ``phrase``, ``words``, ``a``, ``l``, ``r``, ``score``."""
-    known = counts.where("phrase IS NOT NULL").select("lang", "phrase", "n")
-    cuts = (
-        counts.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("parts"))
-        .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-        .select("lang", "phrase", "words", "a", "k", F.array_join(F.slice("parts", F.lit(1), F.col("k")), " ").alias("first"),
-                F.array_join(F.slice("parts", F.col("k") + 1, F.col("words")), " ").alias("rest"))
+    """Phrases of two and more words: ``longest`` (of the longer ones around it) and the weakest ``cut``.
+
+    Every part of a phrase asks for its count by one join. The answer goes to the phrase
+    as the left or right side of a cut, and the phrase's count to the part as that of a
+    longer phrase; both meet in one aggregate by row number.
+    """
+    named = counts.where("phrase IS NOT NULL")
+    parts = F.split("phrase", " ")
+    spans = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.col("words") - 1),
+        lambda size: F.transform(F.sequence(F.lit(1), F.col("words") - size + 1), lambda at: F.struct(at.alias("at"), size.alias("size")))))
+    asks = (
+        named.where("words > 1").select("lang", "row", "words", "n", parts.alias("parts"), F.explode(spans).alias("s"))
+        # The left side of the cut after ``size`` words, the right side of the one that leaves so many, or neither (0).
+        .withColumn("spot", F.when(F.col("s.at") == 1, F.col("s.size")).when(F.col("s.at") + F.col("s.size") > F.col("words"), F.lit(most) + F.col("words") - F.col("s.size")).otherwise(0))
+        .where((F.col("spot") > 0) | (F.col("s.size") > 1))
+        .select("lang", F.array_join(F.slice("parts", F.col("s.at"), F.col("s.size")), " ").alias("phrase"), F.col("row").alias("whole"), "spot", F.col("n").alias("longer"))
     )
-    left = known.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l"))
-    right = known.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r"))
+    met = asks.join(named.select("lang", "phrase", "row", "words", "n"), ["lang", "phrase"])
+    told = met.select(F.explode(F.array(
+        F.struct(F.when(F.col("spot") > 0, F.col("whole")).alias("row"), "spot", F.col("n").alias("n")),
+        F.struct(F.when(F.col("words") > 1, F.col("row")).alias("row"), F.lit(0).alias("spot"), F.col("longer").alias("n")))).alias("t")).select("t.*")
+    at = lambda k: F.max(F.when(F.col("spot") == k, F.col("n")))
+    sides = told.where("row IS NOT NULL").groupBy("row").agg(
+        *[at(k).alias(f"l{k}") for k in range(1, most)], *[at(most + k).alias(f"r{k}") for k in range(1, most)], at(0).alias("longest"))
     exact = "CAST(1000000 AS DECIMAL(7,0)) * CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0))"
-    score = F.expr(f"({exact}) div (CAST(l AS DECIMAL(18,0)) * CAST(r AS DECIMAL(18,0)))")
-    cut = F.struct(score.alias("score"), "k", "l", "r")
-    return (
-        cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"])
-        .groupBy("lang", "phrase", "words", "a").agg(F.min(cut).alias("cut"))
-        .select("lang", "phrase", "words", "a", "cut.l", "cut.r", "cut.score")
-    )
 
+    def cut(k: int) -> Column:
+        score = F.expr(f"({exact}) div (CAST(l{k} AS DECIMAL(18,0)) * CAST(r{k} AS DECIMAL(18,0)))")
+        return F.when(F.col("words") > k, F.struct(score.alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
 
-def nested(counts: DataFrame, most: int) -> DataFrame:
-    """(``lang``, ``phrase``, ``longest``): phrases inside longer candidates, with the largest count of those."""
-    longer = counts.where("words > 2").select("lang", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("parts"))
-    inside = F.flatten(F.transform(
-        F.sequence(F.lit(2), F.col("words") - 1),
-        lambda size: F.transform(F.sequence(F.lit(1), F.col("words") - size + 1), lambda at: F.array_join(F.slice("parts", at, size), " "))))
-    return (
-        longer.select("lang", "a", F.explode(F.array_distinct(inside)).alias("phrase"))
-        .groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
-    )
+    whole = named.where("words > 1").select("row", "lang", "phrase", "words", F.col("n").alias("a"))
+    return whole.join(sides, "row").withColumn("cut", F.array_min(F.array(*[cut(k) for k in range(1, most)])))
+
+
+#: Groups that a language's phrases are dealt out to before its best are ranked.
+DEALS = 64
 
 
 def mine(
@@ -357,12 +386,15 @@ def mine(
     ``part_mass``: occurrences that one summary should bear. ``filter_bytes``: size of the
     Bloom filter that all tasks get, whatever the input.
     """
-    counts = stored(frequent(docs, threshold, max_words, lang, text, part_mass, filter_bytes))
-    totals = counts.where("phrase IS NULL").select("lang", "n")
+    counts = stored(frequent(docs, threshold, max_words, lang, text, part_mass, filter_bytes).withColumn("row", F.monotonically_increasing_id()))
     kept = (
-        scored(counts, max_words).join(nested(counts, max_words), ["lang", "phrase"], "left")
+        scored(counts, max_words)
         .where(F.col("longest").isNull() | (F.lit(100).cast("decimal(3,0)") * F.col("longest") < F.lit(nested_percent).cast("decimal(3,0)") * F.col("a")))
+        .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    dealt = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(DEALS))).orderBy(*order)
+    some = kept.withColumn("rank", F.row_number().over(dealt)).where(F.col("rank") <= top).drop("rank")
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    totals = counts.where("phrase IS NULL").select("lang", "n")
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
