@@ -39,6 +39,8 @@ TOKENS = CLASSES * CLASS_SIZE
 BUCKETS = 32
 WINDOW, RUN = 32, 8
 END = b""
+#: Targets of one class worked on together: their logits stay in a core's cache.
+CHUNK = 256
 
 
 def is_held_out(id: Column) -> Column:
@@ -224,43 +226,72 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, keep: list |
     return out
 
 
-def output(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None):
-    """Natural log-probabilities of targets ``y`` given states ``h``; with ``grads``, also the gradient of h."""
-    rows = np.arange(len(y))
-    of = y // CLASS_SIZE
+#: Logits beyond this are shifted by their largest before ``exp``; parameters that bound them below need no shift.
+SAFE = 60.0
+#: Sums of the two softmaxes that stand side by side.
+SIDES = np.repeat(np.eye(2, dtype=np.float32), [CLASSES, CLASS_SIZE], axis=0)
+
+
+def side_by_side(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Weights and biases of the class softmax and each class's word softmax as one matrix per class; whether logits may be large."""
+    weights = np.empty((CLASSES, HIDDEN, CLASSES + CLASS_SIZE), np.float32)
+    weights[:, :, :CLASSES] = p["Wc"]
+    weights[:, :, CLASSES:] = p["Wo"].reshape(CLASSES, CLASS_SIZE, HIDDEN).transpose(0, 2, 1)
+    bias = np.empty((CLASSES, CLASSES + CLASS_SIZE), np.float32)
+    bias[:, :CLASSES] = p["bc"]
+    bias[:, CLASSES:] = p["bo"].reshape(CLASSES, CLASS_SIZE)
+    # States lie between -1 and 1. Sums of exponentials neither overflow nor vanish within the bound.
+    reach = np.abs(weights).sum(axis=1)
+    large = float((reach + bias).max()) > SAFE or min(float((bias - reach)[:, k].max(axis=1).min()) for k in (slice(None, CLASSES), slice(CLASSES, None))) < -SAFE
+    return weights, bias, large
+
+
+def output(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None, sides: tuple | None = None):
+    """Natural log-probabilities of targets ``y`` given states ``h``; with ``grads``, also the gradient of h.
+
+    Targets are sorted by class once; a class's targets meet both softmaxes in one small matrix.
+    """
+    of = (y // CLASS_SIZE).astype(np.uint8)
     order = np.argsort(of, kind="stable")
-    logits = h @ p["Wc"] + p["bc"]
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    s = e.sum(axis=1)
-    score = logits[rows, of] - np.log(s)
+    hs, words = h[order], CLASSES + (y % CLASS_SIZE)[order]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=CLASSES)))).tolist()
+    weights, bias, large = sides or side_by_side(p)
+    size = CLASSES + CLASS_SIZE
+    logits, rows = np.empty((CHUNK, size), np.float32), np.arange(CHUNK)
+    sums, hit = np.empty((len(y), 2), np.float32), np.empty(len(y), np.float32)
+    if grads is not None:
+        sorted_dh = np.empty_like(hs)
+        by_weight, by_bias = np.zeros((CLASSES, HIDDEN, size), np.float32), np.zeros((CLASSES, size), np.float32)
+    for c in range(CLASSES):
+        for a in range(starts[c], starts[c + 1], CHUNK):
+            b = min(a + CHUNK, starts[c + 1])
+            q, near, word = logits[: b - a], rows[: b - a], words[a:b]
+            np.matmul(hs[a:b], weights[c], out=q)
+            q += bias[c]
+            if large:
+                sided = q.reshape(b - a, 2, -1)
+                sided -= sided.max(axis=2, keepdims=True)
+            np.add(q[:, c], q[near, word], out=hit[a:b])
+            np.exp(q, out=q)
+            s = np.matmul(q, SIDES, out=sums[a:b])
+            if grads is not None:
+                q.reshape(b - a, 2, -1)[...] *= np.reciprocal(s)[:, :, None]
+                q[:, c] -= 1
+                q[near, word] -= 1
+                np.matmul(q, weights[c].T, out=sorted_dh[a:b])
+                by_weight[c] += hs[a:b].T @ q
+                by_bias[c] += q.sum(axis=0)
+    sorted_score = hit - np.log(sums).sum(axis=1)
+    if grads is not None:
+        grads["Wc"], grads["bc"] = by_weight[:, :, :CLASSES].sum(axis=0), by_bias[:, :CLASSES].sum(axis=0)
+        grads["Wo"] = np.ascontiguousarray(by_weight[:, :, CLASSES:].transpose(0, 2, 1)).reshape(TOKENS, HIDDEN)
+        grads["bo"] = by_bias[:, CLASSES:].reshape(TOKENS)
+    score = np.empty_like(sorted_score)
+    score[order] = sorted_score
     dh = None
     if grads is not None:
-        e /= s[:, None]
-        e[rows, of] -= 1
-        grads["Wc"], grads["bc"] = h.T @ e, e.sum(axis=0)
-        dh = e @ p["Wc"].T
-        grads["Wo"], grads["bo"] = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
-    starts = np.searchsorted(of[order], np.arange(CLASSES + 1))
-    hs, ys = h[order], y[order] % CLASS_SIZE
-    inner = np.empty(len(y), np.float32)
-    for c in np.nonzero(np.diff(starts))[0].tolist():
-        a, b = starts[c], starts[c + 1]
-        part = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        w = p["Wo"][part]
-        q = hs[a:b] @ w.T + p["bo"][part]
-        q -= q.max(axis=1, keepdims=True)
-        hit = (np.arange(b - a), ys[a:b])
-        picked = q[hit]
-        np.exp(q, out=q)
-        s = q.sum(axis=1)
-        inner[a:b] = picked - np.log(s)
-        if grads is not None:
-            q /= s[:, None]
-            q[hit] -= 1
-            grads["Wo"][part], grads["bo"][part] = q.T @ hs[a:b], q.sum(axis=0)
-            dh[order[a:b]] += q @ w
-    score[order] += inner
+        dh = np.empty_like(sorted_dh)
+        dh[order] = sorted_dh
     return score, dh
 
 
@@ -299,15 +330,17 @@ class Learner:
     def learn(self, runs: list[np.ndarray], end: int) -> None:
         """One pass over runs (previous token, then the targets) of up to RUN windows, state carried within a run."""
         runs = sorted(runs, key=len, reverse=True)
+        lengths = np.array([len(r) - 1 for r in runs])
+        seqs = np.full((lengths[0] + 1, len(runs)), -1, np.int64)
+        for i, r in enumerate(runs):
+            seqs[: len(r), i] = r
         h = np.zeros((len(runs), HIDDEN), np.float32)
-        for w in range(0, len(runs[0]) - 1, WINDOW):
-            live = sum(len(r) - 1 > w for r in runs)
+        for w in range(0, int(lengths[0]), WINDOW):
+            live = int((lengths > w).sum())
             h = h[:live]
-            steps = min(WINDOW, len(runs[0]) - 1 - w)
-            x, y = np.full((steps, live), end, np.int64), np.full((steps, live), -1, np.int64)
-            for i, r in enumerate(runs[:live]):
-                part = r[w : w + steps + 1]
-                x[: len(part) - 1, i], y[: len(part) - 1, i] = part[:-1], part[1:]
+            y = seqs[w + 1 : w + 1 + WINDOW, :live]
+            x = seqs[w : w + len(y), :live]
+            x = np.where(x < 0, end, x)
             kept: list = []
             states = forward(self.p, x, h, kept)
             h = states[-1]
@@ -369,7 +402,7 @@ def _mix(row: int, run: int) -> int:
 FAN = 32
 
 
-def train(rows: DataFrame, vocab: Vocabulary, rounds: int, share: int, rate: float, batch_runs: int = 64) -> dict[str, np.ndarray]:
+def train(rows: DataFrame, vocab: Vocabulary, rounds: int, share: int, rate: float, batch_runs: int = 256) -> dict[str, np.ndarray]:
     """Rounds over (row, tokens): each learns from its own ``1 / (share * rounds)`` of the runs, all together from ``1 / share``."""
     p = initial(vocab)
     end = int(vocab.place[vocab.end_id]) if 0 <= vocab.end_id < vocab.named else 0
@@ -445,6 +478,7 @@ def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, window
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     total = np.zeros(len(docs))
     h = np.zeros((len(docs), HIDDEN), np.float32)
+    sides = side_by_side(p)
     for w in range(0, int(lengths[0]), window):
         live = int(np.searchsorted(-lengths, -w, side="left"))  # documents longer than w
         h = h[:live]
@@ -456,15 +490,16 @@ def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, window
         x = np.where(at[:, None] > 0, flat[np.maximum(where - 1, 0)], end)
         states = forward(p, x, h)
         h = states[-1]
-        score, _ = output(p, states[real], y[real])
+        score, _ = output(p, states[real], y[real], sides=sides)
         total[:live] += np.bincount(np.nonzero(real)[1], weights=score, minlength=live)
     out = np.empty(len(docs))
     out[order] = total / math.log(10)
     return out
 
 
-#: Tokens of documents that are scored together.
-POOL = 4_000_000
+#: Tokens of documents that are scored together: of short ones, so that states stay in
+#: a core's cache, and of long ones, so that few steps are taken for one document alone.
+POOL, LONG, LONG_POOL = 1_000_000, 2_000, 4_000_000
 
 
 def network_scores(rows: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary) -> DataFrame:
@@ -472,21 +507,24 @@ def network_scores(rows: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary)
     end = int(vocab.place[vocab.end_id]) if 0 <= vocab.end_id < vocab.named else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, docs, size = [], [], 0
-
-        def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(log_probs(p, docs, end), pa.float64())], ["row", "network"])
+        def scored(pool: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            found = log_probs(p, [d for _, d in pool], end)
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in pool], pa.int64()), pa.array(found, pa.float64())], ["row", "network"])
 
+        pools: list[list] = [[], []]
+        sizes = [0, 0]
         for batch in batches:
             for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                names.append(row)
-                docs.append(np.frombuffer(raw, np.uint16))
-                size += len(docs[-1])
-                if size >= POOL:
-                    yield table()
-                    names, docs, size = [], [], 0
-        if docs:
-            yield table()
+                tokens = np.frombuffer(raw, np.uint16)
+                long = len(tokens) > LONG
+                pools[long].append((row, tokens))
+                sizes[long] += len(tokens)
+                if sizes[long] >= (LONG_POOL if long else POOL):
+                    yield scored(pools[long])
+                    pools[long], sizes[long] = [], 0
+        for pool in pools:
+            if pool:
+                yield scored(pool)
 
     return rows.mapInArrow(run, "row bigint, network double")
 
