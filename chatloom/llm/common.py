@@ -112,6 +112,10 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_chatloom_worker", types.ModuleType("_chatloom_worker")).__dict__
 
 
+#: Bytes of a remembered entry beside its text and its value.
+ENTRY = 150
+
+
 class Memo:
     """Remembered bytes of texts in two generations: what is in use moves to the new one, the old one goes.
 
@@ -129,14 +133,13 @@ class Memo:
             self.old, self.new, self.size = self.new, {}, 0
         new, old = self.new, self.old
         unknown = []
-        for key in keys:
-            if key not in new:
-                if (value := old.pop(key, None)) is None:
-                    unknown.append(key)
-                else:
-                    new[key] = value
-                    self.size += len(key) + len(value) + 150
+        for key in set(keys).difference(new):
+            if (value := old.pop(key, None)) is None:
+                unknown.append(key)
+            else:
+                new[key] = value
+                self.size += len(key) + len(value) + ENTRY
         for key, value in zip(unknown, work(unknown) if unknown else ()):
             new[key] = value
-            self.size += len(key) + len(value) + 150
+            self.size += len(key) + len(value) + ENTRY
         return new.__getitem__

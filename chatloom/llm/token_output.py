@@ -21,10 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from chatloom.llm.common import arrow_batches, shuffle_parts, text_of
+from chatloom.llm.common import Memo, arrow_batches, shuffle_parts, text_of, worker_cache
 
-#: Chunks remembered by a Python worker; a larger memo is dropped and begun anew.
-MEMO = 700_000
+#: Bytes of chunks and their ids that a Python worker remembers.
+MEMO_BYTES = 256 << 20
 BLOCK_CHARS = 1 << 20
 
 
@@ -47,39 +47,37 @@ class Encoder:
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.kind = "<u2" if len(self.opens) <= 1 << 16 else "<u4"
         self.blank_run = regex.compile(r" \s| $")
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = Memo(MEMO_BYTES)
 
     @classmethod
     def of_worker(cls, path: str) -> "Encoder":
         """The encoder of this Python worker: its memo serves all tasks that the worker runs."""
-        import tokenizers
-
-        held = vars(tokenizers).setdefault("_encoders", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
+        held = worker_cache()
+        if ("token_output", path) not in held:
+            held["token_output", path] = cls(path)
+        return held["token_output", path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember chunks that follow a space."""
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that follow a space."""
         width = int(self.kind[-1])
+        out: list[bytes] = []
         for k in range(0, len(chunks), 2048):
             part = chunks[k : k + 2048]
             ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             cuts = (np.nonzero(self.opens[ids])[0] * width).tolist()
             if len(cuts) == len(part):
                 raw = ids.tobytes()
-                self.chunks.update((c, raw[a:b]) for c, a, b in zip(part, cuts, [*cuts[1:], len(raw)]))
+                out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
             else:  # some token opens with a space inside a chunk: ask one by one
-                self.chunks.update(zip(part, self._whole([" " + c for c in part])))
+                out += self._whole([" " + c for c in part])
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.chunks) > MEMO:
-            self.chunks = {}
         plain: list[tuple[str, list[str]] | None] = []
         new: set[str] = set()
         for text in texts:
@@ -89,10 +87,9 @@ class Encoder:
                 head, *rest = text.split(" ")
                 plain.append((head, rest))
                 new.update(rest)
-        self._learn(list(new.difference(self.chunks)))
+        get = self.chunks.learn(new, self._learn)
         # The first chunk has no space before it; texts that cannot be split are asked whole.
         alone = iter(self._whole([t if p is None else p[0] for t, p in zip(texts, plain)]))
-        get = self.chunks.__getitem__
         return [np.frombuffer(next(alone) if p is None else next(alone) + b"".join(map(get, p[1])), self.kind) for p in plain]
 
 
