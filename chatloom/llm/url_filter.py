@@ -1,14 +1,19 @@
 """URL filters: hand-written rules, and a ratio of two character language models for the rest.
 
 Two variable-order Markov models are counted over all URLs of known verdict, one
-for accepted and one for rejected. A context is kept up to ``order`` characters as
-long as it is frequent enough; probabilities back off to shorter contexts with
+for accepted and one for rejected. A context of up to ``order`` characters is kept if
+it tells more than the context without its first character: its gain, the
+log-likelihood that it adds to its class's characters, is at least ``least_gain`` nats
+a character of that class. Probabilities back off to shorter contexts with
 Witten-Bell smoothing. A URL's score is the difference of its two log-likelihoods
 per character; the threshold is set on a third of the known URLs that the models
 have not seen, where the two error rates are least in sum.
 
-Counting is a job over all URLs. The table of contexts that reaches the tasks is
-bounded by ``max_contexts`` (the most frequent ones), whatever the input.
+Counting is a job over all URLs. The rule for contexts is one of shares, so it is the
+same at every size, and it bounds the table that reaches the tasks: the contexts of
+one length share all characters of a class, and none gains more than the log of its
+rarest character's share, so that ``least_gain`` leaves at most some
+10 / ``least_gain`` of each length and class, whatever the input.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no
 rule, and is scored as the text it is (null as empty); a URL with no characters has
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatloom.llm.common import arrow_batches, stored
 
@@ -82,6 +87,8 @@ class Model:
     contexts: dict[str, tuple[dict[str, int], dict[str, int]]]
     alphabet: int
     threshold: float = 0.0
+    #: Share of accepted and of rejected held-out URLs that the threshold judges wrongly.
+    errors: tuple[float, float] = (0.0, 0.0)
 
     def tables(self) -> list[dict[str, tuple[int, dict[str, int]]]]:
         """Per class: context -> (count, count of each next character)."""
@@ -137,15 +144,30 @@ def counts(known: DataFrame, order: int) -> DataFrame:
     return parts.groupBy("context", "next", "rejected").agg(F.sum("n").alias("n"))
 
 
-def fit(known: DataFrame, order: int = 4, min_count: int = 4, max_contexts: int = 50_000) -> Model | None:
+def telling(learned: DataFrame, least_gain: float) -> DataFrame:
+    """(context) of the counts (context, next, rejected, n): those that gain enough, and the shorter ones on the way to them."""
+    total = F.sum("n").over(Window.partitionBy("context", "rejected"))
+    shares = learned.withColumn("share", F.col("n") / total)
+    # Two rows: the characters of each class.
+    size = learned.where("context = ''").groupBy("rejected").agg(F.sum("n").alias("size"))
+    shorter = shares.select(F.col("context").alias("shorter"), "next", "rejected", F.col("share").alias("before"))
+    gains = (
+        shares.where("context <> ''").withColumn("shorter", F.expr("substring(context, 2)"))
+        .join(shorter, ["shorter", "next", "rejected"]).join(F.broadcast(size), "rejected")
+        .groupBy("context", "rejected").agg(F.sum(F.col("n") * F.log(F.col("share") / F.col("before")) / F.col("size")).alias("gain"))
+    )
+    ends = F.transform(F.sequence(F.lit(1), F.length("context") + 1), lambda at: F.col("context").substr(at, F.length("context")))
+    return gains.where(F.col("gain") >= least_gain).select(F.explode(ends).alias("context")).unionByName(
+        learned.where("context = ''").select("context")).distinct()
+
+
+def fit(known: DataFrame, order: int = 4, least_gain: float = 2e-5) -> Model | None:
     """Models and threshold from (url, accepted) rows; None without examples of both verdicts."""
     rows = known.where(F.col("accepted").isNotNull()).select(F.coalesce("url", F.lit("")).alias("url"), (~F.col("accepted")).alias("rejected"))
     held_out = F.pmod(F.xxhash64("url"), F.lit(3)) == 0
     learned = stored(counts(rows.where(~held_out), order))
-    weight = F.sum("n").alias("w")
-    frequent = learned.groupBy("context").agg(weight).where(F.col("w") >= min_count).orderBy(F.col("w").desc(), "context").limit(max_contexts)
     # Each context has at most as many rows as there are characters and verdicts.
-    table = learned.join(frequent.select("context"), "context").collect()
+    table = learned.join(telling(learned, least_gain), "context").collect()
     letters = learned.agg(F.count_distinct("next")).first()[0]
     contexts: dict[str, tuple[dict[str, int], dict[str, int]]] = {}
     for r in table:
@@ -165,6 +187,7 @@ def fit(known: DataFrame, order: int = 4, min_count: int = 4, max_contexts: int
         error = lost / max(good, 1) + (bad - caught) / max(bad, 1)
         if error < best - 1e-12:
             best, model.threshold = error, (r["bin"] - 0.5) / 200
+            model.errors = lost / max(good, 1), (bad - caught) / max(bad, 1)
         lost, caught = lost + r["good"], caught + r["bad"]
     return model
 
