@@ -9,7 +9,8 @@ frequent survives (two phrases of one hash share a counter, which only makes it
 larger). The survivors of all partitions become a Bloom filter of a fixed number of
 bytes. It only spares the shuffle: what passes it is counted by its words.
 
-Second pass: n-grams that pass the filter are counted exactly by (language, phrase).
+Second pass: n-grams that pass the filter are counted exactly by (language, phrase);
+tasks send them sorted and packed to the same hash partitions.
 Phrases at or above the threshold are scored by joins with the counts of their
 parts, which are frequent too; phrases inside longer ones nearly as frequent go.
 
@@ -26,6 +27,7 @@ and empty tables give no rows. Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,9 @@ PIECE_END = re.compile(rb"[.,;:!?\n-\r]")
 BLANK = re.compile(rb"[ \t]")
 BLOCK_BYTES = 2 << 20
 #: Counters that a task of the first pass holds before it sends them.
-HELD = 3 << 19
+HELD = 1 << 20
+#: Hash partitions at most.
+MOST_PARTS = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -288,7 +292,8 @@ def survivors(rows: DataFrame, threshold: int, most: int, parts: int, part_bytes
                 [pa.array([p], pa.int64()), pa.array([np.packbits(stretch, bitorder="little").tobytes()], pa.binary()), pa.array([len(found)], pa.int64())],
                 ["part", "bits", "n"])
 
-    dealt = counters.join(total, "part").select("part", "counters", "total").repartitionById(parts, F.col("part").cast("int"))
+    # ``parts`` rows at most, of which there are MOST_PARTS at most.
+    dealt = counters.join(F.broadcast(total), "part").select("part", "counters", "total").repartitionById(parts, F.col("part").cast("int"))
     return dealt.mapInArrow(merge, "part bigint, bits binary, n bigint")
 
 
@@ -299,7 +304,7 @@ def frequent(docs: DataFrame, threshold: int, most: int, lang: str, text: str, p
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     # A word has about six bytes; more n-grams than that only make the summaries larger.
-    parts = min(1 + int(size * most // (6 * part_mass)), 1 << 20)
+    parts = min(1 + int(size * most // (6 * part_mass)), MOST_PARTS)
     part_bytes = max(8, filter_bytes // parts)
     stretches = bytearray(parts * part_bytes)
     for row in survivors(rows, threshold, most, parts, part_bytes).select("part", "bits").toLocalIterator():
@@ -313,28 +318,87 @@ def frequent(docs: DataFrame, threshold: int, most: int, lang: str, text: str, p
             spots = bits_of(hashes & np.uint64(0xFFFFFFFF), part_bytes) + part_of(hashes, parts) * (8 * part_bytes)
             return ((bloom[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1).all(axis=0)
 
+        held: list[pa.Table] = []
+        words: Counter = Counter()
+        size = 0
         for batch in batches:
             for name, texts in by_lang(batch):
                 for data, context in blocks(texts, most):
                     grams = Grams(data, context, most, lang_seed(name))
-                    phrases, words, n = [pa.array([None], pa.binary())], [np.zeros(1, np.int32)], [np.array([grams.total])]
-                    for k, (_, _, counts, hashes) in enumerate(grams.levels, 1):
+                    words[name] += grams.total
+                    for n, (_, _, counts, hashes) in enumerate(grams.levels, 1):
                         chosen = np.flatnonzero((counts > 0) & passes(hashes))
-                        phrases.append(grams.texts(k, chosen))
-                        words.append(np.full(len(chosen), k, np.int32))
-                        n.append(counts[chosen])
-                    n = np.concatenate(n)
-                    langs = pa.DictionaryArray.from_arrays(np.zeros(len(n), np.int32), pa.array([name], pa.string())).cast(pa.string())
-                    whole = pa.RecordBatch.from_arrays(
-                        [langs, pa.concat_arrays(phrases), pa.array(np.concatenate(words)), pa.array(n, pa.int64())], ["lang", "phrase", "words", "n"])
-                    for at in range(0, len(n), 1 << 16):
-                        yield whole.slice(at, 1 << 16)
+                        held.append(pa.table({
+                            "lang": pa.DictionaryArray.from_arrays(np.zeros(len(chosen), np.int32), pa.array([name], pa.string())).cast(pa.string()),
+                            "part": pa.array(part_of(hashes[chosen], parts), pa.int64()), "phrase": grams.texts(n, chosen), "n": pa.array(counts[chosen], pa.int64())}))
+                        size += len(chosen)
+                    if size >= HELD:
+                        yield from packed_phrases(held)
+                        held, size = [], 0
+        if size:
+            yield from packed_phrases(held)
+        if words:
+            names = list(words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang_seed(x) % parts for x in names], pa.int64()), pa.array(names, pa.string()), pa.array([None] * len(names), pa.binary()),
+                 pa.array([words[x].to_bytes(8, "little") for x in names], pa.binary())], PACKED)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[pa.Table]] = {}
+        waiting, words = Counter(), Counter()
+
+        def add(lang: str) -> None:
+            held[lang] = [pa.concat_tables(held[lang]).group_by("phrase").aggregate([("n", "sum")]).rename_columns(["phrase", "n"])]
+            waiting[lang] = 0
+
+        for batch in batches:
+            for _, lang, phrases, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if phrases is None:
+                    words[lang] += int.from_bytes(counts, "little")
+                    continue
+                table = unpacked_phrases(phrases, counts)
+                held.setdefault(lang, []).append(table)
+                waiting[lang] += len(table)
+                if waiting[lang] > max(1 << 18, len(held[lang][0])):
+                    add(lang)
+        for lang in held:
+            add(lang)
+            found = held[lang][0].filter(pc.field("n") >= threshold)
+            for part in found.to_batches(max_chunksize=1 << 16):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part), pa.string()), part.column(0).cast(pa.string()), pc.add(pc.count_substring(part.column(0), " "), 1).cast(pa.int32()), part.column(1)], COUNTED)
+        if words:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(words), pa.string()), pa.array([None] * len(words), pa.string()), pa.array([0] * len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], COUNTED)
+
+    packed = rows.mapInArrow(count, "part bigint, lang string, phrases binary, counts binary")
+    return packed.repartitionById(parts, F.col("part").cast("int")).mapInArrow(tally, "lang string, phrase string, words int, n bigint")
+
+
+PACKED, COUNTED = ["part", "lang", "phrases", "counts"], ["lang", "phrase", "words", "n"]
+
 
-    counts = rows.mapInArrow(count, "lang string, phrase binary, words int, n bigint")
-    total = counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return total.where(F.col("phrase").isNull() | (F.col("n") >= threshold)).withColumn("phrase", F.col("phrase").cast("string"))
+def packed_phrases(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """One row for each language and hash partition: its phrases in order, and their counts, both compressed."""
+    total = pa.concat_tables(tables).group_by(["lang", "part", "phrase"]).aggregate([("n", "sum")])
+    total = total.sort_by([("lang", "ascending"), ("part", "ascending"), ("phrase", "ascending")]).combine_chunks()
+    part, lang = total["part"].to_numpy(), total["lang"].combine_chunks().dictionary_encode()
+    codes = lang.indices.to_numpy()
+    cuts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (codes[1:] != codes[:-1]), [True])))
+    rows: list[tuple] = []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        text = b"\n".join(total["phrase"].slice(a, b - a).to_pylist())
+        counts = np.ascontiguousarray(total["n_sum"].slice(a, b - a).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+        rows.append((int(part[a]), lang.dictionary[int(codes[a])].as_py(), *(len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in (text, counts))))
+    columns = list(zip(*rows))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary()))], PACKED)
 
 
+def unpacked_phrases(phrases: bytes, counts: bytes) -> pa.Table:
+    """(phrase, n) of one packed row. No phrase holds a line end, as those part the pieces."""
+    text, planes = (pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in (phrases, counts))
+    n = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return pa.table({"phrase": pa.array(text.split(b"\n"), pa.binary()), "n": pa.array(n, pa.int64())})
 
 
 def scored(counts: DataFrame, most: int) -> DataFrame:
