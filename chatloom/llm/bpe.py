@@ -28,15 +28,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from chatloom.llm.common import arrow_batches, text_of
+from chatloom.llm.common import Memo, arrow_batches, text_of, worker_cache
 
 NONE = np.int32(2**31 - 1)
 #: The split that byte-level files with ``use_regex`` imply; fixed by the file format.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of this many characters are collected before their trees are built.
 BLOCK_CHARS = 1 << 21
-#: Encoded pieces remembered in a task; a larger memo is dropped and begun anew.
-MEMO = 400_000
+#: Bytes of chunks and their ids that a worker remembers.
+MEMO_BYTES = 192 << 20
+#: Symbols from which a tree is worked on by itself, all places of one rank at a time.
+WIDE = 1024
 
 
 def byte_symbols() -> list[str]:
@@ -69,6 +71,11 @@ class PairTrees:
             self.tree[:, level : 2 * level] = np.minimum(pairs[:, 0::2], pairs[:, 1::2])
 
     def merge_all(self) -> None:
+        if self.width >= WIDE:
+            for row in range(len(self.tree)):
+                while self.tree[row, 1] != NONE:
+                    self._merge_equal(row)
+            return
         rows = np.nonzero(self.tree[:, 1] != NONE)[0]
         while rows.size:
             self._merge(rows)
@@ -105,6 +112,52 @@ class PairTrees:
             tree[who, where] = np.minimum(tree[who, 2 * where], tree[who, 2 * where + 1])
 
 
+    def _merge_equal(self, row: int) -> None:
+        """Merge a wide row's places of the lowest rank from the left, up to the first that makes a pair of lower rank.
+
+        Places that overlap are taken by turns, as merging them one by one from the left does.
+        """
+        tree, width = self.tree[row], self.width
+        after, before, symbols = self.after[row], self.before[row], self.symbols[row]
+        rank = int(tree[1])
+        nodes = np.ones(1, np.int64)
+        while nodes[0] < width:
+            nodes = np.repeat(2 * nodes, 2)
+            nodes[1::2] += 1
+            nodes = nodes[tree[nodes] == rank]
+        places = nodes - width
+        begins = np.concatenate(([True], after[places[:-1]] != places[1:]))
+        index = np.arange(len(places))
+        at = places[(index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0]
+        gone = after[at]
+        beyond, prior = after[gone], before[at]
+        merged = np.int32(self.ranks.merged[rank])
+        right = np.where(beyond < width, symbols[np.minimum(beyond, width - 1)], -1)
+        left = np.where(prior >= 0, symbols[prior], -1)
+        whole = np.full(len(at), merged, np.int32)
+        upset = np.minimum(self.ranks.of(left, whole), self.ranks.of(whole, right)) < rank
+        if self.ranks.of(whole[:1], whole[:1])[0] < rank:
+            upset[:] = True
+        if upset.any():
+            stop = int(np.argmax(upset)) + 1
+            at, gone, beyond, prior = at[:stop], gone[:stop], beyond[:stop], prior[:stop]
+        symbols[at], symbols[gone] = merged, -1
+        after[at] = beyond
+        has = beyond < width
+        before[beyond[has]] = at[has]
+        tree[width + gone] = NONE
+        # Neighbours may have merged as well: the one before a place is looked up again.
+        prior = before[at]
+        starts = np.unique(np.concatenate((at, prior[prior >= 0])))
+        ends = after[starts]
+        pairs = self.ranks.of(symbols[starts], np.where(ends < width, symbols[np.minimum(ends, width - 1)], -1))
+        tree[width + starts] = np.where(ends < width, pairs, NONE)
+        where = np.unique(np.concatenate((width + gone, width + starts)))
+        while where[0] > 1:
+            where = np.unique(where >> 1)
+            tree[where] = np.minimum(tree[2 * where], tree[2 * where + 1])
+
+
 class Merges:
     """Ranks and results of the merges, looked up for arrays of pairs."""
 
@@ -149,7 +202,14 @@ class Bpe:
         self.pattern = regex.compile(split or BYTE_PATTERN)
         self.byte_decoder = {s: b for b, s in enumerate(signs)}
         self.byte_level_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO_BYTES)
+
+    @classmethod
+    def of_worker(cls, path: str) -> "Bpe":
+        held = worker_cache()
+        if ("bpe", path) not in held:
+            held["bpe", path] = cls(path)
+        return held["bpe", path]
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
@@ -194,13 +254,17 @@ class Bpe:
             return [c for c in regex.split(r"\s+", text) if c]
         return text.split()
 
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each distinct piece encoded once."""
+        pieces = [self.pattern.findall(c) if self.drops_blanks else [c] for c in chunks]
+        unseen = list({p for ps in pieces for p in ps})
+        ids = dict(zip(unseen, self.encode_pieces(unseen)))
+        return [b"".join(map(ids.__getitem__, ps)) for ps in pieces]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         parts: list[list[str | int]] = []
-        new: dict[str, None] = {}
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
+        new: set[str] = set()
         for text in texts:
             segments = self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else [text]
             mine: list = []
@@ -210,15 +274,9 @@ class Bpe:
                 elif segment:
                     chunks = self._chunks(self._normal(segment))
                     mine.append(chunks)
-                    new.update(dict.fromkeys(c for c in set(chunks) if c not in memo))
+                    new.update(chunks)
             parts.append(mine)
-        if new:
-            pieces = {c: self.pattern.findall(c) if self.drops_blanks else [c] for c in new}
-            unseen = list({p for ps in pieces.values() for p in ps})
-            ids = dict(zip(unseen, self.encode_pieces(unseen)))
-            for c, ps in pieces.items():
-                memo[c] = b"".join(map(ids.__getitem__, ps))
-        get = memo.__getitem__
+        get = self.memo.learn(new, self._learn)
         return [b"".join([p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in mine]) for mine in parts]
 
     def decode(self, ids: bytes) -> str:
@@ -252,7 +310,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = Bpe.of_worker(path)
         for batch in batches:
             first = 0
             for part in blocks(batch.column(1).to_pylist()):
@@ -272,7 +330,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = Bpe.of_worker(path)
         at = names.index("ids")
         for batch in batches:
             texts = pa.array([bpe.decode(b) for b in batch.column(at).to_pylist()], pa.string())

@@ -28,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -68,8 +69,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LINES = HEADINGS | {"p"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: A comment, a section, a declaration, or the begin of a tag; ``Tags`` finds where its name and the tag end.
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)(?=[a-zA-Z])", re.S)
+NAME_END = re.compile(r"[\s/>]")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORDS = re.compile(r"[a-z]+")
 #: Class names that tell what is beside an element, not what it is.
@@ -87,18 +90,72 @@ class Node:
     texts: list[tuple[int, str]] = field(default_factory=list)  # (block, text) directly inside
 
 
+class Tags:
+    """Ends of a page's tags, found in one pass over the page even where tags and quotes are left open."""
+
+    def __init__(self, source: str):
+        self.source, self.last, self.named = source, source.rfind(">"), 0
+        #: Quotes that do not come again, and where a tag that never ended was outside of quotes.
+        self.gone: set[str] = set()
+        self.outside: list[tuple[int, int]] = []
+
+    def name_end(self, at: int) -> int:
+        """Behind the name that begins at ``at``; -1 if no tag can end after it."""
+        if at > self.last:
+            return -1
+        if at >= self.named:
+            self.named = NAME_END.search(self.source, at).start()
+        return self.named
+
+    def end(self, at: int) -> int:
+        """Behind the ``>`` of the tag whose attributes begin at ``at``; -1 if it has none."""
+        if at > self.last:
+            return -1
+        k = bisect_right(self.outside, (at, len(self.source)))
+        if k and at < self.outside[k - 1][1]:
+            return -1
+        spans, begun = [], at
+        while (found := STOP.search(self.source, at)) is not None:
+            quote = found.group()
+            if quote == ">":
+                return found.end()
+            spans.append((begun, found.end()))
+            at = -1 if quote in self.gone else self.source.find(quote, found.end())
+            if at < 0:
+                self.gone.add(quote)
+                break
+            begun = at = at + 1
+        else:
+            spans.append((begun, len(self.source) + 1))
+        self.outside = spans
+        return -1
+
+
 def parse(source: str) -> list[Node]:
     """Nodes of a page, parents before children; inline elements belong to their block."""
     nodes = [Node("#root", -1, 0)]
     stack, links, block, at = [0], 0, 1, 0
+    tags, opened, begin = Tags(source), Counter(), 0
 
     def add(text: str) -> None:
         if text:
             nodes[stack[-1]].texts.append((-block if links else block, html.unescape(text)))
 
+    def close(depth: int) -> None:
+        for i in stack[depth:]:
+            opened[nodes[i].tag] -= 1
+        del stack[depth:]
+
     length = len(source)
     while at < length:
-        found = TOKEN.search(source, at)
+        # A tag without an end is text: the search goes on behind its ``<``.
+        found, ended, named = TOKEN.search(source, begin), -1, -1
+        if found is not None and found.group(1) is not None:
+            named = tags.name_end(found.end())
+            ended = tags.end(named) if named >= 0 else -1
+            if ended < 0:
+                begin = found.start() + 1
+                continue
         if found is None:
             # An unfinished tag at the end of a truncated page is no text.
             rest = source[at:]
@@ -106,17 +163,17 @@ def parse(source: str) -> list[Node]:
             add(rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut])
             break
         add(source[at : found.start()])
-        at = found.end()
-        if found.group(2) is None:
+        begin = at = found.end() if ended < 0 else ended
+        if found.group(1) is None:
             if found.group().startswith("<![CDATA["):
                 add(found.group()[9:-3])
             continue
-        closing, tag = bool(found.group(1)), found.group(2).lower()
+        closing, tag, attributes = bool(found.group(1)), source[found.end() : named].lower(), source[named : ended - 1]
         if tag in RAW and not closing:
-            if not found.group(3).endswith("/"):
+            if not attributes.endswith("/"):
                 end = RAW_ENDS[tag].search(source, at)
                 stop = source.find(">", end.end()) if end else -1
-                at = stop + 1 if stop >= 0 else length
+                begin = at = stop + 1 if stop >= 0 else length
             continue
         if tag == "br" or tag == "img":
             add(" ")
@@ -132,25 +189,27 @@ def parse(source: str) -> list[Node]:
         block += 1
         links = 0
         if closing:
-            if any(nodes[i].tag == tag for i in stack[1:]):
-                while nodes[stack[-1]].tag != tag:
-                    stack.pop()
-                stack.pop()
+            if opened[tag]:
+                depth = len(stack) - 1
+                while nodes[stack[depth]].tag != tag:
+                    depth -= 1
+                close(depth)
             continue
         # A block ends an open paragraph; list items and cells end their like.
         ends = CLOSES.get(tag, set()) | {"p"}
         while len(stack) > 1 and nodes[stack[-1]].tag in ends:
-            stack.pop()
-        if tag in CLOSES:
+            close(len(stack) - 1)
+        if tag in CLOSES and any(opened[name] for name in ends):
             for depth in range(len(stack) - 1, 0, -1):
                 name = nodes[stack[depth]].tag
                 if name in ends:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if name in CONTAINERS:
                     break
-        nodes.append(Node(tag, stack[-1], mark_of(tag, found.group(3))))
-        if not found.group(3).endswith("/"):
+        nodes.append(Node(tag, stack[-1], mark_of(tag, attributes)))
+        if not attributes.endswith("/"):
+            opened[tag] += 1
             stack.append(len(nodes) - 1)
     return nodes
 

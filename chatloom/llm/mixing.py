@@ -152,8 +152,10 @@ def mix(
     )
 
 
-def repeat_rows(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    held = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    chosen = mix(held, id="_row", **options).where("copies > 0").select("_row", "copies")
-    return held.join(chosen, "_row").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+def repeat_rows(docs: DataFrame, source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. The caller's columns travel in one struct, so no name clashes."""
+    held = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
+    sized = held.select("number", F.col("row")[source].alias("source"), F.col("row")[text].alias("text"))
+    chosen = mix(sized, id="number", source="source", text="text", **options).where("copies > 0").select("number", "copies")
+    repeated = held.join(chosen, "number").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -227,7 +227,8 @@ def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def keep_rows(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, whole."""
-    held = stored(with_stats(docs, text))
-    rules = fit(held.select(id, "_stats"), labels, id, label)
-    return held.where(~base_failed() & verdict(rules)).select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, whole. The caller's columns travel in one struct, so no name clashes."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("id"), F.col(text).alias("text"))
+    held = stored(with_stats(rows, "text").select("row", "id", "_stats"))
+    rules = fit(held.select(F.col("id").alias(id), "_stats"), labels, id, label)
+    return held.where(~base_failed() & verdict(rules)).select(*[F.col("row")[c].alias(c) for c in docs.columns])

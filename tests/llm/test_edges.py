@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import corpus_pipeline
@@ -17,7 +18,9 @@ from chatloom.llm.common import scratch, stored
 
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 #: Names that the operators use inside; a caller's columns may have them too.
-CLASHES = ["h", "t", "w", "size", "source_size", "doc", "copy", "bands", "row", "part", "n", "kept", "ids", "component", "_text"]
+CLASHES = ["h", "t", "w", "size", "source_size", "doc", "copy", "bands", "row", "part", "n", "kept", "ids", "component", "_text",
+           "copies", "number", "_row", "_copy", "_stats", "_q_t", "_id", "_n", "_bad", "_hash", "_s", "_prune", "_many", "_at", "_now", "_gone", "_first",
+           "_cells", "_c", "_base", "_lead", "_blank", "rate", "target", "sid", "block", "total", "docs", "decoded", "n_tokens", "quality"]
 
 
 def odd_rows(seed=3):
@@ -565,6 +568,58 @@ def test_lm_probabilities_sum_to_one():
     assert np.exp(s.astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_repeated_rows_keep_the_callers_columns(odd, labels):
+    rows = mixing.repeat_rows(odd).collect()
+    assert rows and all(r[c] == "clash" for r in rows for c in CLASHES)
+    kept = quality_rules.keep_rows(odd, labels).collect()
+    assert kept and all(r[c] == "clash" for r in kept for c in CLASHES)
+
+
+BROKEN = {
+    "tags": "<a " * 333_000, "names": "<a" * 500_000, "quotes": '<a "' * 250_000, "late end": "<a " * 300_000 + '">', "joined": "<a<a" * 250_000 + ' ">',
+    "blocks": "<div>" * 90_000 + "</p>" * 90_000, "items": "<x>" * 100_000 + "<li>" * 100_000, "mixed": "<a '<b \"<a " * 80_000 + ">", "comments": "<!-- " * 200_000,
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_broken_pages_take_linear_time(kind):
+    start = time.process_time()
+    nodes = html_extract.parse(BROKEN[kind])
+    assert nodes and time.process_time() - start < 10
+
+
+def test_text_around_open_tags():
+    texts = lambda page: "".join(t for n in html_extract.parse(page) for _, t in n.texts)
+    assert texts('a <b c <p>x</p> d <i "e') == "a x d "
+    assert texts("1 < 2 <p>3 <a href=\"x>y\">z</a> <b 'q") == "1 < 2 3 z "
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_wide_pieces(path):
+    """Wide trees merge all places of one rank at a time, as one at a time would; a megabyte without a blank is quick."""
+    rng = random.Random(1)
+    of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    library, own = Tokenizer.from_file(path), bpe.Bpe(path)
+    texts = ["a" * n for n in (1023, 1024, 5000)] + ["ab" * 1000, "=" * 3000, "aab" * 700 + "z", "z" + "a" * 3333 + "t"]
+    texts += [of(letters, 4000) for letters in ("abcde", "ab", "theinganr", "01", "=a-", "abcdefghijklmnopqrstuvwxyz", "éü日本")]
+    for text in texts:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:30]
+    start = time.process_time()
+    own.encode([of("abcdefghijklmnopqrstuvwxyz", 1_000_000)])
+    assert time.process_time() - start < 20
+
+
+def test_contexts_that_tell_more_are_kept_at_any_size(spark):
+    """The share rule keeps the same contexts when all rows stand there ten times."""
+    rng = random.Random(2)
+    urls = [(f"http://{'good' if i % 2 else 'bad'}.org/{''.join(rng.choice('abcd') for _ in range(6))}", i % 2 == 1) for i in range(300)]
+    once = spark.createDataFrame(urls, "url string, accepted boolean")
+    many = once.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10)))).drop("n")
+    a, b = url_filter.fit(once), url_filter.fit(many)
+    assert set(a.contexts) == set(b.contexts)
+    assert all(c == "" or c[1:] in a.contexts for c in a.contexts)
+
+
 def test_pipeline_stages(spark, odd, none, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     for docs in (odd, none):
