@@ -118,11 +118,12 @@ def match_spans(t: Tables):
 
 @query(
     """SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')),
-        lambda w: length(w) > 3), lambda w: {'n': -length(w), 'w': w})), lambda x: x.w)[1:5], ' ') AS words
+        lambda w: length(w) > 3), lambda w: {'n': -length(w), 'w': w})), lambda x: x.w), ' ') AS words
     FROM documents"""
 )
 def salient_words(t: Tables):
-    return t.documents.select("doc_id", F.array_join(F.slice(T.salient_words(F.col("text")), 1, 5), " ").alias("words"))
+    """All distinct words of more than three letters, longest first."""
+    return t.documents.select("doc_id", F.array_join(T.salient_words(F.col("text")), " ").alias("words"))
 
 
 # --- chunks ---------------------------------------------------------------
@@ -341,7 +342,7 @@ def cost_estimate(t: Tables):
     s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.\\n]+')) AS sentence FROM documents),
     bs AS (SELECT item_id, unnest(regexp_extract_all(text, '[^.\\n]+')) AS sentence FROM benchmark),
     pair AS (SELECT DISTINCT item_id, doc_id FROM bs JOIN s ON regexp_replace(bs.sentence, '^\\s+|\\s+$', '', 'g') = regexp_replace(s.sentence, '^\\s+|\\s+$', '', 'g')
-             WHERE length(regexp_replace(bs.sentence, '^\\s+|\\s+$', '', 'g')) > 20)
+             WHERE regexp_replace(bs.sentence, '^\\s+|\\s+$', '', 'g') <> '')
     SELECT item_id, doc_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, w)) / len(q) END, 6) AS overlap
     FROM pair JOIN b USING (item_id) JOIN d USING (doc_id)"""
 )
@@ -350,7 +351,7 @@ def lexical_overlap(t: Tables):
     def sentences(df, key):
         return df.select(
             key, F.explode(F.transform(F.regexp_extract_all("text", F.lit("[^.\n]+"), F.lit(0)), T.strip)).alias("sentence")
-        ).where(F.length("sentence") > 20).distinct()
+        ).where(F.col("sentence") != "").distinct()
 
     b, d = t.benchmark, t.documents
     pairs = sentences(b, "item_id").join(sentences(d, "doc_id"), "sentence").select("item_id", "doc_id").distinct()

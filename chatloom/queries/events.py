@@ -8,8 +8,8 @@ from pyspark.sql import Window, functions as F
 from chatloom import banks
 from chatloom.functions import formats
 from chatloom.functions.dates import epoch_to_date, parse_when, recency_weight
-from chatloom.operators import cards, clusters, evaluation, ingest, items, perf, telemetry
-from chatloom.plans.blocks import int_block, previous, running, time_block
+from chatloom.operators import cards, catalog, clusters, evaluation, ingest, items, perf, telemetry
+from chatloom.plans.blocks import int_block, previous, running, running_total, time_block
 from chatloom.queries.base import Tables, query
 from chatloom.session import cut
 
@@ -377,8 +377,10 @@ def ordered_distinct(t: Tables):
     )
 
 
-@query("SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS update_date FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-10' ORDER BY 3 DESC, 1 LIMIT 50")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS update_date, row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%d') DESC, event_id) AS rank FROM events WHERE contains(event_type, 'i')")
 def chats_by_date(t: Tables):
-    """Newest chats since a date."""
-    rows = t.events.where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"))
-    return rows.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("update_date")).orderBy(F.desc("update_date"), "event_id").limit(50)
+    """All chats whose title holds a word part, newest first; the place in that order is counted over even parts."""
+    cards = t.events.select(F.col("event_id").alias("conv_id"), F.col("event_type").alias("title"), F.date_format("ts", "yyyy-MM-dd").alias("update_date"))
+    listed = catalog.list_chats(cards, "i").withColumn("_back", -F.unix_date(F.to_date("update_date")))
+    placed = running_total(listed, ["_back", "conv_id"], F.lit(1), "before")
+    return placed.select(F.col("conv_id").alias("event_id"), "update_date", (F.col("before") + 1).cast("bigint").alias("rank"))

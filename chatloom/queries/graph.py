@@ -8,7 +8,7 @@ from chatloom.queries.base import Tables, query
 
 _SQL_LINKS = """
 l AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, E'\\n')), '^\\s+|\\s+$', '', 'g') AS line FROM documents)
-      WHERE length(line) > 40),
+      WHERE line <> ''),
 g AS (SELECT line FROM l GROUP BY line HAVING count(*) BETWEEN 2 AND 12),
 k AS (SELECT doc_id, line FROM l JOIN g USING (line)),
 h AS (SELECT line, min(doc_id) AS hub FROM k GROUP BY line),
@@ -22,15 +22,15 @@ e AS (SELECT DISTINCT doc_id AS a, hub AS b FROM k JOIN h USING (line) WHERE doc
     SELECT doc_id, coalesce(m, doc_id) AS cluster_id FROM documents LEFT JOIN (SELECT d, min(m) AS m FROM reach GROUP BY d) ON d = doc_id"""
 )
 def connected_components(t: Tables):
-    """Documents connected through shared long lines (lines shared too widely do not count)."""
+    """Documents connected through shared lines, whatever their length; a line that more than ``MERGE_CAP`` (12) documents share does not connect."""
     lines = (
         t.documents.select("doc_id", F.explode(F.transform(F.split("text", "\n"), T.strip)).alias("slug"))
-        .where(F.length("slug") > 40)
+        .where(F.col("slug") != "")
         .select("doc_id", F.sha2("slug", 256).alias("slug"))
         .distinct()
     )
     none = lines.where("false").withColumn("is_version", F.lit(True)).withColumnRenamed("doc_id", "conv_id")
-    links = clusters.edges(lines.withColumnRenamed("doc_id", "conv_id"), none)
+    links = clusters.edges(lines.withColumnRenamed("doc_id", "conv_id"), none, merge_cap=clusters.MERGE_CAP)
     heads = t.documents.select(F.col("doc_id").alias("conv_id"))
     return clusters.members(heads, clusters.components(links)).select(F.col("conv_id").alias("doc_id"), "cluster_id")
 

@@ -110,6 +110,7 @@ def accuracy_pivot(t: Tables):
 
 
 def _sides(t: Tables):
+    """Two runs over documents. The tables hold one: side a is made of the labels, side b of every document's language and length."""
     def side(df, arch, goal):
         return df.select(
             F.col("doc_id").alias("slug"), arch.alias("archetype"), F.col("lang").alias("domain"), goal.alias("goal"),
@@ -119,14 +120,13 @@ def _sides(t: Tables):
 
     labelled = t.labels.join(t.documents, "doc_id")
     a = side(labelled, F.when(F.col("toxic") == 0, F.col("quality").cast("string")), F.when(F.col("quality") == 1, "g").otherwise(""))
-    long = t.documents.where("n_chars > 1000")
-    b = side(long, F.when(F.col("lang") == "en", "1").otherwise("0"), F.when(F.col("n_chars") > 3000, "g").otherwise(" "))
+    b = side(t.documents, F.when(F.col("lang") == "en", "1").otherwise("0"), F.when(F.col("n_chars") > 3000, "g").otherwise(" "))
     return quality.align(a, b)
 
 
 _SQL_PAIRS = """
 a AS (SELECT doc_id AS slug, CASE WHEN toxic = 0 THEN quality::VARCHAR END AS arch, lang, quality = 1 AS goal, n_chars FROM labels JOIN documents USING (doc_id)),
-b AS (SELECT doc_id AS slug, CASE WHEN lang = 'en' THEN '1' ELSE '0' END AS arch, lang, n_chars > 3000 AS goal, n_chars FROM documents WHERE n_chars > 1000),
+b AS (SELECT doc_id AS slug, CASE WHEN lang = 'en' THEN '1' ELSE '0' END AS arch, lang, n_chars > 3000 AS goal, n_chars FROM documents),
 p AS (SELECT coalesce(a.slug, b.slug) AS slug, a.slug IS NOT NULL AS ina, b.slug IS NOT NULL AS inb, a.arch AS aa, b.arch AS ba, a.lang AS al, b.lang AS bl,
         a.goal AS ag, b.goal AS bg, a.n_chars AS an FROM a FULL JOIN b ON a.slug = b.slug)"""
 
