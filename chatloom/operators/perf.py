@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatloom import banks
-from chatloom.plans.blocks import running, streaks
+from chatloom.plans.blocks import BLOCK, even, running, streaks
 from chatloom.session import cut
 
 OK, FAIL = "LLM_OK", "LLM_FAIL"
@@ -171,7 +171,7 @@ def cost_share(items: DataFrame, batch: Sequence[str], chars: str, total: str) -
 
 
 def breaker(
-    items: DataFrame, run: Sequence[str], seq: str, ok: Column, usd_col: str, block: Column,
+    items: DataFrame, run: Sequence[str], seq: str, ok: Column, usd_col: str, block: Column | None = None,
     max_failures: int = 3, max_usd: float | None = None,
 ) -> DataFrame:
     """Mark the items a run skips after its breaker trips.
@@ -183,8 +183,9 @@ def breaker(
     read them.
     """
     run = list(run)
-    spent = running(items, run, [seq], block, {"spent": ("sum", F.col(usd_col))})
-    marks = cut(streaks(spent, run, [seq], block, ~ok, "streak"))
+    placed = even(items, run, [seq]) if block is None else items.withColumn(BLOCK, block)
+    spent = running(placed, run, [seq], F.col(BLOCK), {"spent": ("sum", F.col(usd_col))})
+    marks = cut(streaks(spent, run, [seq], F.col(BLOCK), ~ok, "streak"))
     trips = F.col("streak") >= max_failures
     if max_usd is not None:
         trips = trips | (F.col("spent") >= max_usd)
@@ -213,7 +214,7 @@ def stage_seconds(stages: DataFrame, by: Sequence[str], start: str, end: str) ->
     return stages.select(*by, secs.alias("seconds"))
 
 
-def numbered(events: DataFrame, run: Sequence[str], order: Sequence[str], block: Column) -> DataFrame:
+def numbered(events: DataFrame, run: Sequence[str], order: Sequence[str], block: Column | None = None) -> DataFrame:
     """Sequence numbers from 1 along each run."""
     return running(events, run, order, block, {"sequence": ("sum", F.lit(1).cast("bigint"))})
 

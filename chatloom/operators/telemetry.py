@@ -17,13 +17,13 @@ def power(df: DataFrame) -> DataFrame:
     return df.withColumn("power_w", F.coalesce("power_w", "w") if "power_w" in df.columns else F.col("w")).drop("w")
 
 
-def energy_wh(samples: DataFrame, run: Sequence[str], t: str, watts: str, block: Column) -> DataFrame:
+def energy_wh(samples: DataFrame, run: Sequence[str], t: str, watts: str, block: Column | None = None) -> DataFrame:
     """Watt-hours per run by the trapezoid rule; null with fewer than two points.
 
     ``t`` is in seconds. Only steps forward in time add energy.
     """
     run = list(run)
-    points = samples.where(F.col(t).isNotNull() & F.col(watts).isNotNull())
+    points = samples.where(F.col(t).isNotNull() & F.col(watts).isNotNull()).select(*run, t, watts)
     steps = previous(points, run, [t, watts], block, {"_t0": F.col(t), "_w0": F.col(watts)})
     dt = F.col(t) - F.col("_t0")
     joules = F.when(dt > 0, (F.col(watts) + F.col("_w0")) / 2 * dt).otherwise(F.lit(0.0))
@@ -78,7 +78,7 @@ def worst_status(status: Column) -> Column:
     return F.element_at(F.array(F.lit("OK"), F.lit("WARN"), F.lit("FATAL")), (F.max(level) + 1).cast("int"))
 
 
-def strikes(samples: DataFrame, run: Sequence[str], order: Sequence[str], idle: Column, block: Column) -> DataFrame:
+def strikes(samples: DataFrame, run: Sequence[str], order: Sequence[str], idle: Column, block: Column | None = None) -> DataFrame:
     """Consecutive idle samples up to each sample (0 on a busy one)."""
     return streaks(samples, run, order, block, idle, "strikes")
 

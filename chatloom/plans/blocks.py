@@ -2,8 +2,9 @@
 
 A plain window ``partitionBy(key).orderBy(pos)`` sends every row of a key to one
 task, so one key holding a third of the table stalls the job. Here the ordered
-axis is cut into blocks (a value range of the order column). Totals of the
-blocks are pre-aggregated with map-side combine; the window over *blocks* is
+axis is cut into blocks: even ones, whose edges Spark samples from the rows (see
+``even``), or ones that the caller names as a column, monotone in the order. Totals
+of the blocks are pre-aggregated with map-side combine; the window over *blocks* is
 small, and the window over rows is partitioned by (key, block).
 """
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from chatloom.session import cut
 
 BLOCK = "_blk"
+#: Rows that a block should hold where blocks are made even.
+EVEN_ROWS = 1 << 17
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -29,25 +32,48 @@ def time_block(ts: Column, seconds: int = 86400) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds)).cast("bigint")
 
 
+def even(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rows: int = EVEN_ROWS) -> DataFrame:
+    """Add ``BLOCK``: stretches of the order (keys, order) that hold about ``rows`` rows each.
+
+    Whatever the keys and however crowded a stretch of time is, no block is much larger
+    than the others: its edges are quantiles that Spark samples for a range partitioning.
+    The rows are written once with their block, so that every later read sees the same
+    edges. Rows that are equal in keys and order stay in one block; end the order with a
+    unique column.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *[F.col(o) if isinstance(o, str) else o for o in order])
+    return cut(ranged.withColumn(BLOCK, F.spark_partition_id().cast("bigint")))
+
+
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column | None) -> DataFrame:
+    return even(df, keys, order) if block is None else df.withColumn(BLOCK, block)
+
+
 def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    return left.join(right, list(on), "left")
+    """Left join on equal keys, null equal to null."""
+    named = right.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return left.join(named, same, "left").drop(*[f"_k_{c}" for c in on])
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    block: Column,
+    block: Column | None,
     values: Mapping[str, tuple[str, Column]],
     inclusive: bool = True,
 ) -> DataFrame:
     """Add running aggregates ``name -> (sum|max|min, column)`` along ``order``.
 
-    ``block`` must be monotone in ``order`` within a key. Exclusive running sums
+    ``block`` must be monotone in ``order`` within a key; None makes even ones. Exclusive running sums
     start at 0; exclusive running extremes start at null.
     """
     keys = list(keys)
-    base = df.withColumn(BLOCK, block)
+    base = _placed(df, keys, order, block)
     for name, (_, col) in values.items():
         base = base.withColumn(f"_v_{name}", col)
     totals = base.groupBy(*keys, BLOCK).agg(
@@ -95,12 +121,12 @@ def previous(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     carry: Mapping[str, Column],
 ) -> DataFrame:
     """Add the values ``carry`` had on the previous row of the key (null on the first)."""
     keys = list(keys)
-    base = df.withColumn(BLOCK, block).withColumn(
+    base = _placed(df, keys, order, block).withColumn(
         "_row", F.struct(*[c.alias(n) for n, c in carry.items()])
     )
     last = base.groupBy(*keys, BLOCK).agg(F.max_by("_row", F.struct(*order)).alias("_last"))
@@ -115,7 +141,7 @@ def previous(
 
 
 def streaks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, hit: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None, hit: Column, name: str
 ) -> DataFrame:
     """Add ``name``: how many rows in a row, up to and with this one, satisfy ``hit``.
 
@@ -131,7 +157,7 @@ def streaks(
             "_base", F.max(F.when(F.col("_hit") == 0, F.col("_cum"))).over(in_block)
         )
 
-    base = df.withColumn(BLOCK, block).withColumn("_hit", hit.cast("bigint"))
+    base = _placed(df, keys, order, block).withColumn("_hit", hit.cast("bigint"))
     ends = counted(base.select(*keys, BLOCK, *order, "_hit")).groupBy(*keys, BLOCK).agg(
         F.max("_cum").alias("_all"), F.max("_base").alias("_upto")
     )

@@ -6,7 +6,6 @@ from chatloom import banks
 from chatloom.functions import text as T
 from chatloom.operators import bundles, catalog, chunks, classify, contracts, items, perf, quality, redaction, retrieval, telemetry
 from chatloom.functions import redact
-from chatloom.plans.blocks import int_block
 from chatloom.queries.base import Tables, query, values
 
 NOW = "2024-12-31"

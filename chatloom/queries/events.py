@@ -9,7 +9,7 @@ from chatloom import banks
 from chatloom.functions import formats
 from chatloom.functions.dates import epoch_to_date, parse_when, recency_weight
 from chatloom.operators import cards, catalog, clusters, evaluation, ingest, items, perf, telemetry
-from chatloom.plans.blocks import int_block, previous, running, running_total, time_block
+from chatloom.plans.blocks import BLOCK, even, previous, running, running_total
 from chatloom.queries.base import Tables, query
 from chatloom.session import cut
 
@@ -64,7 +64,7 @@ en AS (SELECT user_id, count(*) AS n_points, max(t) - min(t) AS duration_s,
 
 def _energy(t: Tables):
     points = t.events.select("user_id", seconds().alias("t"), F.col("value").alias("w"))
-    return telemetry.energy_wh(points, ["user_id"], "t", "w", F.floor(F.col("t") / 86400).cast("bigint"))
+    return telemetry.energy_wh(points, ["user_id"], "t", "w")
 
 
 @query(f"WITH {_SQL_ENERGY} SELECT user_id, n_points, round(duration_s, 3) AS duration_s, round(wh, 4) AS wh FROM en")
@@ -127,7 +127,7 @@ st AS (SELECT *, CASE WHEN idle = 0 THEN 0 ELSE sum(idle) OVER (PARTITION BY use
 
 
 def _strikes(t: Tables):
-    return telemetry.strikes(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view", time_block(F.col("ts")))
+    return telemetry.strikes(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view")
 
 
 @query(f"WITH {_SQL_STRIKES} SELECT event_id, strikes::BIGINT AS strikes FROM st")
@@ -173,7 +173,7 @@ def worst_status(t: Tables):
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")
 def trace_sequence(t: Tables):
-    out = perf.numbered(t.events.select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], time_block(F.col("ts")))
+    out = perf.numbered(t.events.select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"])
     return out.select("event_id", "user_id", "sequence")
 
 
@@ -210,15 +210,14 @@ def sliding_windows(t: Tables):
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, sid"""
 )
 def session_windows(t: Tables):
-    """Activity sessions with gaps of at most 30 minutes, found over time blocks."""
-    block = time_block(F.col("ts"))
-    e = t.events.withColumn("s", seconds())
-    order = ["ts", "event_id"]
+    """Activity sessions with gaps of at most 30 minutes, found over even blocks of (user, time)."""
+    order, block = ["ts", "event_id"], F.col(BLOCK)
+    e = even(t.events.select("user_id", "ts", "event_id", "value", seconds().alias("s")), ["user_id"], order)
     flagged = previous(e, ["user_id"], order, block, {"s0": F.col("s")}).withColumn(
         "new", F.when(F.col("s") - F.col("s0") <= 1800, 0).otherwise(1).cast("bigint")
     )
     # Written once: numbering reads the flags for its block totals and for the rows.
-    flagged = cut(flagged.select("user_id", "ts", "event_id", "value", "new"))
+    flagged = cut(flagged.select("user_id", "ts", "event_id", "value", "new", BLOCK))
     numbered = running(flagged, ["user_id"], order, block, {"sid": ("sum", F.col("new"))})
     return numbered.groupBy("user_id", "sid").agg(
         F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("start"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from chatloom import banks
 from chatloom.functions import formats, text as T
 from chatloom.operators import bundles, catalog, contracts, entities, ingest, items, modelbank, perf, quality, redaction, states
-from chatloom.plans.blocks import int_block
 from chatloom.queries.base import Tables, query, values
 
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
@@ -354,7 +353,7 @@ br AS (SELECT *, coalesce(max((streak >= 3 OR spent >= 200000000)::INT) OVER (PA
 
 def _breaker(t: Tables):
     return perf.breaker(
-        _spend(t), ["o_custkey"], "o_orderkey", F.col("o_orderstatus") != "F", "usd", int_block(F.col("o_orderkey"), 2048),
+        _spend(t), ["o_custkey"], "o_orderkey", F.col("o_orderstatus") != "F", "usd",
         max_failures=3, max_usd=200_000_000,
     )
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from chatloom.operators import clusters, perf, retrieval, telemetry
-from chatloom.plans.blocks import int_block, pack_text, previous, running, streaks
+from chatloom.plans.blocks import BLOCK, even, int_block, pack_text, previous, running, streaks
 from chatloom.queries import base
 
 
@@ -202,3 +202,24 @@ def test_streaks_equal_a_loop(spark):
         for r in sorted(rows, key=lambda r: (r.k, r.pos)):
             at[r.k] = at.get(r.k, 0) + 1 if r.hit else 0
             assert r.n == at[r.k]
+
+
+def test_even_blocks_of_a_hot_key(spark):
+    """90 % of the rows lie on one key and one day; no block is above twice the aim, and results are those of plain windows."""
+    rows = 40_000
+    key = F.when(F.col("id") % 10 < 9, F.lit("hot")).when(F.col("id") % 100 == 9, None).otherwise(F.concat(F.lit("k"), F.col("id") % 7))
+    at = F.when(F.col("id") % 10 < 9, F.col("id") * 2).otherwise(F.col("id") * 864)
+    df = spark.range(rows).select(key.alias("key"), at.alias("t"), "id", (F.xxhash64("id") % 3 == 0).alias("hit"), (F.col("id") % 11).alias("v"))
+    placed = even(df, ["key"], ["t", "id"], 2_000)
+    sizes = [r["count"] for r in placed.groupBy(BLOCK).count().collect()]
+    assert sum(sizes) == rows and len(sizes) >= rows // 2_000 and max(sizes) <= 2 * 2_000
+    w = Window.partitionBy("key").orderBy("t", "id")
+    block = F.col(BLOCK)
+    got = running(placed, ["key"], ["t", "id"], block, {"sum": ("sum", F.col("v"))})
+    got = previous(got, ["key"], ["t", "id"], block, {"last": F.col("v")})
+    got = streaks(got, ["key"], ["t", "id"], block, F.col("hit"), "streak")
+    group = F.sum((~F.col("hit")).cast("int")).over(w)
+    want = df.withColumn("sum", F.sum("v").over(w)).withColumn("last", F.lag("v").over(w)).withColumn("g", group).withColumn(
+        "streak", F.when(F.col("hit"), F.sum(F.col("hit").cast("int")).over(Window.partitionBy("key", "g").orderBy("t", "id"))).otherwise(0))
+    columns = ["key", "id", "sum", "last", "streak"]
+    assert got.select(columns).exceptAll(want.select(columns)).isEmpty() and got.count() == rows
