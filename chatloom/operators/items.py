@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as ty
 
 from chatloom import banks
 from chatloom.functions import text as T
+from chatloom.plans.batches import next_fit
 
 BATCH_ITEM_OVERHEAD = 200
 Complete = Callable[[str, str], tuple[str, dict]]
@@ -211,32 +212,13 @@ def complete(prompts: DataFrame, fn: Complete, system: str = "", retries: int =
 
 
 def pack_batches(
-    work: DataFrame, shard: str, order: list[str], chars: str, size: int, max_chars: int, head_chars: int = 0
+    work: DataFrame, run: Sequence[str], order: Sequence[str], chars: str, size: int, max_chars: int, head_chars: int = 0
 ) -> DataFrame:
-    """Exact next-fit batches inside each shard: a batch closes at ``size`` items or ``max_chars``.
+    """Exact next-fit batches along the order of each run: a batch closes at ``size`` items or ``max_chars``.
 
-    The fold depends on the order, so it walks the sorted rows of a shard batch
-    by batch, holding one Arrow batch at a time. Shards are the parallel callers:
-    choose them by a hash of a unique row key, which keeps them even whatever the
-    skew of the data. A single item over the budget is a batch of its own.
+    A single item over the budget is a batch of its own. A run of any length spreads over tasks.
     """
-    schema = ty.StructType([*work.schema.fields, ty.StructField("batch", ty.LongType())])
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, batch, n, used = None, 0, 0, head_chars
-        for frame in frames:
-            out = []
-            for owner, length in zip(frame[shard], frame[chars]):
-                if owner != at:
-                    at, batch, n, used = owner, 0, 0, head_chars
-                need = int(length) + BATCH_ITEM_OVERHEAD
-                if n and (n >= size or used + need > max_chars):
-                    batch, n, used = batch + 1, 0, head_chars
-                out.append(batch)
-                n, used = n + 1, used + need
-            yield frame.assign(batch=out)
-
-    return work.repartition(shard).sortWithinPartitions(shard, *order).mapInPandas(fold, schema)
+    return next_fit(work, run, order, F.col(chars) + BATCH_ITEM_OVERHEAD, size, max_chars - head_chars)
 
 
 def split_batch(answers: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -405,32 +405,25 @@ def batch_cost_share(t: Tables):
     return out.select("l_orderkey", "l_linenumber", F.round("share", 6).alias("share"))
 
 
-_SHARD = "('0x' || left(md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey), 4))::BIGINT % 64"
-
-
 @query(
-    f"""WITH RECURSIVE w AS (
-      SELECT {_SHARD} AS shard, l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT + 200 AS need,
-        row_number() OVER (PARTITION BY {_SHARD} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem),
+    """WITH RECURSIVE w AS (
+      SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT + 200 AS need,
+        row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS r FROM lineitem),
     f AS (
-      SELECT shard, l_orderkey, l_linenumber, l_partkey, r, 0::BIGINT AS batch, 1 AS n, need AS used FROM w WHERE r = 1
+      SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, r, 0::BIGINT AS batch, 1 AS n, need AS used FROM w WHERE r = 1
       UNION ALL
-      SELECT w.shard, w.l_orderkey, w.l_linenumber, w.l_partkey, w.r, f.batch + (f.n >= 8 OR f.used + w.need > 1700)::INT,
+      SELECT w.l_suppkey, w.l_orderkey, w.l_linenumber, w.l_partkey, w.r, f.batch + (f.n >= 8 OR f.used + w.need > 1700)::INT,
         CASE WHEN f.n >= 8 OR f.used + w.need > 1700 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 8 OR f.used + w.need > 1700 THEN w.need ELSE f.used + w.need END
-      FROM f JOIN w ON w.shard = f.shard AND w.r = f.r + 1)
-    SELECT shard, l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, batch FROM f"""
+      FROM f JOIN w ON w.l_suppkey = f.l_suppkey AND w.r = f.r + 1)
+    SELECT l_suppkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, batch FROM f"""
 )
 def batch_packing(t: Tables):
-    """Exact next-fit batches of at most 8 items and 1,700 characters for 64 parallel callers."""
-    key = F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    shard = F.conv(F.substring(key, 1, 4), 16, 10).cast("bigint") % 64
+    """Exact next-fit batches of at most 8 items and 1,700 characters along each supplier's lines."""
     work = t.lineitem.select(
-        shard.alias("shard"), "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", "l_suppkey",
-        "l_extendedprice", F.col("l_quantity").cast("bigint").alias("chars"),
-    )
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    out = items.pack_batches(work, "shard", order, "chars", 8, 1700)
-    return out.select("shard", "l_orderkey", "l_linenumber", "l_partkey", "batch")
+        "l_suppkey", "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", "l_extendedprice", F.col("l_quantity").cast("bigint").alias("chars"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    out = items.pack_batches(work, ["l_suppkey"], order, "chars", 8, 1700)
+    return out.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "batch")
 
 
 # --- banks and dimensions -------------------------------------------------

@@ -1,6 +1,7 @@
 """Answers to items, contracts, legacy records, batches, redaction."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from chatloom import banks
 from chatloom.functions import redact
 from chatloom.operators import cards, classify, contracts, evaluation, items, perf, redaction, states
+from chatloom.plans import batches
 from chatloom.plans.blocks import int_block
 
 GOOD = {
@@ -104,7 +106,7 @@ def test_calls_retry_and_count(spark):
 
 def test_batches(spark):
     work = spark.createDataFrame([(0, i, c) for i, c in enumerate([100, 100, 5000, 100, 100, 100])], "shard int, pos int, chars int")
-    got = [r.batch for r in sorted(items.pack_batches(work, "shard", ["pos"], "chars", 2, 700).collect(), key=lambda r: r.pos)]
+    got = [r.batch for r in sorted(items.pack_batches(work, ["shard"], ["pos"], "chars", 2, 700).collect(), key=lambda r: r.pos)]
     assert got == [0, 0, 1, 2, 2, 3]
     answers = spark.createDataFrame([(0, '{"a": {"x": 1}, "b": "text"}'), (1, "junk")], "batch int, answer string")
     members = spark.createDataFrame([(0, "a"), (0, "b"), (0, "z"), (1, "c")], "batch int, slug string")
@@ -206,3 +208,23 @@ def test_exact_load_split(spark):
     got = {r.run: r for r in perf.load_split(rows, "run").collect()}
     assert (got["r"].warm_s_per_item, got["r"].load_s, got["r"].load_kind, got["r"].gen_only_s_per_item) == (5.0, 4.0, "exact", 4.0)
     assert (got["s"].warm_s_per_item, got["s"].load_s, got["s"].load_kind) == (7.0, 0.0, "est")
+
+
+@pytest.mark.parametrize("size,budget", [(1, 100), (3, 40), (8, 70), (300, 2_000)])
+def test_next_fit_of_any_length(spark, size, budget):
+    """Keys of one row to tens of thousands, a null key, items over the budget: as if walked one by one."""
+    rng = random.Random(size)
+    rows = [("hot", i, rng.choice([0, 1, 5, 9, 30, 200 if i % 97 == 0 else 3])) for i in range(9_000 if size > 100 else 70_000)]
+    rows += [(None, i, rng.randrange(12)) for i in range(700)] + [(f"k{n}", i, rng.randrange(40)) for n in range(40) for i in range(n * 9 % 300 + 1)]
+    frame = spark.createDataFrame(rows, "run string, pos int, chars int").repartition(5)
+    got = batches.next_fit(frame, ["run"], ["pos"], F.col("chars"), size, budget).collect()
+    want = {}
+    for run, pos, chars in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if pos == 0:
+            batch, n, used = 0, 0, 0
+        if n and (n >= size or used + chars > budget):
+            batch, n, used = batch + 1, 0, 0
+        want[run, pos] = batch
+        n, used = n + 1, used + chars
+    assert {(r.run, r.pos): r.batch for r in got} == want and len(got) == len(rows)
+    assert batches.next_fit(frame.where("false"), ["run"], ["pos"], F.col("chars"), size, budget).count() == 0
