@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatloom.functions import text as T
 from chatloom.plans.pairing import meet, vector_bytes
+from chatloom.session import cut
 
 # Scores are rounded before ranking, so the order of additions cannot reorder ties.
 DIGITS = 9
@@ -198,20 +199,37 @@ def word_hits(words: DataFrame, docs: DataFrame) -> DataFrame:
     """(word, doc_id) of every text that contains the word anywhere.
 
     A word is letters and digits only, so a text contains it exactly when one of its
-    own tokens does. Distinct tokens are cut into pieces of the words' lengths and
-    met with the words by equality, once, whatever the number of texts.
+    own tokens does. Distinct tokens are posted under their 3-grams; a word looks only
+    under the one of its own grams that fewest tokens hold, and those are searched for it.
     """
     # The outer form adds no filter on the list, which would work it out a second time.
     tokens = docs.select("doc_id", F.explode_outer(F.array_distinct(T.words(F.col("text")))).alias("token"))
-    # A handful of numbers: as many as the words have lengths.
-    lengths = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect())
-    # A look-ahead matches at every place, so it gives all pieces of one length.
-    cuts = [F.regexp_extract_all("token", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    pieces = tokens.select("token").distinct().select("token", F.explode_outer(F.flatten(F.array(*cuts)) if cuts else F.array(F.lit(None).cast("string"))).alias("word"))
-    found = pieces.join(words.select("word").distinct(), "word")
+    distinct = cut(tokens.select("token").distinct())
+    asked = words.select("word").distinct()
+    # At most three numbers: words shorter than a gram are grams of their own.
+    sizes = sorted(r["n"] for r in asked.select(F.least(F.length("word"), F.lit(GRAM)).alias("n")).distinct().collect() if r["n"])
+    postings = distinct.select("token", F.explode(_grams(F.col("token"), sizes)).alias("gram"))
+    common = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    size = F.least(F.length("word"), F.lit(GRAM))
+    own = asked.select("word", F.explode(F.filter(_grams(F.col("word"), sizes), lambda g: F.length(g) == size)).alias("gram"))
+    rarest = own.join(common, "gram").groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    found = postings.join(rarest, "gram").where(F.contains("token", "word")).select("token", "word")
     return tokens.join(found, "token").select("word", "doc_id").distinct()
 
 
+#: Letters in a gram of a posting.
+GRAM = 3
+
+
+def _grams(token: Column, sizes: list[int]) -> Column:
+    """Distinct stretches of the given lengths."""
+    def of(n: int) -> Column:
+        at = F.when(F.length(token) >= n, F.sequence(F.lit(1), F.length(token) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substring(token, i, n))
+
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+
+
 def keyword_fallback(questions: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
     """Up to ``k`` documents per question from its salient words, longest word first.
 
