@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chatloom.plans.blocks import pack_text, running
+from chatloom.plans.blocks import pack_text
 from chatloom.session import cut
 
 CHAR_BUDGET = 48_000
@@ -24,47 +24,37 @@ def select_clusters(
     return clusters if singletons else clusters.where(keep)
 
 
-def fair_shares(members: DataFrame, keys: Sequence[str], pos: str, need: str, budget: Column | str, buckets: int = 512) -> DataFrame:
+def fair_shares(members: DataFrame, keys: Sequence[str], need: str, budget: Column | str) -> DataFrame:
     """Water-filling: small members are kept whole and leave their surplus to larger ones.
 
-    Adds ``alloc``. Members are taken by ascending need; one fits whole while its
-    need is within the equal share of what is left, and the first that does not
-    fit fixes the level for the rest. The order by need is cut into blocks of
-    equal need range, so a cluster of any size is split over tasks.
+    Adds ``alloc``. Members are taken by ascending need; one fits whole while its need is
+    within the equal share of what is left, and the first that does not fit fixes the
+    level for the rest. Members of one need all fit or none does, and those above the
+    budget cannot, so a group comes down to counts of its needs, at most as many as its
+    budget has characters, before anything is put in order: no group is too large.
 
-    ``budget`` is a column of the group (the same value on all its members). Only
-    key, position and need go through the computation; they are written once, so
-    the texts are read twice in all, however often the sizes are needed.
+    ``budget`` is a column of the group (the same value on all its members). A null need
+    is none.
     """
     keys = list(keys)
     cap = F.greatest(F.col(budget) if isinstance(budget, str) else budget, F.lit(0)).cast("bigint")
-    base = cut(members.select(*keys, pos, need, cap.alias("_b")))
-    total = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("_b").alias("_cap"))
-    sized = base.drop("_b").join(total, keys)
-    # No member larger than the budget can fit, so the axis is cut between 0 and the budget.
-    width = F.greatest(F.floor(F.col("_cap") / F.lit(buckets)), F.lit(1))
-    block = F.floor(F.least(F.col(need).cast("bigint"), F.col("_cap") + 1) / width).cast("bigint")
-    # Members that can never fit need no order among themselves: spread them by position.
-    oversize = F.col(need) > F.col("_cap")
-    block = F.when(oversize, F.lit(buckets * 4) + F.pmod(F.xxhash64(pos), F.lit(buckets))).otherwise(block)
-    order = [need, pos]
-    placed = running(
-        sized, keys, order, block,
-        {"_before": ("sum", F.col(need).cast("bigint")), "_rank": ("sum", F.lit(1).cast("bigint"))},
-        inclusive=False,
-    )
-    share = F.floor((F.col("_cap") - F.col("_before")) / (F.col("_n") - F.col("_rank"))).cast("bigint")
-    misfit = (F.col(need) > share) | (share <= 0) | oversize
-    # The first misfit of a group, by rank, fixes the level.
-    level = (
-        placed.where(misfit)
-        .groupBy(*keys)
-        .agg(F.min(F.struct("_rank", share.alias("level"))).alias("_l"))
-    )
-    out = placed.join(level, keys, "left")
-    whole = F.col("_l").isNull() | (F.col("_rank") < F.col("_l._rank"))
-    alloc = F.when(whole, F.col(need).cast("bigint")).otherwise(F.greatest(F.col("_l.level"), F.lit(0)))
-    return members.join(out.select(*keys, pos, alloc.alias("alloc")), [*keys, pos])
+    wanted = F.coalesce(F.col(need).cast("bigint"), F.lit(0))
+    counts = members.select(*keys, cap.alias("_cap"), F.least(wanted, cap + 1).alias("_need")).groupBy(*keys, "_need").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_cap").alias("_cap"))
+    group = Window.partitionBy(*keys)
+    smaller = group.orderBy("_need").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_cap") - F.coalesce(F.sum(F.col("_need") * F.col("_n")).over(smaller), F.lit(0))
+    heads = F.sum("_n").over(group) - F.coalesce(F.sum("_n").over(smaller), F.lit(0))
+    shared = counts.select(*keys, "_need", "_cap", left.alias("_left"), heads.alias("_heads")).withColumn("_share", F.expr("_left div _heads"))
+    misfit = (F.col("_need") > F.col("_share")) | (F.col("_share") <= 0) | (F.col("_need") > F.col("_cap"))
+    # The smallest need that does not fit fixes the level of its group.
+    first = F.min(F.struct("_need", F.greatest("_share", F.lit(0)).alias("level"))).alias("_first")
+    levels = shared.where(misfit).groupBy(*keys).agg(first).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    alloc = F.when(wanted >= F.col("_first._need"), F.col("_first.level")).otherwise(wanted)
+    return members.join(levels, same, "left").withColumn("alloc", alloc).drop("_first", *[f"_k_{k}" for k in keys])
 
 
 def fit_text(header: Column, body: Column, alloc: Column, note: str = CUT_NOTE) -> Column:
@@ -87,7 +77,7 @@ def member_blocks(members: DataFrame, budget: Column | str = CHAR_BUDGET) -> Dat
     )
     cap = F.lit(budget) if isinstance(budget, int) else budget
     ready = members.withColumn("header", header).withColumn("need", F.length("header") + F.length("text"))
-    shared = fair_shares(ready, ["cluster_id"], "conv_id", "need", cap)
+    shared = fair_shares(ready, ["cluster_id"], "need", cap)
     return shared.select(
         "cluster_id",
         F.coalesce("create_time", F.lit(0.0)).alias("create_time"),

@@ -289,7 +289,7 @@ alloc AS (
 
 def _shares(t: Tables):
     need = t.documents.withColumn("need", F.length("text") + 10)
-    return bundles.fair_shares(need, ["source"], "doc_id", "need", F.lit(_BUDGET))
+    return bundles.fair_shares(need, ["source"], "need", F.lit(_BUDGET))
 
 
 @query(f"WITH {_SQL_SHARES} SELECT doc_id, source, need::BIGINT AS need, alloc::BIGINT AS alloc FROM alloc")

@@ -37,12 +37,37 @@ def test_fair_shares_against_rounds(spark):
         budgets[g] = rng.choice([0, 3, 50, 400, 5000])
         rows += [(g, i, rng.choice([1, 5, 20, 100, 900, 7000]) + rng.randrange(9), budgets[g]) for i in range(rng.randrange(1, 9))]
     df = spark.createDataFrame(rows, "g int, i int, need int, budget int")
-    got = {(r.g, r.i): r.alloc for r in bundles.fair_shares(df, ["g"], "i", "need", "budget", buckets=4).collect()}
+    got = {(r.g, r.i): r.alloc for r in bundles.fair_shares(df, ["g"], "need", "budget").collect()}
     for g, b in budgets.items():
         mine = sorted(r[:3] for r in rows if r[0] == g)
         assert [got[(g, i)] for _, i, _ in mine] == _waterfall([n for _, _, n in mine], b), (mine, b)
 
 
+def test_fair_shares_of_one_hot_group(spark):
+    """A third of the rows in one group, many ties, a null group and null needs."""
+    rng = random.Random(9)
+    rows = [("hot", i, rng.randrange(60), 30_000) for i in range(3_000)] + [(None, i, rng.randrange(300), 9_000) for i in range(200)]
+    rows += [(f"g{i % 70}", i, rng.choice([None, 0, 5, 5, 900]), 700) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, i int, need int, budget int")
+    out = bundles.fair_shares(df, ["g"], "need", "budget")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 and "Python" not in plan  # counts, groups, levels, members
+    got = {(r.g, r.i): r.alloc for r in out.collect()}
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        needs = [r[2] or 0 for r in mine]
+        # The level is where the budget is used up: whole needs below it, equal shares above.
+        order, left, level = sorted(needs), mine[0][3], None
+        for k, n in enumerate(order):
+            share = left // (len(order) - k)
+            if n > share or share <= 0:
+                level, least = max(share, 0), n
+                break
+            left -= n
+        assert [got[(g, r[1])] for r in mine] == [n if level is None or n < least else level for n in needs]
+
+
 def _exports(spark):
     turns = spark.createDataFrame(
         [("c1", 0, "user", "text", "build demo-v1.zip with setup.py", None, []), ("c1", 1, "assistant", "text", "```py\nx=1\n```", "m", []),
