@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as ty
 
 from chatloom.banks import CUSTOM_PLACEHOLDER, REDACTION_PATTERNS
+from chatloom.functions.text import let
 
 Pattern = tuple[str, str, str]
 
@@ -85,12 +86,28 @@ def scrub_counts(df: DataFrame, text: str, custom: Sequence[Pattern] = ()) -> Da
     )
 
 
+#: A string of a JSON text with the colon that makes it a name, or anything between strings.
+_JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[^"]++'
+
+
+def scrub_json(json: Column, custom: Sequence[Pattern] = ()) -> Column:
+    """Scrub the string values inside a JSON text of any shape and depth; names, numbers and layout stay as they are."""
+
+    def one(token: Column) -> Column:
+        plain = F.try_variant_get(F.try_parse_json(token), "$", "string")
+        written = lambda clean: F.regexp_replace(F.to_json(F.array(clean)), r"^\[|\]$", "")
+        changed = let(scrub(plain, custom), lambda clean: F.when(clean.eqNullSafe(plain), token).otherwise(written(clean)))
+        return F.when(token.startswith('"') & ~token.endswith(":"), changed).otherwise(token)
+
+    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(_JSON_TOKEN), F.lit(0)), one), "")
+
+
 def scrub_value(c: Column, dtype: ty.DataType, custom: Sequence[Pattern] = ()) -> Column:
     """Scrub all strings inside a nested value; field names and map keys stay."""
     if isinstance(dtype, ty.StringType):
         return scrub(c, custom)
     if isinstance(dtype, ty.VariantType):
-        return F.try_parse_json(scrub(F.to_json(c), custom))
+        return F.parse_json(scrub_json(F.to_json(c), custom))
     if isinstance(dtype, ty.ArrayType):
         return F.transform(c, lambda x: scrub_value(x, dtype.elementType, custom))
     if isinstance(dtype, ty.MapType):

@@ -1,6 +1,6 @@
 """Queries over ``documents``: search, chunks, redaction, budgets, classification."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as ty
 
 from chatloom import banks
 from chatloom.functions import text as T
@@ -256,6 +256,39 @@ def redact_scrub(t: Tables):
     return rows.select("doc_id", F.md5("text").alias("scrubbed_md5"), "n_findings")
 
 
+@query(f"SELECT doc_id, 'owner@keys.org' AS names, md5({_sql_scrubbed()}) AS said_md5, lang, n_chars, TRUE AS idempotent FROM documents")
+def scrub_trees(t: Tables):
+    """Texts inside record trees of no fixed schema: values are scrubbed at any depth, names stay, a second time changes nothing."""
+    said = F.struct(F.col("text").alias("said"), F.col("lang"), F.col("n_chars"), F.array(F.array(F.struct(F.col("text").alias("again")))).alias("deep"))
+    tree = F.parse_json(F.to_json(F.struct("doc_id", F.create_map(F.lit("owner@keys.org"), F.array(said)).alias("by"))))
+    clean = lambda c: redact.scrub_value(F.col(c), ty.VariantType())
+    rows = t.documents.select("doc_id", tree.alias("tree")).select("doc_id", clean("tree").alias("once"))
+    rows = rows.select("doc_id", "once", (F.to_json(clean("once")) == F.to_json("once")).alias("idempotent"))
+    at = lambda path, kind: F.variant_get(F.col("once"), f"$.by['owner@keys.org'][0].{path}", kind)
+    both = at("said", "string").eqNullSafe(at("deep[0][0].again", "string"))
+    return rows.select(
+        "doc_id", F.array_join(F.map_keys(F.variant_get(F.col("once"), "$.by", "map<string,variant>")), ",").alias("names"),
+        F.md5(at("said", "string")).alias("said_md5"), at("lang", "string").alias("lang"), at("n_chars", "bigint").alias("n_chars"), (F.col("idempotent") & both).alias("idempotent"))
+
+
+_TERMS, _RAW = ["the", "Ing THAT"], ["[0-9]{3,}", "(broken"]
+
+
+def _sql_custom() -> str:
+    text = "text"
+    for term in _TERMS:  # twice, as neighbours share the character between them
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){term}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1{banks.CUSTOM_PLACEHOLDER}\\2', 'gi')"
+    return f"regexp_replace({text}, '{_RAW[0]}', '{banks.CUSTOM_PLACEHOLDER}', 'g')"
+
+
+@query(f"WITH d AS (SELECT doc_id, {_sql_custom()} AS text FROM documents) SELECT doc_id, md5({_sql_scrubbed()}) AS scrubbed_md5 FROM d")
+def scrub_dictionary(t: Tables):
+    """A user's own terms (whole words in any case) and patterns go first; a pattern that cannot be read is left out."""
+    custom = redact.dictionary(_TERMS, _RAW)
+    return t.documents.select("doc_id", F.md5(redact.scrub(F.col("text"), custom)).alias("scrubbed_md5"))
+
+
 @query(
     "SELECT page_id, field, kind, count(*) AS n FROM ("
     + " UNION ALL ".join(

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from chatloom import banks
 from chatloom.functions import formats
 from chatloom.functions.dates import epoch_to_date, parse_when, recency_weight
-from chatloom.operators import cards, catalog, clusters, evaluation, ingest, items, perf, telemetry
+from chatloom.operators import cards, catalog, clusters, evaluation, ingest, items, perf, redaction, telemetry
 from chatloom.plans.blocks import BLOCK, even, previous, running, running_total
 from chatloom.queries.base import Tables, query
 from chatloom.session import cut
@@ -224,6 +224,19 @@ def session_windows(t: Tables):
     ).drop("sid")
 
 
+@query(
+    """SELECT event_id, 'u' || user_id || '@run.org' AS run_id, '‹email› did ' || event_type || ' at ‹path›' AS message, 'from ‹ip›' AS error, value, props FROM events"""
+)
+def scrub_events(t: Tables):
+    """Trace events with scrubbed message and payload; run ids and numbers stay."""
+    user = F.col("user_id").cast("string")
+    rows = t.events.select(
+        "event_id", F.concat(F.lit("u"), user, F.lit("@run.org")).alias("run_id"),
+        F.concat(F.lit("u"), user, F.lit("@mail.org did "), F.col("event_type"), F.lit(" at /home/u"), user, F.lit("/log")).alias("message"),
+        F.struct(F.concat(F.lit("from 10.1."), F.pmod("user_id", F.lit(250)).cast("string"), F.lit(".7")).alias("error"), "value", "props").alias("payload"))
+    return redaction.scrub_trace(rows).select("event_id", "run_id", "message", "payload.error", "payload.value", "payload.props")
+
+
 # --- ingest and ledgers ---------------------------------------------------
 
 

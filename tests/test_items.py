@@ -156,6 +156,19 @@ def test_nested_scrub_and_public_items(spark):
     assert (t.message, t.payload.error, t.payload.in_tok, t.run_id) == ("to ‹email›", "‹path›", 5, "a@b.co")
 
 
+def test_scrub_json_of_any_shape(spark):
+    """Only string values change: names, escapes, numbers and layout stay."""
+    deep = "a@b.co"
+    for i in range(300):
+        deep = [deep] if i % 2 else {"a@b.co": deep, "n": 1}
+    rows = ['{"a@b.co": "a@b.co", "p": "C:\\\\Users\\\\me\\\\f \\"q\\" /home/x/y"}', '[1, 2.50, true, null, "x\\u00e9\\n", "to a@b.co\\n: {\\"k\\": 1}"]', '"a@b.co"', "7", '{ "k" : [ "a@b.co" , { } ] }', json.dumps(deep)]
+    got = [r.j for r in spark.createDataFrame([(i, j) for i, j in enumerate(rows)], "i int, j string").orderBy("i").select(redact.scrub_json(F.col("j")).alias("j")).collect()]
+    assert json.loads(got[0]) == {"a@b.co": "‹email›", "p": '‹path› "q" ‹path›'}
+    assert got[1].startswith('[1, 2.50, true, null, "x\\u00e9\\n"') and json.loads(got[1])[-1] == 'to ‹email›\n: {"k": 1}'
+    assert got[2:5] == ['"‹email›"', "7", '{ "k" : [ "‹email›" , { } ] }']
+    assert json.dumps(json.loads(got[5]), ensure_ascii=False).count("a@b.co") == 150 and "‹email›" in got[5]
+
+
 def test_egress_gate(spark):
     jobs = spark.createDataFrame([("ollama", False, False), ("openai", True, False), ("codex", False, True)], "provider string, scrub boolean, allow_raw boolean")
     assert redaction.guard_egress(jobs).count() == 3
