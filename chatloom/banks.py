@@ -253,10 +253,6 @@ VERSION_NOUNS = ["version", "release", "profile"]
 STABLE_PHRASES = ["stable version", "latest stable", "current stable", "most recent stable", "stable release"]
 STABLE_PARTS = ["stable*"]
 NEWEST_PHRASES = ["newest", "overall", "highest", "latest version", "most recent version", "current version"]
-DEFINING = ["what", "what's", "what is", "what does", "define", "explain", "expand"]
-DEFINING_LINKS = ["the", "does"]
-ACRONYM_NOUNS = ["acronym", "abbreviation"]
-MEANING_VERBS = ["stand for", "stands for", "mean", "means", "short for", "refer to", "refers to", "abbreviat*"]
 
 # Fields of the contract that a valid item may lack.
 OPTIONAL_FIELDS = [

@@ -6,7 +6,7 @@ not toxic a schema-valid one; line counts stand in for list fields.
 
 from pyspark.sql import functions as F
 
-from chatloom.operators import quality
+from chatloom.operators import evaluation, quality
 from chatloom.queries.base import Tables, query
 
 
@@ -184,3 +184,31 @@ def arena(t: Tables):
     speed = perf.model_speed(trace, ok="purchase", fail="error").select("model", "sec_per_item")
     qual = quality.quality_rows(quality.measured(_items(t)), ["model"]).select("model", "completion_pct")
     return speed.join(qual, "model", "full_outer")
+
+
+# --- graded answers -------------------------------------------------------
+
+
+@query(
+    """WITH q AS (
+      SELECT item_id AS id, ['refuse', 'contains_all', 'contains_any', 'version_equals'][item_id % 4 + 1] AS kind, item_id % 3 AS a, item_id % 5 AS e FROM benchmark),
+    g AS (
+      SELECT id, kind, CASE kind WHEN 'refuse' THEN a = 2 WHEN 'contains_all' THEN a = 0 WHEN 'contains_any' THEN a IN (0, 1) ELSE a = 1 END AS good, e,
+        ['entity', 'rag', 'rag', 'rag', 'rag'][e + 1] AS route, (id * 37 % 100) * 100 AS elapsed_ms FROM q)
+    SELECT id, kind AS grade_type, route, elapsed_ms::BIGINT AS elapsed_ms, e NOT IN (1, 2) AND good AS passed, id % 7 < 4 AS gold_hit,
+      CASE WHEN e = 1 THEN TRUE WHEN e = 2 THEN elapsed_ms >= 5400 WHEN route = 'entity' THEN FALSE ELSE elapsed_ms > 6000 END AS unusable FROM g"""
+)
+def graded_answers(t: Tables):
+    """Answers to every question graded by its kind, with gold hits, errors and late ones (questions are the benchmark's, answers written from their ids)."""
+    i = F.col("item_id")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (i % n + 1).cast("int"))
+    gold = F.when(i % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("g"), i.cast("string")), F.lit("other")))
+    battery = t.benchmark.select(
+        i.alias("id"), pick(4, "refuse", "contains_all", "contains_any", "version_equals").alias("grade_type"),
+        F.array(F.lit("Alpha"), F.lit("BETA 2")).alias("needles"), F.lit("1.4").alias("expected"), gold.alias("gold_chat_ids"))
+    answers = t.benchmark.select(
+        i.alias("id"), pick(3, "so alpha, then beta 2 is it ", "ALPHA since 1.4, not 1.5", " I can't find this in your archive. ").alias("answer"),
+        F.when(i % 5 == 1, F.lit("read Timed Out")).when(i % 5 == 2, F.lit("connection lost")).alias("error"),
+        F.when(i % 5 == 0, F.lit("entity")).otherwise(F.lit("rag")).alias("route"), (i * 37 % 100 * 100).cast("bigint").alias("elapsed_ms"))
+    retrieved = t.benchmark.select(i.alias("id"), F.when(i % 7 < 4, F.concat(F.lit("g"), i.cast("string"))).otherwise(F.lit("none")).alias("chat_id"))
+    return evaluation.answer_rows(battery, answers, retrieved, 6.0)
