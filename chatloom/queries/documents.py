@@ -555,3 +555,30 @@ def token_names(t: Tables):
         .groupBy("doc_id", F.lower("raw").alias("name"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+# --- cleaned answers ------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN '' ELSE 't' || doc_id || ':forming|u:' END AS objectives, 'r1|' || source || '|r2' AS requirements,
+      (CASE doc_id % 5 WHEN 0 THEN 0.25 WHEN 1 THEN 0.5 WHEN 2 THEN 1 ELSE 0 END)::DOUBLE AS confidence, doc_id % 4 = 0 AS shape_ok FROM documents"""
+)
+def cleaned_answers(t: Tables):
+    """Lists, numbers and shape of model answers in every state of repair (answers are written from ids and sources)."""
+    i = F.col("doc_id")
+    of = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (i % n + 1).cast("int"))
+    listed = F.concat(
+        F.lit('[{"text": " t'), i.cast("string"), F.lit(' ", "role": "'), F.lit(banks.OBJECTIVE_ROLES[0].upper()),
+        F.lit('"}, "x", {"role": "' + banks.OBJECTIVE_ROLES[0] + '"}, {"text": "  "}, {"text": "u", "role": "weird"}, 7]'))
+    answer = F.concat(
+        F.lit('Sure: {"objectives": '), F.when(i % 4 == 2, F.lit('"none"')).otherwise(listed),
+        F.lit(', "requirements": [" r1 ", "", 5, "'), F.col("source"), F.lit('", null, "r2"], "confidence": '), of(5, "0.25", '"0.5"', "7", "-1", '"x"'),
+        F.lit(', "goal": '), F.when(i % 4 == 1, F.lit("5")).otherwise(F.lit('"g"')), F.when(i % 4 == 3, F.lit("")).otherwise(F.lit(', "primary_archetype": {"id": "a"}')),
+        F.lit(', "primary_domain_pair": {"domain": "d"}, "archetype_fields": {}} done'))
+    rows = t.documents.select("doc_id", items.recover_object(answer).alias("v"))
+    at = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
+    told = F.transform(items.clean_objectives(at("objectives")), lambda o: F.concat_ws(":", o["text"], F.coalesce(o["role"], F.lit(""))))
+    return rows.select(
+        "doc_id", F.array_join(told, "|").alias("objectives"), F.array_join(items.clean_requirements(at("requirements")), "|").alias("requirements"),
+        items.clamp_confidence(F.try_variant_get("v", "$.confidence", "string")).alias("confidence"), items.raw_shape_ok(F.col("v")).alias("shape_ok"))
