@@ -79,11 +79,11 @@ def stream_live_speed(t: Tables):
     SELECT user_id, count(*) AS n_points, round(coalesce(sum(CASE WHEN t > t0 THEN (w + w0) / 2 * (t - t0) ELSE 0 END), 0) / 3600, 4) AS wh FROM p GROUP BY 1"""
 )
 def stream_energy(t: Tables):
-    """Energy kept in state per run: equal to the batch query ``energy_wh``."""
+    """Energy kept per run and day, a late point put where it belongs: equal to the batch query ``energy_wh``."""
     folder = _folder(t, "energy")
     points = _events(t).select("user_id", (F.unix_micros("ts") / F.lit(1e6)).alias("t"), F.col("value").alias("w"))
-    _run(jobs.running_energy(points, "user_id"), folder, "update", _latest(folder))
-    return _last_per_key(t, folder, "user_id").withColumn("wh", F.round("wh", 4))
+    _run(points, folder, "append", jobs.energy_sink(f"{folder}/out", "user_id", 86_400.0))
+    return jobs.read_energy(t.spark, f"{folder}/out", "user_id").withColumn("wh", F.round(F.coalesce("wh", F.lit(0.0)), 4))
 
 
 @query(
@@ -94,9 +94,9 @@ def stream_energy(t: Tables):
 def stream_strikes(t: Tables):
     """Idle samples in a row at the end of each run."""
     folder = _folder(t, "strikes")
-    rows = _events(t).select("user_id", F.col("event_id").alias("t"), "event_type")
-    _run(jobs.running_strikes(rows, "user_id", F.col("event_type") == "view"), folder, "update", _latest(folder))
-    return _last_per_key(t, folder, "user_id")
+    rows = _events(t).select("user_id", F.col("event_id").alias("t"), (F.col("event_type") == "view").alias("idle"))
+    _run(rows, folder, "append", jobs.strikes_sink(f"{folder}/out", "user_id", 2_048.0))
+    return jobs.read_strikes(t.spark, f"{folder}/out", "user_id")
 
 
 @query(

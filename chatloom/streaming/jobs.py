@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from chatloom.operators.ingest import newest_wins
 
@@ -29,24 +26,41 @@ def upsert_sink(root: str, key: str, updated: str, order: str, buckets: int = 64
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("bigint")
         touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
         old = read_store(spark, root, upto=batch_id, only=touched)
         merged = newest_wins(batch, old, key, updated, order)
-        (
-            merged.withColumn("_bucket", bucket)
-            .withColumn("_batch", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("_batch", "_bucket")
-            .parquet(root)
-        )
+        _write_generation(merged.withColumn("_bucket", bucket), root, batch_id)
+        drop_generations(spark, root, batch_id)
 
     return write
 
 
+def _write_generation(rows: DataFrame, root: str, batch_id: int) -> None:
+    """Write rows with their ``_bucket`` as the generation of a batch."""
+    (
+        rows.withColumn("_batch", F.lit(batch_id).cast("bigint"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", "_bucket").parquet(root)
+    )
+
+
+def drop_generations(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Remove generations that no read and no replay of the last batch needs: all but the last two of each bucket."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    held: dict[str, list[tuple[int, object]]] = {}
+    for status in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/_batch=*/_bucket=*")) or []:
+        batch = int(status.getPath().getParent().getName().split("=")[1])
+        if batch <= batch_id:
+            held.setdefault(status.getPath().getName(), []).append((batch, status.getPath()))
+    for generations in held.values():
+        for _, old in sorted(generations, key=lambda g: g[0])[:-2]:
+            files.delete(old, True)
+
+
 def read_store(
-    spark: SparkSession, root: str, upto: int | None = None, only: Sequence[int] | None = None
+    spark: SparkSession, root: str, upto: int | None = None, only: Sequence[int] | None = None, keep_bucket: bool = False
 ) -> DataFrame | None:
     """Current rows of an upsert store: the last generation of every bucket.
 
@@ -64,7 +78,7 @@ def read_store(
         rows = rows.where(F.col("_bucket").isin(list(only)))
     # One row per bucket, found from the folder names alone.
     last = rows.groupBy("_bucket").agg(F.max("_batch").alias("_batch"))
-    return rows.join(F.broadcast(last), ["_bucket", "_batch"], "left_semi").drop("_bucket", "_batch")
+    return rows.join(F.broadcast(last), ["_bucket", "_batch"], "left_semi").drop("_batch", *[] if keep_bucket else ["_bucket"])
 
 
 def compact_store(spark: SparkSession, root: str, target: str, key: str, buckets: int = 64) -> None:
@@ -112,46 +126,82 @@ def distinct_events(events: DataFrame, ts: str, keys: Sequence[str], late: str)
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def running_energy(samples: DataFrame, run: str, run_type: str = "bigint") -> DataFrame:
-    """Energy per run so far: run, n_points, wh. ``samples``: run, t (seconds), w.
+# --- summaries of stretches of time ----------------------------------------
+
 
-    State per run is the last point and the sum. Points inside a batch are put in
-    time order; a point older than the last one adds nothing, as with negative
-    steps in the batch form. For a run that holds most of the stream, use the
-    batch form over time blocks.
+def segment_sink(root: str, t: str, width: float, summary: Callable[[DataFrame], DataFrame]):
+    """``foreachBatch`` sink that keeps points by stretches of ``width`` of ``t``, and one summary row per run and stretch.
+
+    A batch adds its points to the stretches they fall into and sums up those anew, so a
+    point that comes late is put where it belongs, however late. Summaries of neighbouring
+    stretches are put together when they are read. Generations are kept as in
+    ``upsert_sink``: a replayed batch gives the same store.
     """
 
-    def step(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, joules, t0, w0 = state.get if state.exists else (0, 0.0, None, None)
-        points = pd.concat(list(frames)).sort_values(["t", "w"], kind="stable")
-        n += len(points)
-        if t0 is not None:
-            points = pd.concat([pd.DataFrame({"t": [t0], "w": [w0]}), points.loc[points["t"] >= t0, ["t", "w"]]])
-        t, w = points["t"].to_numpy(dtype="float64"), points["w"].to_numpy(dtype="float64")
-        if len(t):
-            joules += float(((w[1:] + w[:-1]) / 2.0 * (t[1:] - t[:-1])).sum())
-            t0, w0 = float(t[-1]), float(w[-1])
-        state.update((n, joules, t0, w0))
-        yield pd.DataFrame({run: [key[0]], "n_points": [n], "wh": [joules / 3600.0]})
-
-    return samples.groupBy(run).applyInPandasWithState(
-        step, f"{run} {run_type}, n_points bigint, wh double", "n bigint, joules double, t double, w double",
-        "update", GroupStateTimeout.NoTimeout,
-    )
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.floor(F.col(t) / width).cast("bigint")
+        rows = batch.withColumn("_bucket", bucket)
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # stretches that the batch has points in
+        if not touched:
+            return
+        old = read_store(spark, f"{root}/points", upto=batch_id, only=touched)
+        if old is not None:
+            rows = rows.unionByName(old.withColumn("_bucket", bucket))
+        _write_generation(rows, f"{root}/points", batch_id)
+        written = spark.read.parquet(f"{root}/points").where((F.col("_batch") == batch_id) & F.col("_bucket").isin(touched))
+        _write_generation(summary(written.drop("_batch")), f"{root}/segments", batch_id)
+        drop_generations(spark, f"{root}/points", batch_id)
+        drop_generations(spark, f"{root}/segments", batch_id)
 
+    return write
 
-def running_strikes(samples: DataFrame, run: str, idle: Column, run_type: str = "bigint") -> DataFrame:
-    """Consecutive idle samples at the end of what was seen of each run. ``samples``: run, t."""
-    base = samples.select(run, "t", idle.alias("idle"))
 
-    def step(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        strikes = state.get[0] if state.exists else 0
-        idle_now = pd.concat(list(frames)).sort_values("t", kind="stable")["idle"].to_numpy(dtype=bool)
-        busy = (~idle_now).nonzero()[0]
-        strikes = len(idle_now) - 1 - int(busy[-1]) if len(busy) else strikes + len(idle_now)
-        state.update((strikes,))
-        yield pd.DataFrame({run: [key[0]], "strikes": [strikes]})
+def energy_sink(root: str, run: str, width: float = 3600.0):
+    """Keeps the energy of every run and hour. Points: run, t (seconds), w."""
 
-    return base.groupBy(run).applyInPandasWithState(
-        step, f"{run} {run_type}, strikes bigint", "strikes bigint", "update", GroupStateTimeout.NoTimeout
-    )
+    def summary(points: DataFrame) -> DataFrame:
+        before = Window.partitionBy(run, "_bucket").orderBy("t", "w")
+        dt = F.col("t") - F.lag("t").over(before)
+        step = F.when(dt > 0, (F.col("w") + F.lag("w").over(before)) / 2 * dt).otherwise(0.0)
+        point = F.struct("t", "w")
+        return points.withColumn("_step", step).groupBy(run, "_bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("_step").alias("joules"), F.min(point).alias("first"), F.max(point).alias("last"))
+
+    return segment_sink(root, "t", width, summary)
+
+
+def read_energy(spark: SparkSession, root: str, run: str) -> DataFrame:
+    """Energy per run so far: run, n_points, wh (null with fewer than two points). Adds the steps between stretches."""
+    segments = _segments(spark, root)
+    prior = F.lag("last").over(Window.partitionBy(run).orderBy("_bucket"))
+    dt = F.col("first.t") - F.col("prior.t")
+    between = F.when(dt > 0, (F.col("first.w") + F.col("prior.w")) / 2 * dt).otherwise(0.0)
+    n = F.sum("n")
+    return segments.withColumn("prior", prior).groupBy(run).agg(
+        n.alias("n_points"), F.when(n >= 2, F.sum(F.col("joules") + between) / 3600.0).alias("wh"))
+
+
+def strikes_sink(root: str, run: str, width: float = 3600.0):
+    """Keeps what the strikes of every run need of each stretch. Points: run, t, idle (boolean)."""
+
+    def summary(points: DataFrame) -> DataFrame:
+        busy = F.max(F.when(~F.col("idle"), F.col("t"))).over(Window.partitionBy(run, "_bucket"))
+        return points.withColumn("_busy", busy).groupBy(run, "_bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.max("_busy").isNotNull().alias("busy"), F.count_if(F.col("t") > F.col("_busy")).alias("trailing"))
+
+    return segment_sink(root, "t", width, summary)
+
+
+def read_strikes(spark: SparkSession, root: str, run: str) -> DataFrame:
+    """Consecutive idle samples at the end of what was seen of each run: those after its last busy stretch, and those that end it."""
+    last = F.max(F.when(F.col("busy"), F.col("_bucket"))).over(Window.partitionBy(run))
+    own = F.when(F.col("_last").isNull() | (F.col("_bucket") > F.col("_last")), F.col("n")).when(F.col("_bucket") == F.col("_last"), F.col("trailing"))
+    return _segments(spark, root).withColumn("_last", last).groupBy(run).agg(F.coalesce(F.sum(own), F.lit(0)).alias("strikes"))
+
+
+def _segments(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_store(spark, f"{root}/segments", keep_bucket=True)
+    if rows is None:
+        raise LookupError(f"no summaries at {root}")
+    return rows

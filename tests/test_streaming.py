@@ -42,17 +42,30 @@ def test_upsert_equals_batch(spark, feed, tmp_path):
     assert jobs.read_store(spark, f"{tmp_path}/out").select(*want.columns).exceptAll(want).isEmpty()
 
 
-def test_energy_state_equals_batch(spark, feed, tmp_path):
-    folder, rows = feed
-    seen = {}
-
-    def keep(batch, _):
-        seen.update({r.user_id: (r.n_points, round(r.wh, 6)) for r in batch.collect()})
-
-    points = lambda df: df.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), F.col("value").alias("w"))
-    _run(jobs.running_energy(points(jobs.read_events(spark, folder, SCHEMA, per_trigger=2)), "user_id"), str(tmp_path), "update", keep)
-    want = telemetry.energy_wh(points(rows), ["user_id"], "t", "w", F.floor(F.col("t") / 86400).cast("bigint")).collect()
-    assert seen == {r.user_id: (r.n_points, round(r.wh or 0.0, 6)) for r in want}
+def test_late_points_are_put_where_they_belong(spark, tmp_path):
+    """Files out of time order, points of each spread over the whole time, and a replayed batch: energy and strikes are those of the batch form."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for i in (3, 0, 4, 1, 2):
+        rows.where(F.col("event_id") % 5 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    points = lambda df: df.select(
+        "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), F.col("value").alias("w"), (F.col("event_type") == "view").alias("idle"))
+    stream = lambda: points(jobs.read_events(spark, str(tmp_path / "feed"), SCHEMA, per_trigger=1))
+    energy, strikes = str(tmp_path / "e" / "out"), str(tmp_path / "s" / "out")
+    _run(stream().drop("idle"), str(tmp_path / "e"), "append", jobs.energy_sink(energy, "user_id", 200_000.0))
+    _run(stream().drop("w"), str(tmp_path / "s"), "append", jobs.strikes_sink(strikes, "user_id", 200_000.0))
+    want = {r.user_id: (r.n_points, r.wh and round(r.wh, 6)) for r in telemetry.energy_wh(points(rows), ["user_id"], "t", "w").collect()}
+    read = lambda: {r.user_id: (r.n_points, r.wh and round(r.wh, 6)) for r in jobs.read_energy(spark, energy, "user_id").collect()}
+    assert read() == want
+    at_end = {}
+    for r in points(rows).orderBy("t").collect():
+        at_end[r.user_id] = at_end.get(r.user_id, 0) + 1 if r.idle else 0
+    assert {r.user_id: r.strikes for r in jobs.read_strikes(spark, strikes, "user_id").collect()} == at_end
+    store = spark.read.parquet(f"{energy}/points")
+    assert store.groupBy("_bucket").agg(F.count_distinct("_batch").alias("n")).agg(F.max("n")).first()[0] <= 2
+    # The last batch once more, as after a lost driver.
+    file = max((tmp_path / "feed").glob("*.parquet"), key=lambda f: f.stat().st_mtime)
+    jobs.energy_sink(energy, "user_id", 200_000.0)(points(spark.read.schema(SCHEMA).parquet(str(file))).drop("idle"), store.agg(F.max("_batch")).first()[0])
+    assert read() == want
 
 
 def test_distinct_and_windows(spark, feed, tmp_path):
