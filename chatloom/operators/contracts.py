@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chatloom import banks
+from chatloom.functions import schemas, text as T
 
 
 def violations(df: DataFrame, rules: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
@@ -122,6 +123,46 @@ def state_rules() -> dict[str, Column]:
     return out
 
 
+def state_schema() -> dict:
+    """Project-state documents as nested schema: the rules of ``state_rules`` and a list of observations."""
+    token = {"type": "string", "pattern": r"^[A-Za-z0-9][A-Za-z0-9._:-]*$"}
+    share = {"type": ["number", "null"], "minimum": 0, "maximum": 1}
+    return {
+        "type": "object",
+        "required": ["schema_version", "state_id", "project_ref", "geometry_id", "geometry_version", "observation_role", "observed_at", "observations"],
+        "additionalProperties": False,
+        "properties": {
+            "schema_version": {"type": "string", "enum": ["1.0.0"]}, "state_id": token, "project_ref": token, "geometry_id": token,
+            "geometry_version": {"type": "integer", "minimum": 1},
+            "observation_role": {"type": "string", "enum": ["baseline", "pre_pass", "checkpoint", "post_pass", "evaluation_snapshot"]},
+            "observed_at": {"type": "string"},
+            "observations": {
+                "type": "array", "minItems": 1,
+                "items": {"type": "object", "required": ["coordinate"], "properties": {"coordinate": token, "value": share, "evidence": {"type": "array", "items": {"type": "string"}}}},
+            },
+        },
+    }
+
+
+def telemetry_schema() -> dict:
+    """Telemetry summaries as nested schema: counts, and a lowest, mean and highest value of each metric."""
+    metric = {"type": ["object", "null"], "required": ["min", "avg", "peak"], "properties": {k: {"type": ["number", "null"]} for k in ("min", "avg", "peak")}}
+    return {
+        "type": "object", "required": ["n_samples"],
+        "properties": {
+            "n_samples": {"type": "integer", "minimum": 0}, "duration_s": {"type": ["number", "null"], "minimum": 0}, "throttled": {"type": ["boolean", "null"]},
+            "metrics": {"type": "object", "properties": {m: metric for m in banks.TELEMETRY_METRICS}},
+        },
+    }
+
+
+def document_faults(docs: DataFrame, key: str, document: str, schema: Mapping) -> DataFrame:
+    """``(key, fault)`` of JSON documents: every path at fault with its rule; ``$: json`` for a text that is none."""
+    v = F.try_parse_json(document)
+    found = T.let(v, lambda x: schemas.faults(x, schema))
+    return docs.select(key, F.explode(F.when(v.isNull(), F.array(F.lit("$: json"))).otherwise(found)).alias("fault"))
+
+
 def dangling(rows: DataFrame, key: str, dim: DataFrame, dim_key: str) -> DataFrame:
     """Rows whose reference is not in the dimension."""
     known = dim.select(F.col(dim_key).alias(key)).distinct()

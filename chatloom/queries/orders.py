@@ -700,3 +700,51 @@ def doubtful_versions(t: Tables):
     said = F.get(F.array(*kinds), (F.col("o_orderkey") % 5).cast("int"))
     rows = t.orders.select(F.col("o_custkey").cast("string").alias("chat_id"), F.col("o_orderkey").alias("pos"), F.lit("").alias("title"), said.alias("text"))
     return entities.versions(entities.mentions(rows, product)).select("version", "mentions", "n_chats", "unstable_votes")
+
+
+# --- documents of open shape ----------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_partkey % 8 AS k, p_partkey % 3 + 1 AS n FROM part),
+    f AS (
+      SELECT p_partkey, '$: json' AS fault FROM p WHERE k = 7
+      UNION ALL SELECT p_partkey, '$.state_id: pattern' FROM p WHERE k = 1
+      UNION ALL SELECT p_partkey, unnest(['$.geometry_version: type', '$.extra: unknown']) FROM p WHERE k = 2
+      UNION ALL SELECT p_partkey, unnest(['$.geometry_version: minimum', '$.observed_at: required']) FROM p WHERE k = 3
+      UNION ALL SELECT p_partkey, '$.observations: minItems' FROM p WHERE k = 4
+      UNION ALL SELECT p_partkey, unnest(['$.observations[' || i || '].value: maximum', '$.observations[' || i || '].evidence[1]: type']) FROM p, range(0, 3) r(i) WHERE k = 5 AND i < n
+      UNION ALL SELECT p_partkey, unnest(['$.observations[' || i || '].coordinate: required', '$.observations[' || i || '].value: type']) FROM p, range(0, 3) r(i) WHERE k = 6 AND i < n
+      UNION ALL SELECT p_partkey, '$.observation_role: enum' FROM p WHERE k = 6)
+    SELECT * FROM f"""
+)
+def state_documents(t: Tables):
+    """Every fault of project-state documents by its path (documents are written from part keys, valid and broken in seven ways)."""
+    k, n = F.col("p_partkey") % 8, (F.col("p_partkey") % 3 + 1).cast("int")
+    key = F.col("p_partkey").cast("string")
+    seen = F.when(k == 5, F.lit('{"coordinate": "c.1", "value": 1.5, "evidence": ["a", 2]}')).when(k == 6, F.lit('{"value": "x"}')).otherwise(
+        F.lit('{"coordinate": "c:2", "value": null, "evidence": []}'))
+    observed = F.when(k == 4, F.lit("")).otherwise(F.array_join(F.array_repeat(seen, n), ", "))
+    document = F.concat(
+        F.lit('{"schema_version": "1.0.0", "state_id": "'), F.when(k == 1, F.lit("-")).otherwise(F.lit("s")), key, F.lit('", "project_ref": "p.'), key,
+        F.lit('", "geometry_id": "g", "geometry_version": '), F.when(k == 2, F.lit("1.5")).when(k == 3, F.lit("0")).otherwise(F.lit("2")),
+        F.lit(', "observation_role": "'), F.when(k == 6, F.lit("guess")).otherwise(F.lit("checkpoint")), F.lit('"'),
+        F.when(k == 3, F.lit("")).otherwise(F.lit(', "observed_at": "2024-01-01"')), F.when(k == 2, F.lit(', "extra": {}')).otherwise(F.lit("")),
+        F.lit(', "observations": ['), observed, F.when(k == 7, F.lit("]")).otherwise(F.lit("]}")))
+    return contracts.document_faults(t.part.select("p_partkey", document.alias("document")), "p_partkey", "document", contracts.state_schema())
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_partkey % 5 AS k FROM part)
+    SELECT p_partkey, unnest(CASE k WHEN 1 THEN ['$.n_samples: required'] WHEN 2 THEN ['$.n_samples: minimum', '$.duration_s: minimum']
+      WHEN 3 THEN ['$.metrics.power_w.peak: required', '$.metrics.power_w.avg: type'] ELSE ['$.throttled: type'] END) AS fault FROM p WHERE k > 0"""
+)
+def telemetry_documents(t: Tables):
+    """Every fault of telemetry summaries by its path (written from part keys)."""
+    k = F.col("p_partkey") % 5
+    power = F.when(k == 3, F.lit('{"min": 1, "avg": "2"}')).otherwise(F.lit('{"min": 1, "avg": 2.5, "peak": 3e2}'))
+    document = F.concat(
+        F.lit("{"), F.when(k == 1, F.lit("")).when(k == 2, F.lit('"n_samples": -1, ')).otherwise(F.concat(F.lit('"n_samples": '), F.col("p_partkey").cast("string"), F.lit(", "))),
+        F.when(k == 2, F.lit('"duration_s": -0.5, ')).otherwise(F.lit('"duration_s": null, ')), F.when(k == 4, F.lit('"throttled": "no", ')).otherwise(F.lit("")),
+        F.lit('"metrics": {"power_w": '), power, F.lit(', "temp_c": null}, "more": [1]}'))
+    return contracts.document_faults(t.part.select("p_partkey", document.alias("document")), "p_partkey", "document", contracts.telemetry_schema())

@@ -241,3 +241,24 @@ def test_next_fit_of_any_length(spark, size, budget):
         n, used = n + 1, used + chars
     assert {(r.run, r.pos): r.batch for r in got} == want and len(got) == len(rows)
     assert batches.next_fit(frame.where("false"), ["run"], ["pos"], F.col("chars"), size, budget).count() == 0
+
+
+SHAPES = [
+    ({"type": "integer", "minimum": 2}, [("3", []), ("2.0", []), ("1", ["$: minimum"]), ("2.5", ["$: type"]), ('"3"', ["$: type"]), ("null", ["$: type"])]),
+    ({"type": ["object", "null"], "required": ["a b"], "properties": {"a b": {"type": "boolean"}, "it's": {"enum": ["x"]}}},
+     [("null", []), ("{}", ["$.a b: required"]), ('{"a b": null}', ["$.a b: type"]), ('{"a b": true, "it\'s": "y"}', ["$.it's: enum"]), ("[]", ["$: type"])]),
+    ({"type": "array", "items": {"type": "array", "minItems": 1, "items": {"type": "string", "pattern": "^a"}}},
+     [("[]", []), ('[["a"], []]', ["$[1]: minItems"]), ('[["a", "b", 1]]', ["$[0][1]: pattern", "$[0][2]: type"]), ('[["a"], {"b": 1}]', ["$[1]: type"])]),
+    ({"additionalProperties": False, "properties": {"k": {}}}, [('{"k": 1}', []), ('{"z": 1, "k": 2, "y": 3}', ["$.y: unknown", "$.z: unknown"]), ("7", [])]),
+]
+
+
+def test_documents_against_schemas(spark):
+    for schema, cases in SHAPES:
+        df = spark.createDataFrame([(i, j) for i, (j, _) in enumerate(cases)], "i int, j string")
+        got = {}
+        for r in contracts.document_faults(df, "i", "j", schema).collect():
+            got.setdefault(r.i, []).append(r.fault)
+        assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+    broken = spark.createDataFrame([(1, "{"), (2, None), (3, "{}")], "i int, j string")
+    assert [(r.i, r.fault) for r in contracts.document_faults(broken, "i", "j", {"type": "object"}).orderBy("i").collect()] == [(1, "$: json"), (2, "$: json")]
