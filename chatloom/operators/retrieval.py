@@ -199,16 +199,16 @@ def word_hits(words: DataFrame, docs: DataFrame) -> DataFrame:
     """(word, doc_id) of every text that contains the word anywhere.
 
     A word is letters and digits only, so a text contains it exactly when one of its
-    own tokens does. Distinct tokens are posted under their 3-grams; a word looks only
+    own tokens does. Distinct tokens are posted under their 4-grams; a word looks only
     under the one of its own grams that fewest tokens hold, and those are searched for it.
     """
     # The outer form adds no filter on the list, which would work it out a second time.
     tokens = docs.select("doc_id", F.explode_outer(F.array_distinct(T.words(F.col("text")))).alias("token"))
-    distinct = cut(tokens.select("token").distinct())
     asked = words.select("word").distinct()
     # At most three numbers: words shorter than a gram are grams of their own.
     sizes = sorted(r["n"] for r in asked.select(F.least(F.length("word"), F.lit(GRAM)).alias("n")).distinct().collect() if r["n"])
-    postings = distinct.select("token", F.explode(_grams(F.col("token"), sizes)).alias("gram"))
+    # Written once: read for the counts of grams and for the look-up.
+    postings = cut(tokens.select("token").distinct().select("token", F.explode_outer(_grams(F.col("token"), sizes)).alias("gram")))
     common = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     size = F.least(F.length("word"), F.lit(GRAM))
     own = asked.select("word", F.explode(F.filter(_grams(F.col("word"), sizes), lambda g: F.length(g) == size)).alias("gram"))
@@ -218,16 +218,13 @@ def word_hits(words: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 #: Letters in a gram of a posting.
-GRAM = 3
+GRAM = 4
 
 
 def _grams(token: Column, sizes: list[int]) -> Column:
-    """Distinct stretches of the given lengths."""
-    def of(n: int) -> Column:
-        at = F.when(F.length(token) >= n, F.sequence(F.lit(1), F.length(token) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.substring(token, i, n))
-
-    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    """Distinct stretches of the given lengths; a look-ahead matches at every place."""
+    found = [F.regexp_extract_all(token, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
 
 
 def keyword_fallback(questions: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
