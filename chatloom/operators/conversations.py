@@ -148,27 +148,42 @@ def _filled(v: Column) -> Column:
     return ~F.to_json(v).isin('""', "null", "0", "0.0", "false", "[]", "{}")
 
 
-def _flat(v: Column, depth: int) -> Column:
-    if depth == 0:
-        return F.when(_is_text(v), T.strip(_str(v))).otherwise(F.lit(""))
+def _opened(node: Column) -> Column:
+    """The nodes inside a container node (path, v); any other node as it is."""
+    v = node["v"]
     child = F.coalesce(*[_get(v, f"$.{k}") for k in ("text", "content", "summary", "result", "value")])
-    members = (
-        F.when(_is_list(v), F.filter(_elements(v), _filled))
-        .when(child.isNotNull(), F.array(child))
-        .otherwise(F.array().cast("array<variant>"))
-    )
-    inner = F.array_join(F.transform(members, lambda e: _flat(e, depth - 1)), "\n")
-    return F.when(_is_text(v), T.strip(_str(v))).otherwise(T.strip(inner))
+    inside = lambda members: F.transform(
+        members, lambda e, i: F.struct(F.concat(node["path"], F.array(i)).alias("path"), e.alias("v")))
+    listed = F.try_variant_get(v, "$", "array<variant>")
+    return F.when(listed.isNotNull(), inside(F.filter(listed, _filled))).when(child.isNotNull(), inside(F.array(child))).otherwise(F.array(node))
+
+
+def flat_text(v: Column, levels: Column) -> Column:
+    """Text of a string, a list or an object field at any depth; ``levels`` is at least the depth (see ``nesting``).
+
+    Every level opens all containers at once, so the expression has one size whatever
+    the depth. What is left are the leaves in order, each with the indices that lead to
+    it. A list joins its members' stripped texts by line ends, and empty ones at its ends
+    are stripped: two neighbouring texts are as many line ends apart as their indices
+    differ where their paths part.
+    """
+    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), v.alias("v")))
+    nodes = F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), root, lambda held, _: F.flatten(F.transform(held, _opened)))
+    texts = F.transform(nodes, lambda x: F.struct(x["path"].alias("path"), F.when(_is_text(x["v"]), T.strip(_str(x["v"]))).otherwise("").alias("text")))
+
+    def joined(leaves: Column) -> Column:
+        def apart(x: Column, i: Column) -> Column:
+            steps = F.zip_with(F.get(leaves, i - 1)["path"], x["path"], lambda a, b: b - a)
+            return F.when(i == 0, x["text"]).otherwise(F.concat(F.repeat(F.lit("\n"), F.element_at(F.filter(steps, lambda d: d != 0), 1)), x["text"]))
 
+        return F.array_join(F.transform(leaves, apart), "")
 
-def flat_text(v: Column, depth: int) -> Column:
-    """Text of a string, a list or an object field, down to ``depth`` levels (see ``nesting``)."""
-    return T.let(v, lambda x: _flat(x, depth))
+    return F.coalesce(T.let(F.filter(texts, lambda x: x["text"] != ""), joined), F.lit(""))
 
 
 def nesting(json: Column) -> Column:
     """How many containers enclose the deepest value of a JSON text."""
-    bare = F.regexp_replace(json, r'"(?:[^"\\\\]|\\\\.)*+"', "")
+    bare = F.regexp_replace(F.regexp_replace(json, r"\\[\s\S]", ""), r'"[^"]*"', "")
     marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
@@ -192,29 +207,40 @@ def _part(p: Column) -> Column:
     )
 
 
-FLAT_FIELDS = ["title", "text", "url", "result", "summary", "thoughts", "content", "parts"]
+#: Content types that need the flattened text of a field; other messages do not walk into it.
+FLAT_FIELDS = {
+    "title": ["tether_quote"], "url": ["tether_quote"], "text": ["tether_quote", "execution_output", "system_error"],
+    "result": ["tether_browsing_display"], "summary": ["tether_browsing_display", *REASONING_TYPES],
+    "thoughts": REASONING_TYPES, "content": REASONING_TYPES, "parts": REASONING_TYPES,
+}
 
 
 def read_messages(df: DataFrame, message: str = "message") -> DataFrame:
     """Replace a message JSON column by role, content_type, text, model and attachments.
 
-    The walk into nested content is as deep as the deepest message, which one
-    aggregate finds out first.
+    Content may be nested to any depth: each row walks as deep as it is itself.
     """
-    depth = max(1, df.agg(F.max(nesting(F.col(message)))).first()[0] or 0)
     rest = [c for c in df.columns if c != message]
     kept = [F.col(c) for c in rest]
-    parsed = df.select(*kept, F.try_parse_json(F.col(message)).alias("_m")).withColumn(
+    parsed = df.select(*kept, F.col(message).alias("_json"), F.try_parse_json(F.col(message)).alias("_m")).withColumn(
         "_content", _get(F.col("_m"), "$.content")
     )
     raw = lambda k: F.col(f"_raw_{k}")
+    walks = sorted({kind for kinds in FLAT_FIELDS.values() for kind in kinds})
     fields = parsed.select(
         *kept,
         "_m",
+        "_json",
         "_content",
         F.coalesce(_str(_get(F.col("_content"), "$.content_type")), F.lit("")).alias("content_type"),
         *[_get(F.col("_content"), f"$.{k}").alias(f"_raw_{k}") for k in FLAT_FIELDS],
-    ).select("*", *[flat_text(raw(k), depth).alias(f"_f_{k}") for k in FLAT_FIELDS], flat_text(F.col("_content"), depth).alias("_f_all"))
+    ).withColumn("_deep", F.when(F.col("content_type").isin(walks), nesting(F.col("_json"))).otherwise(1))
+
+    def flat(value: Column, kinds: list[str]) -> Column:
+        return F.when(F.col("content_type").isin(kinds), flat_text(value, F.col("_deep"))).otherwise("")
+
+    fields = fields.select(
+        "*", *[flat(raw(k), kinds).alias(f"_f_{k}") for k, kinds in FLAT_FIELDS.items()], flat(F.col("_content"), ["system_error"]).alias("_f_all"))
 
     kind = F.col("content_type")
     quoted = F.concat_ws(" — ", F.nullif("_f_title", F.lit("")), F.nullif("_f_text", F.lit("")))

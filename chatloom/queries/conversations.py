@@ -219,17 +219,26 @@ def title_slugs(t: Tables):
     )
 
 
+#: Marks of containers and strings, some of them escaped in JSON.
+_MARKS = ' "]]}\\ [{"\\" ['
+
+
 @query(
-    """SELECT conv_id, turn, regexp_replace('[execution output] ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+$', '') AS text
-       FROM conversations WHERE text IS NOT NULL"""
+    f"""WITH m AS (SELECT conv_id, turn, (conv_id * 7 + turn * 31) % 200 AS deep, regexp_replace('{_MARKS}' || text, '^\\s+|\\s+$', '', 'g') AS t
+          FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, turn, '[execution output] ' || t || CASE WHEN deep % 3 = 0 THEN chr(10) || chr(10) || t ELSE '' END AS text FROM m"""
 )
 def message_texts(t: Tables):
-    """Texts read out of message trees whose content lies 1 to 8 containers deep."""
-    levels = F.lit(1) + F.col("turn") % 8
-    opened = F.transform(F.sequence(F.lit(1), levels.cast("int")), lambda i: F.when((F.col("turn") + i) % 2 == 0, F.lit('[')).otherwise(F.lit('{"text":')))
+    """Texts read out of message trees whose content lies 1 to 200 containers deep, full of quotes and brackets.
+
+    Every third message holds its text twice in its innermost list, with an empty one between them.
+    """
+    deep = F.pmod(F.col("conv_id") * 7 + F.col("turn") * 31, F.lit(200)).cast("int")
+    opened = F.transform(F.sequence(F.lit(0), deep), lambda i: F.when((F.col("turn") + i) % 2 == 0, F.lit("[")).otherwise(F.lit('{"note": "q \\"]]]]]] e", "text":')))
     closed = F.reverse(F.transform(opened, lambda o: F.when(o == "[", F.lit("]")).otherwise(F.lit("}"))))
-    text = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("t"))), r'^\{"t":|\}$', "")
-    nested = F.concat(F.array_join(opened, ""), text, F.array_join(closed, ""))
+    text = F.regexp_replace(F.to_json(F.struct(F.concat(F.lit(_MARKS), F.col("text")).alias("t"))), r'^\{"t":|\}$', "")
+    inner = F.when(deep % 3 == 0, F.concat(F.lit("["), text, F.lit(',"", {"none": [1]}, '), text, F.lit("]"))).otherwise(text)
+    nested = F.concat(F.array_join(opened, ""), inner, F.array_join(closed, ""))
     message = F.concat(F.lit('{"author":{"role":"tool"},"content":{"content_type":"execution_output","text":'), nested, F.lit("}}"))
     rows = t.conversations.where(F.col("text").isNotNull()).select("conv_id", "turn", message.alias("message"))
     return C.read_messages(rows).select("conv_id", "turn", "text")
