@@ -26,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -146,26 +147,18 @@ def vocabulary(counts: DataFrame, table_words: int) -> Vocabulary:
     return Vocabulary(words, c, totals[0], totals[1], total, distinct)
 
 
-class _Index(dict):
-    """Place of a word in the table, -1 beyond it."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Per row (row, id, held_out, text): the network's tokens, sums over the table's words, and the words beyond it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, token, share = vocab.tables()
-        index = _Index(index)
         n_table, base, known = len(vocab.words), vocab.base, vocab.counts > 0
         end = index.get(END, n_table)
         for batch in batches:
             ids, n_tokens, n_known, base_sum, share_sum, beyond, times = [], [], [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 words = split_words(text)
-                seq = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+                seq = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
                 seq = np.append(seq, end)
                 lost = np.nonzero(seq < 0)[0].tolist()
                 rest = Counter([words[i] for i in lost])
@@ -400,6 +393,8 @@ def _mix(row: int, run: int) -> int:
 
 
 FAN = 32
+#: Batches that are put together from runs sorted by length.
+SORTED_BATCHES = 8
 
 
 def train(rows: DataFrame, vocab: Vocabulary, rounds: int, share: int, rate: float, batch_runs: int = 256) -> dict[str, np.ndarray]:
@@ -408,6 +403,12 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int, share: int, rate: flo
     end = int(vocab.place[vocab.end_id]) if 0 <= vocab.end_id < vocab.named else 0
     step = WINDOW * RUN
 
+    def learn(learner: Learner, runs: list[np.ndarray]) -> None:
+        """Batches of runs of like length: few steps are taken for some of a batch's runs only."""
+        runs.sort(key=len)
+        for k in range(0, len(runs), batch_runs):
+            learner.learn(runs[k : k + batch_runs], end)
+
     def one(params: dict[str, np.ndarray], turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             learner, runs = Learner(params, rate), []
@@ -420,11 +421,10 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int, share: int, rate: flo
                         seq = np.frombuffer(raw, np.uint16)
                         before = end if k == 0 else int(seq[k * step - 1])
                         runs.append(np.concatenate(([before], seq[k * step : (k + 1) * step])).astype(np.int64))
-                        if len(runs) == batch_runs:
-                            learner.learn(runs, end)
+                        if len(runs) == SORTED_BATCHES * batch_runs:
+                            learn(learner, runs)
                             runs = []
-            if runs:
-                learner.learn(runs, end)
+            learn(learner, runs)
             if learner.tokens:
                 yield _blocks(learner.changes())
 
@@ -469,8 +469,11 @@ def summed(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["data"], np.float64) for r in sorted(blocks, key=lambda r: r["block"])])
 
 
-def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, window: int = 16) -> np.ndarray:
-    """log10-likelihood of whole token sequences, the state carried from window to window."""
+def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, targets: int = 1 << 14) -> np.ndarray:
+    """log10-likelihood of whole token sequences, the state carried from window to window.
+
+    A window has about ``targets`` targets: it gets longer as fewer documents go on.
+    """
     lengths = np.array([len(d) for d in docs])
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
@@ -479,10 +482,11 @@ def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, window
     total = np.zeros(len(docs))
     h = np.zeros((len(docs), HIDDEN), np.float32)
     sides = side_by_side(p)
-    for w in range(0, int(lengths[0]), window):
+    w = 0
+    while w < lengths[0]:
         live = int(np.searchsorted(-lengths, -w, side="left"))  # documents longer than w
         h = h[:live]
-        steps = min(window, int(lengths[0]) - w)
+        steps = min(max(16, targets // live), int(lengths[0]) - w)
         at = w + np.arange(steps)
         real = at[:, None] < lengths[None, :live]
         where = np.minimum(starts[None, :live] + at[:, None], len(flat) - 1)
@@ -492,14 +496,15 @@ def log_probs(p: dict[str, np.ndarray], docs: list[np.ndarray], end: int, window
         h = states[-1]
         score, _ = output(p, states[real], y[real], sides=sides)
         total[:live] += np.bincount(np.nonzero(real)[1], weights=score, minlength=live)
+        w += steps
     out = np.empty(len(docs))
     out[order] = total / math.log(10)
     return out
 
 
-#: Tokens of documents that are scored together: of short ones, so that states stay in
-#: a core's cache, and of long ones, so that few steps are taken for one document alone.
-POOL, LONG, LONG_POOL = 1_000_000, 2_000, 4_000_000
+#: Documents of like length that are scored together, so that states stay in a core's
+#: cache and few steps are taken for one document alone; and their tokens at most.
+POOL, POOL_TOKENS = 640, 4_000_000
 
 
 def network_scores(rows: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary) -> DataFrame:
@@ -511,20 +516,26 @@ def network_scores(rows: DataFrame, p: dict[str, np.ndarray], vocab: Vocabulary)
             found = log_probs(p, [d for _, d in pool], end)
             return pa.RecordBatch.from_arrays([pa.array([r for r, _ in pool], pa.int64()), pa.array(found, pa.float64())], ["row", "network"])
 
-        pools: list[list] = [[], []]
-        sizes = [0, 0]
+        pools: dict[int, list] = {}
+        sizes: Counter = Counter()
         for batch in batches:
             for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = np.frombuffer(raw, np.uint16)
-                long = len(tokens) > LONG
-                pools[long].append((row, tokens))
-                sizes[long] += len(tokens)
-                if sizes[long] >= (LONG_POOL if long else POOL):
-                    yield scored(pools[long])
-                    pools[long], sizes[long] = [], 0
-        for pool in pools:
-            if pool:
-                yield scored(pool)
+                kind = len(tokens).bit_length()
+                pools.setdefault(kind, []).append((row, tokens))
+                sizes[kind] += len(tokens)
+                if len(pools[kind]) >= POOL or sizes[kind] >= POOL_TOKENS:
+                    yield scored(pools.pop(kind))
+                    sizes[kind] = 0
+        # What is left is scored in turn of length, so that long documents run beside each other.
+        left = [x for kind in sorted(pools) for x in pools[kind]]
+        while left:
+            size = take = 0
+            while take < min(POOL, len(left)) and size < POOL_TOKENS:
+                take += 1
+                size += len(left[-take][1])
+            yield scored(left[-take:])
+            del left[-take:]
 
     return rows.mapInArrow(run, "row bigint, network double")
 
