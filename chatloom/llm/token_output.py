@@ -14,6 +14,7 @@ set. The tokenizer file is read at its path on every node.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # A worker is one thread of an executor: the library's own threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
