@@ -169,6 +169,33 @@ def test_scrub_json_of_any_shape(spark):
     assert json.dumps(json.loads(got[5]), ensure_ascii=False).count("a@b.co") == 150 and "‹email›" in got[5]
 
 
+def test_scrub_reads_each_text_only_for_patterns_that_can_match(spark):
+    """Every pattern, also beside others and in texts without a mark, gives what a plain replacement by all of them gives."""
+    texts = [t for t, _ in SECRETS] + [f"{a} {b}" for a, _ in SECRETS for b, _ in SECRETS] + [
+        "bEaReR  ABCDEFGHIJKLMNOP", "Bearers abcdefghijklmnop", "x192.168.0.1", "\u0661\u0662\u0663-\u0661\u0662\u0663-\u0661\u0662\u0663\u0664", "THE the other \u00e9the", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    custom = redact.dictionary(["the"], ["[0-9]{5,}"])
+    plain = F.col("t")
+    for _, placeholder, regex in [("", banks.CUSTOM_PLACEHOLDER, r"(?iu)(?<!\w)the(?!\w)"), ("", banks.CUSTOM_PLACEHOLDER, "[0-9]{5,}"), *banks.REDACTION_PATTERNS]:
+        plain = F.regexp_replace(plain, "(?U)" + regex, placeholder)
+    assert df.where(~redact.scrub(F.col("t"), custom).eqNullSafe(plain)).count() == 0
+    marked = [regex for _, _, regex in banks.REDACTION_PATTERNS if regex not in {p[2] for p in redact._UNMARKED}]
+    hit = F.lit(False)
+    for regex in marked:
+        hit = hit | F.col("t").rlike("(?U)" + regex)
+    assert df.where(hit & ~F.col("t").rlike("(?U)" + redact._MARK)).count() == 0
+    # A text without a mark meets the few patterns that need none, in a plan that stays small.
+    assert 0 < len(redact._UNMARKED) < 6
+
+
+def test_scrub_json_with_and_without_escaped_quotes(spark):
+    """Both ways to find strings agree, blanks before a colon and odd endings included."""
+    rows = ['{"a@b.co" : "a@b.co", "x": ["\\\\", "a@b.co"]}', '{"k": "", "": "to a@b.co\\n"}', '"a@b.co', None, "", '["a@b.co", "say \\"a@b.co\\""]']
+    got = [r.j for r in spark.createDataFrame([(i, j) for i, j in enumerate(rows)], "i int, j string").orderBy("i").select(redact.scrub_json(F.col("j")).alias("j")).collect()]
+    assert got[0] == '{"a@b.co" : "‹email›", "x": ["\\\\", "‹email›"]}' and got[1] == '{"k": "", "": "to ‹email›\\n"}'
+    assert got[2] == "a@b.co" and got[3] is None and got[4] == "" and json.loads(got[5]) == ["‹email›", 'say "‹email›"']
+
+
 def test_egress_gate(spark):
     jobs = spark.createDataFrame([("ollama", False, False), ("openai", True, False), ("codex", False, True)], "provider string, scrub boolean, allow_raw boolean")
     assert redaction.guard_egress(jobs).count() == 3
