@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chatloom.functions import text as T
@@ -144,54 +147,53 @@ def _elements(v: Column) -> Column:
     )
 
 
-def _filled(v: Column) -> Column:
-    return ~F.to_json(v).isin('""', "null", "0", "0.0", "false", "[]", "{}")
-
+#: White space as ``strip`` cuts it: Unicode's own list, which is not Python's.
+_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-def _opened(node: Column) -> Column:
-    """The nodes inside a container node (path, v); any other node as it is."""
-    v = node["v"]
-    child = F.coalesce(*[_get(v, f"$.{k}") for k in ("text", "content", "summary", "result", "value")])
-    inside = lambda members: F.transform(
-        members, lambda e, i: F.struct(F.concat(node["path"], F.array(i)).alias("path"), e.alias("v")))
-    listed = F.try_variant_get(v, "$", "array<variant>")
-    return F.when(listed.isNotNull(), inside(F.filter(listed, _filled))).when(child.isNotNull(), inside(F.array(child))).otherwise(F.array(node))
 
+class _Number(str):
+    """A number as it is written."""
 
-def flat_text(v: Column, levels: Column) -> Column:
-    """Text of a string, a list or an object field at any depth; ``levels`` is at least the depth (see ``nesting``).
 
-    Every level opens all containers at once, so the expression has one size whatever
-    the depth. What is left are the leaves in order, each with the indices that lead to
-    it. A list joins its members' stripped texts by line ends, and empty ones at its ends
-    are stripped: two neighbouring texts are as many line ends apart as their indices
-    differ where their paths part.
-    """
-    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), v.alias("v")))
-    nodes = F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), root, lambda held, _: F.flatten(F.transform(held, _opened)))
-    texts = F.transform(nodes, lambda x: F.struct(x["path"].alias("path"), F.when(_is_text(x["v"]), T.strip(_str(x["v"]))).otherwise("").alias("text")))
+def _filled(v: object) -> bool:
+    return not (v is None or v is False or v in ("", [], {}) or isinstance(v, _Number) and v in ("0", "0.0"))
 
-    def joined(leaves: Column) -> Column:
-        def apart(x: Column, i: Column) -> Column:
-            steps = F.zip_with(F.get(leaves, i - 1)["path"], x["path"], lambda a, b: b - a)
-            return F.when(i == 0, x["text"]).otherwise(F.concat(F.repeat(F.lit("\n"), F.element_at(F.filter(steps, lambda d: d != 0), 1)), x["text"]))
 
-        return F.array_join(F.transform(leaves, apart), "")
+def _flattened(json_text: str) -> str:
+    """Text of a JSON value, each container opened once."""
+    last, out = None, []
+    open_nodes = [((), json.loads(json_text, parse_int=_Number, parse_float=_Number, strict=False))]
+    while open_nodes:
+        path, node = open_nodes.pop()
+        if isinstance(node, list):
+            members = [e for e in node if _filled(e)]
+            open_nodes += [((*path, i), members[i]) for i in range(len(members) - 1, -1, -1)]
+        elif isinstance(node, dict):
+            name = next((k for k in ("text", "content", "summary", "result", "value") if k in node), None)
+            if name is not None:
+                open_nodes.append((path, node[name]))
+        elif isinstance(node, str) and not isinstance(node, _Number) and (text := node.strip(_SPACE)):
+            if last is not None:
+                out.append("\n" * next(b - a for a, b in zip(last, path) if a != b))
+            out.append(text)
+            last = path
+    return "".join(out)
 
-    return F.coalesce(T.let(F.filter(texts, lambda x: x["text"] != ""), joined), F.lit(""))
 
+def flat_text(v: Column) -> Column:
+    """Text of a string, a list or an object field at any depth.
 
-def nesting(json: Column) -> Column:
-    """How many containers enclose the deepest value of a JSON text."""
-    bare = F.regexp_replace(F.regexp_replace(json, r"\\[\s\S]", ""), r'"[^"]*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    A list joins its filled members' stripped texts by line ends, and empty ones at its
+    ends are stripped: two neighbouring texts are as many line ends apart as their indices
+    differ where their paths part. A value is walked once in an Arrow task, so the time
+    is in proportion to its size, where opening it level by level copies it at each.
+    """
 
-    def step(acc: Column, mark: Column) -> Column:
-        now = acc["now"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+    @F.pandas_udf("string")
+    def walk(values: pd.Series) -> pd.Series:
+        return values.map(_flattened, na_action="ignore")
 
-    return F.aggregate(marks, start, step)["most"]
+    return F.coalesce(walk(F.to_json(v)), F.lit(""))
 
 
 def _pick(*cols: str) -> Column:
@@ -218,26 +220,24 @@ FLAT_FIELDS = {
 def read_messages(df: DataFrame, message: str = "message") -> DataFrame:
     """Replace a message JSON column by role, content_type, text, model and attachments.
 
-    Content may be nested to any depth: each row walks as deep as it is itself.
+    Content may be nested to any depth: each row is walked as deep as it is itself.
     """
     rest = [c for c in df.columns if c != message]
     kept = [F.col(c) for c in rest]
-    parsed = df.select(*kept, F.col(message).alias("_json"), F.try_parse_json(F.col(message)).alias("_m")).withColumn(
+    parsed = df.select(*kept, F.try_parse_json(F.col(message)).alias("_m")).withColumn(
         "_content", _get(F.col("_m"), "$.content")
     )
     raw = lambda k: F.col(f"_raw_{k}")
-    walks = sorted({kind for kinds in FLAT_FIELDS.values() for kind in kinds})
     fields = parsed.select(
         *kept,
         "_m",
-        "_json",
         "_content",
         F.coalesce(_str(_get(F.col("_content"), "$.content_type")), F.lit("")).alias("content_type"),
         *[_get(F.col("_content"), f"$.{k}").alias(f"_raw_{k}") for k in FLAT_FIELDS],
-    ).withColumn("_deep", F.when(F.col("content_type").isin(walks), nesting(F.col("_json"))).otherwise(1))
+    )
 
     def flat(value: Column, kinds: list[str]) -> Column:
-        return F.when(F.col("content_type").isin(kinds), flat_text(value, F.col("_deep"))).otherwise("")
+        return flat_text(F.when(F.col("content_type").isin(kinds), value))
 
     fields = fields.select(
         "*", *[flat(raw(k), kinds).alias(f"_f_{k}") for k, kinds in FLAT_FIELDS.items()], flat(F.col("_content"), ["system_error"]).alias("_f_all"))
