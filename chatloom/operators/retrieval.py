@@ -195,15 +195,19 @@ def prompts(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFra
 # --- keyword search -------------------------------------------------------
 
 
-def word_hits(words: DataFrame, docs: DataFrame) -> DataFrame:
-    """(word, doc_id) of every text that contains the word anywhere.
+#: Pairs of a token and a word of which a copy goes to every task; more are joined by shuffling.
+COPIED = 250_000
+
+
+def word_hits(words: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """(word, doc_id) and ``more`` columns of every text that contains the word anywhere.
 
     A word is letters and digits only, so a text contains it exactly when one of its
     own tokens does. Distinct tokens are posted under their 4-grams; a word looks only
     under the one of its own grams that fewest tokens hold, and those are searched for it.
     """
     # The outer form adds no filter on the list, which would work it out a second time.
-    tokens = docs.select("doc_id", F.explode_outer(F.array_distinct(T.words(F.col("text")))).alias("token"))
+    tokens = docs.select("doc_id", *more, F.explode_outer(F.array_distinct(T.words(F.col("text")))).alias("token"))
     asked = words.select("word").distinct()
     # At most three numbers: words shorter than a gram are grams of their own.
     sizes = sorted(r["n"] for r in asked.select(F.least(F.length("word"), F.lit(GRAM)).alias("n")).distinct().collect() if r["n"])
@@ -213,8 +217,10 @@ def word_hits(words: DataFrame, docs: DataFrame) -> DataFrame:
     size = F.least(F.length("word"), F.lit(GRAM))
     own = asked.select("word", F.explode(F.filter(_grams(F.col("word"), sizes), lambda g: F.length(g) == size)).alias("gram"))
     rarest = own.join(common, "gram").groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    found = postings.join(rarest, "gram").where(F.contains("token", "word")).select("token", "word")
-    return tokens.join(found, "token").select("word", "doc_id").distinct()
+    found = cut(postings.join(rarest, "gram").where(F.contains("token", "word")).select("token", "word"))
+    # Measured: a small list spares the shuffle of all tokens of all texts.
+    found = F.broadcast(found) if found.count() <= COPIED else found
+    return tokens.join(found, "token").select("word", "doc_id", *more).distinct()
 
 
 #: Letters in a gram of a posting.
@@ -227,16 +233,50 @@ def _grams(token: Column, sizes: list[int]) -> Column:
     return F.array_distinct(F.concat(*found)) if found else F.array().cast("array<string>")
 
 
+#: Newest texts that all words are looked for in before the others.
+NEWEST = 4_096
+
+
+def _newest_first(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ``NEWEST`` newest rows (with those equal to the last of them), and all others."""
+    order = [F.desc("update_date"), F.col("doc_id")]
+    last = docs.select("update_date", "doc_id").orderBy(*order).limit(NEWEST).orderBy(F.asc("update_date"), F.desc("doc_id")).first()
+    if last is None:
+        return docs, docs.limit(0)
+    day, same = F.col("update_date"), F.col("doc_id") <= F.lit(last["doc_id"])
+    if last["update_date"] is None:
+        new = day.isNotNull() | same
+    else:
+        new = F.coalesce((day > F.lit(last["update_date"])) | (day == F.lit(last["update_date"])) & same, F.lit(False))
+    return docs.where(new), docs.where(~new)
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The ``k`` newest rows of each word, with their place ``at``."""
+    newest = Window.partitionBy("word").orderBy(F.desc("update_date"), "doc_id", "row")
+    return hits.select("word", "doc_id", "update_date", "row").withColumn("at", F.row_number().over(newest)).where(F.col("at") <= k)
+
+
+def _top_hits(words: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    return _best(word_hits(words, docs, "update_date", "row"), k)
+
+
 def keyword_fallback(questions: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
     """Up to ``k`` documents per question from its salient words, longest word first.
 
     ``questions``: query_id, question. ``docs``: doc_id, update_date, text. Within
-    a word newer documents come first; a document keeps its first place.
+    a word newer documents come first; a document keeps its first place. The newest are
+    searched for all words, all others only for the words that are still short of ``k``.
     """
     asked = questions.select("query_id", F.posexplode(T.salient_words(F.col("question"))).alias("word_no", "word"))
-    hits = word_hits(asked.select("word").distinct(), docs).join(docs.select("doc_id", "update_date"), "doc_id")
-    newest = Window.partitionBy("word").orderBy(F.desc("update_date"), "doc_id")
-    top = hits.withColumn("at", F.row_number().over(newest)).where(F.col("at") <= k)
+    words = cut(asked.select("word").distinct())
+    # Rows of one id are told apart: each takes a place of its own.
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "update_date", "text", F.monotonically_increasing_id().alias("row"))
+    newest, older = _newest_first(rows)
+    hits = cut(_top_hits(words, newest, k))
+    # Words with enough hits among the newest are done; the others are rare, so few hits are left in all other texts.
+    full = hits.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    top = _best(hits.union(_top_hits(words.join(full, "word", "left_anti"), older, k)), k)
     first = asked.join(top, "word").groupBy("query_id", "doc_id").agg(F.min(F.struct("word_no", "at", "word")).alias("f"))
     order = Window.partitionBy("query_id").orderBy("f.word_no", "f.at")
     return (

@@ -133,6 +133,37 @@ def test_keyword_hits_are_substrings(spark):
     assert rows == [(1, 1, 0), (1, 2, 1), (2, 1, 2), (2, 2, 5)]
 
 
+def test_keyword_search_looks_in_all_texts_for_rare_words_only(spark, monkeypatch):
+    """The newest texts answer common words; all others are searched for the words that lack hits, with the same rows."""
+    base = ["alpha beta gamma", "xalphax betas", "alpha", "rareword here", "beta alpha", "", None]
+    given = [(i, None if i % 9 == 8 else f"2024-01-{1 + i * 7 % 28:02d}", base[i % len(base)] if i != 37 else "onceword alpha") for i in range(60)]
+    given += given[:9]
+    docs = spark.createDataFrame(given, "doc_id bigint, update_date string, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "alpha beta rareword"), (2, "onceword gamma"), (3, "absentword"), (4, None)], "query_id bigint, question string")
+    find, searched = retrieval.word_hits, []
+    monkeypatch.setattr(retrieval, "word_hits", lambda words, docs, *more: (searched.append({r.word for r in words.collect()}), find(words, docs, *more))[1])
+
+    def places(word):
+        ids = {d for d, _, t in given if word in (t or "")}
+        return sorted(((d, day) for d, day, _ in given if d in ids), key=lambda x: (x[1] is None, [-ord(c) for c in x[1] or ""], x[0]))
+
+    def best(question, k):
+        words = sorted({w for w in question.split() if len(w) > 3}, key=lambda w: (-len(w), w))
+        out = []
+        for w in words:
+            out += [d for d, _ in places(w)[:k]]
+        return list(dict.fromkeys(out))[:k]
+
+    for newest in (3, 12, 10_000):
+        monkeypatch.setattr(retrieval, "NEWEST", newest)
+        searched.clear()
+        got = {}
+        for r in retrieval.keyword_fallback(asked, docs, 3).orderBy("query_id", "n").collect():
+            got.setdefault(r.query_id, []).append(r.doc_id)
+        assert got == {1: best("alpha beta rareword", 3), 2: best("onceword gamma", 3)}
+        assert searched[0] == {"alpha", "beta", "gamma", "rareword", "onceword", "absentword"} and "absentword" in searched[1] and (newest < 12 or "alpha" not in searched[1])
+
+
 def test_score_blocks_hold_their_bound(spark):
     """A batch of 10,000 rows and 20,000 queries is worked on in blocks of bounded size."""
     from chatloom.operators.retrieval import BLOCK_BYTES, slices
