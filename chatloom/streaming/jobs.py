@@ -60,7 +60,7 @@ def drop_generations(spark: SparkSession, root: str, batch_id: int) -> None:
 
 
 def read_store(
-    spark: SparkSession, root: str, upto: int | None = None, only: Sequence[int] | None = None, keep_bucket: bool = False
+    spark: SparkSession, root: str, upto: int | None = None, only: Sequence[int] | None = None
 ) -> DataFrame | None:
     """Current rows of an upsert store: the last generation of every bucket.
 
@@ -78,7 +78,7 @@ def read_store(
         rows = rows.where(F.col("_bucket").isin(list(only)))
     # One row per bucket, found from the folder names alone.
     last = rows.groupBy("_bucket").agg(F.max("_batch").alias("_batch"))
-    return rows.join(F.broadcast(last), ["_bucket", "_batch"], "left_semi").drop("_batch", *[] if keep_bucket else ["_bucket"])
+    return rows.join(F.broadcast(last), ["_bucket", "_batch"], "left_semi").drop("_batch", "_bucket")
 
 
 def compact_store(spark: SparkSession, root: str, target: str, key: str, buckets: int = 64) -> None:
@@ -129,28 +129,36 @@ def distinct_events(events: DataFrame, ts: str, keys: Sequence[str], late: str)
 # --- summaries of stretches of time ----------------------------------------
 
 
+#: Stretches that share a folder: a store has so many times fewer folders and files than stretches.
+STRETCHES = 32
+
+
 def segment_sink(root: str, t: str, width: float, summary: Callable[[DataFrame], DataFrame]):
-    """``foreachBatch`` sink that keeps points by stretches of ``width`` of ``t``, and one summary row per run and stretch.
+    """``foreachBatch`` sink that keeps points by stretches of ``width`` of ``t``, and one summary row per run and ``stretch``.
 
-    A batch adds its points to the stretches they fall into and sums up those anew, so a
-    point that comes late is put where it belongs, however late. Summaries of neighbouring
+    A batch adds its points to the folders they fall into and sums up their stretches anew,
+    so a point that comes late is put where it belongs, however late. Points are dealt out
+    by folder and ``t`` before they are written, so each folder has few files whatever the
+    number of tasks that read the batch, and a crowded one is still shared among tasks. Summaries of neighbouring
     stretches are put together when they are read. Generations are kept as in
     ``upsert_sink``: a replayed batch gives the same store.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        bucket = F.floor(F.col(t) / width).cast("bigint")
-        rows = batch.withColumn("_bucket", bucket)
-        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # stretches that the batch has points in
+        stretch = F.floor(F.col(t) / width).cast("bigint")
+        bucket = F.floor(F.col("stretch") / STRETCHES).cast("bigint")
+        rows = batch.withColumn("stretch", stretch).withColumn("_bucket", bucket)
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # folders that the batch has points in
         if not touched:
             return
         old = read_store(spark, f"{root}/points", upto=batch_id, only=touched)
         if old is not None:
             rows = rows.unionByName(old.withColumn("_bucket", bucket))
-        _write_generation(rows, f"{root}/points", batch_id)
+        _write_generation(rows.repartitionByRange("_bucket", t), f"{root}/points", batch_id)
         written = spark.read.parquet(f"{root}/points").where((F.col("_batch") == batch_id) & F.col("_bucket").isin(touched))
-        _write_generation(summary(written.drop("_batch")), f"{root}/segments", batch_id)
+        summed = summary(written.drop("_batch", "_bucket")).withColumn("_bucket", bucket)
+        _write_generation(summed.repartitionByRange("_bucket", "stretch"), f"{root}/segments", batch_id)
         drop_generations(spark, f"{root}/points", batch_id)
         drop_generations(spark, f"{root}/segments", batch_id)
 
@@ -161,11 +169,11 @@ def energy_sink(root: str, run: str, width: float = 3600.0):
     """Keeps the energy of every run and hour. Points: run, t (seconds), w."""
 
     def summary(points: DataFrame) -> DataFrame:
-        before = Window.partitionBy(run, "_bucket").orderBy("t", "w")
+        before = Window.partitionBy(run, "stretch").orderBy("t", "w")
         dt = F.col("t") - F.lag("t").over(before)
         step = F.when(dt > 0, (F.col("w") + F.lag("w").over(before)) / 2 * dt).otherwise(0.0)
         point = F.struct("t", "w")
-        return points.withColumn("_step", step).groupBy(run, "_bucket").agg(
+        return points.withColumn("_step", step).groupBy(run, "stretch").agg(
             F.count(F.lit(1)).alias("n"), F.sum("_step").alias("joules"), F.min(point).alias("first"), F.max(point).alias("last"))
 
     return segment_sink(root, "t", width, summary)
@@ -174,7 +182,7 @@ def energy_sink(root: str, run: str, width: float = 3600.0):
 def read_energy(spark: SparkSession, root: str, run: str) -> DataFrame:
     """Energy per run so far: run, n_points, wh (null with fewer than two points). Adds the steps between stretches."""
     segments = _segments(spark, root)
-    prior = F.lag("last").over(Window.partitionBy(run).orderBy("_bucket"))
+    prior = F.lag("last").over(Window.partitionBy(run).orderBy("stretch"))
     dt = F.col("first.t") - F.col("prior.t")
     between = F.when(dt > 0, (F.col("first.w") + F.col("prior.w")) / 2 * dt).otherwise(0.0)
     n = F.sum("n")
@@ -186,8 +194,8 @@ def strikes_sink(root: str, run: str, width: float = 3600.0):
     """Keeps what the strikes of every run need of each stretch. Points: run, t, idle (boolean)."""
 
     def summary(points: DataFrame) -> DataFrame:
-        busy = F.max(F.when(~F.col("idle"), F.col("t"))).over(Window.partitionBy(run, "_bucket"))
-        return points.withColumn("_busy", busy).groupBy(run, "_bucket").agg(
+        busy = F.max(F.when(~F.col("idle"), F.col("t"))).over(Window.partitionBy(run, "stretch"))
+        return points.withColumn("_busy", busy).groupBy(run, "stretch").agg(
             F.count(F.lit(1)).alias("n"), F.max("_busy").isNotNull().alias("busy"), F.count_if(F.col("t") > F.col("_busy")).alias("trailing"))
 
     return segment_sink(root, "t", width, summary)
@@ -195,13 +203,13 @@ def strikes_sink(root: str, run: str, width: float = 3600.0):
 
 def read_strikes(spark: SparkSession, root: str, run: str) -> DataFrame:
     """Consecutive idle samples at the end of what was seen of each run: those after its last busy stretch, and those that end it."""
-    last = F.max(F.when(F.col("busy"), F.col("_bucket"))).over(Window.partitionBy(run))
-    own = F.when(F.col("_last").isNull() | (F.col("_bucket") > F.col("_last")), F.col("n")).when(F.col("_bucket") == F.col("_last"), F.col("trailing"))
+    last = F.max(F.when(F.col("busy"), F.col("stretch"))).over(Window.partitionBy(run))
+    own = F.when(F.col("_last").isNull() | (F.col("stretch") > F.col("_last")), F.col("n")).when(F.col("stretch") == F.col("_last"), F.col("trailing"))
     return _segments(spark, root).withColumn("_last", last).groupBy(run).agg(F.coalesce(F.sum(own), F.lit(0)).alias("strikes"))
 
 
 def _segments(spark: SparkSession, root: str) -> DataFrame:
-    rows = read_store(spark, f"{root}/segments", keep_bucket=True)
+    rows = read_store(spark, f"{root}/segments")
     if rows is None:
         raise LookupError(f"no summaries at {root}")
     return rows

@@ -79,3 +79,22 @@ def test_distinct_and_windows(spark, feed, tmp_path):
     _run(jobs.windowed(stream, "ts", [], "1 hour", "1 day"), f"{tmp_path}/w", "append", lambda b, _: out.update({str(r.start): r.n for r in b.collect()}))
     want = {str(r.w.start): r["count"] for r in rows.groupBy(F.window("ts", "1 day").alias("w")).count().collect()}
     assert set(want) - set(out) <= {max(want), sorted(want)[-2]} and all(want[k] == v for k, v in out.items())
+
+
+def test_many_stretches_take_few_folders_and_files(spark, tmp_path):
+    """A batch of many tasks over many stretches writes few folders, of few files, and late points still count."""
+    rows = spark.range(4_000, numPartitions=8).select((F.col("id") % 7).alias("run"), F.pmod(F.col("id") * 1_237, F.lit(4_000)).alias("t")).withColumn("idle", F.col("t") % 40 > 3)
+    sink = jobs.strikes_sink(f"{tmp_path}/out", "run", 20.0)
+    for i in (1, 0):
+        sink(rows.where(F.col("t") % 2 == i), i)
+        for part in ("points", "segments"):
+            folders = list((tmp_path / "out" / part).glob(f"_batch={i}/_bucket=*"))
+            assert 0 < len(folders) <= 4_000 // 20 // 16 and sum(len(list(f.glob("*.parquet"))) for f in folders) <= len(folders) + 8
+    sink(rows.where(F.col("t") % 2 == 0), 2)
+    sink(rows.where(F.lit(False)), 3)
+    want = {}
+    for r in sorted(rows.where("t % 2 = 1").union(rows.where("t % 2 = 0")).collect(), key=lambda r: r.t):
+        want[r.run] = want.get(r.run, 0) + 1 if r.idle else 0
+    alone = str(tmp_path / "alone")
+    jobs.strikes_sink(alone, "run", 20.0)(rows, 0)
+    assert {r.run: r.strikes for r in jobs.read_strikes(spark, alone, "run").collect()} == want
