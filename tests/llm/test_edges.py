@@ -231,6 +231,50 @@ def test_token_encoder_on_odd_strings():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+class Asked:
+    """A tokenizer that counts the characters it is asked for."""
+
+    def __init__(self, library):
+        self.library, self.characters = library, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.characters += sum(map(len, texts))
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_token_encoder_asks_once_for_a_word():
+    library, own = Tokenizer.from_file(BYTE_BPE), token_output.Encoder(BYTE_BPE)
+    own.library = asked = Asked(library)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeéüж") for _ in range(12)) for _ in range(200)]
+    signs = [",", ".", ";", "!?", ")", "...", "\n", "\n\n  ", "  ", ".\n", "\t", "'s", "-", ": "]
+    # Every word with every sign: its signs and the blanks around do not make it new.
+    texts = [" ".join(f"{w}{s}" for w in words) for s in signs]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert asked.characters < 5 * sum(map(len, words))
+    own.encode(texts)
+    assert asked.characters < 5 * sum(map(len, words))
+
+
+@pytest.mark.parametrize("step", [token_output.SLICE, 1, 7])
+def test_token_encoder_cuts_between_all_kinds_of_characters(step, monkeypatch):
+    monkeypatch.setattr(token_output, "SLICE", step)
+    library, own = Tokenizer.from_file(BYTE_BPE), token_output.Encoder(BYTE_BPE)
+    around = ["", "a", "é", "1", ".", "'", " ", "\n", " \n", "\x1f", "\xa0", "\u3000", "日", "😀"]
+    texts = [f"x{a}{chr(c)}{b}s" for c in [*range(0x180), *range(0x300, 0x304), 0x378, 0x5D0, 0x661, 0x7FF, 0x1680, 0x2009, 0x2014, 0x205F] for a in around for b in around][:: 1 if step > 7 else 50]
+    texts += ["a <|", "endoftext", "|> b", "x" * 300 + ". " + "é" * 300, " " * 300 + "x", ""]
+    wanted = library.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, ids, want in zip(texts, own.encode(texts), wanted) if ids.tolist() != want.ids] == []
+
+
+def test_token_encoder_leaves_other_patterns_to_the_library():
+    library, own = Tokenizer.from_file(WORD_BPE), token_output.Encoder(WORD_BPE)
+    texts = ["", "It's  a test.\n\n1234 Wörter", " x "]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_mixing(odd, none):
     rows = [r.asDict() for r in mixing.mix(odd).collect()]
     assert len(rows) == odd.count()
