@@ -251,14 +251,14 @@ def _newest_first(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where(new), docs.where(~new)
 
 
-def _best(hits: DataFrame, k: int) -> DataFrame:
+def _newest_hits(hits: DataFrame, k: int) -> DataFrame:
     """The ``k`` newest rows of each word, with their place ``at``."""
     newest = Window.partitionBy("word").orderBy(F.desc("update_date"), "doc_id", "row")
     return hits.select("word", "doc_id", "update_date", "row").withColumn("at", F.row_number().over(newest)).where(F.col("at") <= k)
 
 
 def _top_hits(words: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    return _best(word_hits(words, docs, "update_date", "row"), k)
+    return _newest_hits(word_hits(words, docs, "update_date", "row"), k)
 
 
 def keyword_fallback(questions: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
@@ -276,7 +276,7 @@ def keyword_fallback(questions: DataFrame, docs: DataFrame, k: int = 8) -> DataF
     hits = cut(_top_hits(words, newest, k))
     # Words with enough hits among the newest are done; the others are rare, so few hits are left in all other texts.
     full = hits.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    top = _best(hits.union(_top_hits(words.join(full, "word", "left_anti"), older, k)), k)
+    top = _newest_hits(hits.union(_top_hits(words.join(full, "word", "left_anti"), older, k)), k)
     first = asked.join(top, "word").groupBy("query_id", "doc_id").agg(F.min(F.struct("word_no", "at", "word")).alias("f"))
     order = Window.partitionBy("query_id").orderBy("f.word_no", "f.at")
     return (
